@@ -205,9 +205,12 @@ def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
             lead = lead.select("bucket", F.col("lead.node").alias("y"), F.col("lead.label").alias("other"), F.col("lead.signs").alias("y_signs"))
             apart = F.col("label") != F.col("other")
         else:
-            lead = now.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"))
+            now = now.join(nodes.select("node", "bands"), "node")
+            lead = now.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"), F.col("bands").alias("y_bands"))
             apart = F.col("label") < F.col("other")
-        near = now.withColumnRenamed("bucket", "x_bucket").join(lead, (F.col("x_bucket") == F.col("bucket")) & apart & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL))
+        # Each pair comes out of one of its buckets only, the first that both share.
+        once = F.lit(True) if turn < ROUNDS else F.array_min(F.array_intersect("bands", "y_bands")) == F.col("bucket")
+        near = now.withColumnRenamed("bucket", "x_bucket").join(lead, (F.col("x_bucket") == F.col("bucket")) & apart & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL) & once)
         pairs = near.select(F.col("node").alias("x"), "y")
         # The leader stays second, so that its text is parsed once for many members.
         pairs = pairs.distinct()
