@@ -98,12 +98,15 @@ class Tokens:
             token = text[start:end]
             digits = only_digits(token)
             self.shape.append((min(token.count("@"), 2), sum(len(digits) >= x for x in (1, 4, 7, 8, 10, 12, 16, 20)), min(token.count("."), 4), token[:1] == "+" or token[:2] == "(+", any(c.isalpha() for c in token), "-" in token))
+            met = set()  # a pair of tokens has one link, however many ways it is alike
             if i and self.at[i - 1][1] + 1 >= start:
                 self.links.append((i - 1, i, 0))
+                met.add(i - 1)
             bare = "".join(c for c in token.lower() if c.isalnum() or c == "@")
-            for key in {("t", bare), ("d", digits[-7:])} if len(digits) >= 7 else {("t", bare)} if len(bare) >= 4 else ():
-                if key in alike and (alike[key] != i - 1 or not self.links or self.links[-1][:2] != (i - 1, i)):
+            for key in (("t", bare), ("d", digits[-7:])) if len(digits) >= 7 else (("t", bare),) if len(bare) >= 4 else ():
+                if key in alike and alike[key] not in met:
                     self.links.append((alike[key], i, 1))
+                    met.add(alike[key])
                 alike[key] = i
 
 
