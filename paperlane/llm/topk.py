@@ -26,6 +26,9 @@ from paperlane.llm.common import cut
 
 SCALE, K, QUERY_BLOCK, ROW_BLOCK, BINS = 64, 20, 512, 4096, 256
 MOST_PARTS = 4096
+#: Candidates scored at a time, and pairs of blocks (megabytes each) that are sent to a worker at a time.
+SLICE, PAIRS_SENT = 1024, 4
+SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -68,38 +71,41 @@ def _scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ rows.astype(np.int64).T
 
 
-def _own_scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of queries and candidates, scores, and which scores count (not those of a query with itself)."""
-    q_ids, ids = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.ids, "<i8")
-    s = _scores(np.frombuffer(row.q_data, "<f8").reshape(len(q_ids), row.dim), np.frombuffer(row.data, "<f8").reshape(len(ids), row.dim))
-    return q_ids, ids, s, q_ids[:, None] != ids[None, :]
+def _own_scores(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For SLICE candidates at a time: ids of queries and candidates, scores, and which scores count (not those of a query with itself)."""
+    q_ids, every = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.ids, "<i8")
+    q, data = np.frombuffer(row.q_data, "<f8").reshape(len(q_ids), row.dim), np.frombuffer(row.data, "<f8").reshape(len(every), row.dim)
+    for k in range(0, len(every), SLICE):
+        ids = every[k : k + SLICE]
+        yield q_ids, ids, _scores(q, data[k : k + SLICE]), q_ids[:, None] != ids[None, :]
 
 
 def _histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each query, how many scores are above its interval [low, low + BINS * width) and how many fall in each bin."""
     for batch in batches:
         for row in batch.itertuples():
-            q_ids, _, s, counts = _own_scores(row)
             low, width = np.frombuffer(row.low, "<i8")[:, None], np.frombuffer(row.width, "<i8")[:, None]
-            bins = np.clip((s - low) // width, -1, BINS) + 1
-            bins[~counts] = 0
-            flat = np.bincount((bins + np.arange(len(q_ids))[:, None] * (BINS + 2)).ravel(), minlength=len(q_ids) * (BINS + 2)).reshape(-1, BINS + 2)
+            flat = np.zeros((len(low), BINS + 2), np.int64)
+            for q_ids, _, s, counts in _own_scores(row):
+                bins = np.clip((s - low) // width, -1, BINS) + 1
+                bins[~counts] = 0
+                flat += np.bincount((bins + np.arange(len(q_ids))[:, None] * (BINS + 2)).ravel(), minlength=flat.size).reshape(flat.shape)
+            ids = np.frombuffer(row.q_ids, "<i8")
             q, b = np.nonzero(flat[:, 1:])
-            yield pd.DataFrame({"q_block": row.q_block, "query_id": q_ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
+            yield pd.DataFrame({"q_block": row.q_block, "query_id": ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
 
 
 def _winners(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                q_ids, ids, s, counts = _own_scores(row)
                 low = np.frombuffer(row.low, "<i8")[:, None]
-                order = np.argsort(ids, kind="stable")
-                ids, s, counts = ids[order], s[:, order], counts[:, order]
-                tie = (s == low) & counts
-                keep = (s > low) & counts | tie & (np.cumsum(tie, axis=1) <= k)
-                q, c = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[c], "score": s[q, c].astype(np.int64)})
+                for q_ids, ids, s, counts in _own_scores(row):
+                    order = np.argsort(ids, kind="stable")
+                    ids, s, counts = ids[order], s[:, order], counts[:, order]
+                    tie = (s == low) & counts
+                    q, c = np.nonzero((s > low) & counts | tie & (np.cumsum(tie, axis=1) <= k))
+                    yield pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[c], "score": s[q, c].astype(np.int64)})
 
     return run
 
@@ -150,14 +156,30 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
         wid = np.maximum(1, -(-wid // BINS))
         return pd.DataFrame({"q_block": [row.q_block], "low": [low.astype("<i8").tobytes()], "width": [wid.astype("<i8").tobytes()]})
 
+    found = _search(pairs, q, state, state_type, refine, width, k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _sent(df: DataFrame, tag: str) -> DataFrame:
+    """cut(df), with few pairs of blocks to a batch while it runs."""
+    conf = df.sparkSession.conf
+    before = conf.get(SENT)
+    conf.set(SENT, str(PAIRS_SENT))
+    try:
+        return cut(df, tag)
+    finally:
+        conf.set(SENT, before)
+
+
+def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, refine, width: int, k: int) -> DataFrame:
+    """The passes: refine the intervals until they are single values, then keep what reaches them."""
     while True:
         counted = pairs.join(state, "q_block").select("q_block", "dim", "ids", "data", "q_ids", "q_data", "low", "width").mapInPandas(_histograms, "q_block string, query_id long, bin int, n long")
-        summed = counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n"))
+        summed = _sent(counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n")), "histograms")
         whole = q.select("q_block", "q_ids").join(state, "q_block").join(summed, "q_block", "left")
         state = cut(whole.groupBy("q_block").applyInPandas(refine, state_type), "intervals")
         if width == 1:
             break
         width = max(1, -(-width // BINS))
-    found = pairs.join(state, "q_block").select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _sent(pairs.join(state, "q_block").select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long"), "winners")
