@@ -147,7 +147,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
         low, wid = (np.frombuffer(row[c], "<i8") for c in ("low", "width"))
         counts = np.zeros((len(ids), BINS + 1), np.int64)
         place = {int(i): n for n, i in enumerate(ids)}
-        known = pdf[pdf["query_id"].notna()]
+        known = pd.DataFrame([(c["query_id"], c["bin"], c["n"]) for c in (row.cells if row.cells is not None else ())], columns=["query_id", "bin", "n"])
         np.add.at(counts, (np.array([place[int(i)] for i in known["query_id"]], int), known["bin"].to_numpy(int)), known["n"].to_numpy(np.int64))
         from_top = np.cumsum(counts[:, ::-1], axis=1)
         at = (from_top < k).sum(axis=1)  # bins from the top, that above the interval included, that do not reach k
@@ -177,7 +177,9 @@ def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, r
     while True:
         counted = pairs.join(state, "q_block").select("q_block", "dim", "ids", "data", "q_ids", "q_data", "low", "width").mapInPandas(_histograms, "q_block string, query_id long, bin int, n long")
         summed = _sent(counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n")), "histograms")
-        whole = q.select("q_block", "q_ids").join(state, "q_block").join(summed, "q_block", "left")
+        # One row a block, so that its ids and intervals are not repeated for every count.
+        cells = summed.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bin", "n")).alias("cells"))
+        whole = q.select("q_block", "q_ids").join(state, "q_block").join(cells, "q_block", "left")
         state = cut(whole.groupBy("q_block").applyInPandas(refine, state_type), "intervals")
         if width == 1:
             break
