@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,35 +28,67 @@ from paperlane.llm.common import cut
 CAPACITY, END_ID = 2048, 0
 #: Distinct white-space separated strings whose ids a worker keeps before it starts afresh.
 CACHE = 400_000
+#: Strings that are encoded in one call.
+GROUP = 1000
 SLICES = 256
 
 
 class CachedTokenizer:
-    """Ids of a tokenizer that drops white space: blanks and line feeds separate, so each part between them is encoded once."""
+    """Ids of a tokenizer that drops white space: blanks and line feeds separate, so each part between them is encoded once.
+
+    The ids of all known parts lie in one array; a text's ids are gathered from it by place and length.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {"": 0}
+        self.ids, self.at, self.length = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        ids, lengths = [self.ids], [self.length]
+        for group in groups:
+            found = self.inner.encode(group, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(group)))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ids, self.length = np.concatenate(ids), np.concatenate(lengths)
+        self.at = np.cumsum(self.length) - self.length
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
+        if not texts:
+            return []
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*parts) if w and w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = [w for w in set().union(*parts) if w]
-        for k in range(0, len(new), 10_000):
-            known.update((w, e.ids) for w, e in zip(new[k : k + 10_000], self.inner.encode_batch(new[k : k + 10_000], add_special_tokens=False)))
-        known[""] = ()
-        return [np.array([i for w in ws for i in known[w]], "<u4") for ws in parts]
+        words = list(chain.from_iterable(parts))
+        new = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.forget()
+            new = [w for w in set(words) if w]
+        if new:
+            self.learn(new)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = self.length[place]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum([len(p) for p in parts])[:-1] - 1])
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """One for each worker process, over all its tasks."""
+    return CachedTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = CachedTokenizer(tokenizer_path)
+        tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 ids, texts = batch.doc_id.iloc[k : k + 256], batch.text.iloc[k : k + 256].tolist()
