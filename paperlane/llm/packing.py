@@ -13,6 +13,7 @@ columns are ignored. Only documents longer than the capacity are cut.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,51 +31,91 @@ CAPACITY, END_ID = 2048, 0
 CACHE = 400_000
 #: Strings that are encoded in one call.
 GROUP = 1000
+#: Latin letters (none of which is a combining mark), then printable punctuation but the apostrophe.
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 SLICES = 256
+LETTERS = re.compile(r"[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: The byte-level alphabet: bytes without a visible Latin-1 character stand, in order, for the characters from U+0100.
+HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(HIDDEN)}
+
+
+class Pool:
+    """Ids of strings: all in one array, found by place and length."""
+
+    def __init__(self):
+        self.known = {"": 0}
+        self.ids, self.at, self.length = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ids, self.length = np.concatenate([self.ids, *ids]), np.concatenate([self.length, *lengths])
+        self.at = np.cumsum(self.length) - self.length
+
+    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and where each word ends."""
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = self.length[place]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class CachedTokenizer:
-    """Ids of a tokenizer that drops white space: blanks and line feeds separate, so each part between them is encoded once.
+    """Ids of a tokenizer that drops white space and case: blanks and line feeds separate, so each string between them is encoded once.
 
-    The ids of all known parts lie in one array; a text's ids are gathered from it by place and length.
+    A string of Latin letters and the punctuation after it is put together from the ids of these two parts: the tokenizer cuts there
+    (and has no contraction without an apostrophe), so one encoding serves a word in any case and before any punctuation. Such letters
+    are one pre-token, which goes straight to the byte-pair model; all other strings take the tokenizer's whole way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = {"": 0}
-        self.ids, self.at, self.length = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.model = self.inner.model
+        self.strings, self.parts = Pool(), Pool()
+
+    def encode_parts(self, words: list[str]) -> None:
+        plain = [w for w in words if LETTERS.fullmatch(w)]
+        found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))] for w in plain]
+        self.parts.add(plain, [np.fromiter(chain.from_iterable(found), "<u4")], [np.fromiter(map(len, found), np.int64)])
+        others = [w for w in words if not LETTERS.fullmatch(w)]
+        ids, lengths = [], []
+        for k in range(0, len(others), GROUP):
+            group = others[k : k + GROUP]
+            encoded = self.inner.encode(group, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(encoded.ids, "<u4"))
+            lengths.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(group)))
+        self.parts.add(others, ids, lengths)
 
     def learn(self, words: list[str]) -> None:
-        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
-        ids, lengths = [self.ids], [self.length]
-        for group in groups:
-            found = self.inner.encode(group, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(found.ids, "<u4"))
-            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(group)))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.ids, self.length = np.concatenate(ids), np.concatenate(lengths)
-        self.at = np.cumsum(self.length) - self.length
+        parts: list[str] = []
+        for w in words:
+            two = WORD.fullmatch(w)
+            parts += (two[1].lower(), two[2]) if two else (w, "")
+        need = set(parts)
+        new = [p for p in need if p not in self.parts.known]
+        if len(self.parts.known) + len(new) > CACHE:
+            self.parts = Pool()
+            new = [p for p in need if p]
+        if new:
+            self.encode_parts(new)
+        ids, ends = self.parts.gather(parts)
+        self.strings.add(words, [ids], [np.diff(ends[1::2], prepend=0)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(parts))
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.forget()
-            new = [w for w in set(words) if w]
+        need = set(words)
+        new = [w for w in need if w not in self.strings.known]
+        if len(self.strings.known) + len(new) > CACHE:
+            self.strings = Pool()
+            new = [w for w in need if w]
         if new:
             self.learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.length[place]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1])]
+        ids, ends = self.strings.gather(words)
         return np.split(ids, ends[np.cumsum([len(p) for p in parts])[:-1] - 1])
 
 
