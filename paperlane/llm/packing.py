@@ -31,10 +31,10 @@ CAPACITY, END_ID = 2048, 0
 CACHE = 400_000
 #: Strings that are encoded in one call.
 GROUP = 1000
-#: Latin letters (none of which is a combining mark), then printable punctuation but the apostrophe.
-WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters (without U+0130, whose small form has a combining mark), then printable punctuation but the apostrophe.
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 SLICES = 256
-LETTERS = re.compile(r"[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+LETTERS = re.compile(r"[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
 #: The byte-level alphabet: bytes without a visible Latin-1 character stand, in order, for the characters from U+0100.
 HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
 BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(HIDDEN)}
