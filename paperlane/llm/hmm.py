@@ -6,8 +6,9 @@ within a group a word has probability (c + 1) / (n + v + 1), c its count, n and
 training. That factor does not depend on the state, so the forward recursion runs over the bounded alphabet, and the factor, which
 needs every word's count, comes from a join with the whole table of counts. The product is the exact likelihood of the text.
 
-Training starts from Baum-Welch on START_DOCS documents (first by a hash of their ids; only a starting point) and then
-makes PASSES full Baum-Welch passes over all training rows: partitions send expected counts, summed by letter of the alphabet.
+Training is Baum-Welch over all training rows: partitions send expected counts, summed by letter of the alphabet. Texts are spelt once
+and passes are made over the letters, until a pass raises the objective (log likelihood and the log of the pull on the parameters, which no pass
+can lower) by less than TOLERANCE nats a token.
 
 Null text is empty: one token, the end. Rows with null ids are in fold 0. Repeated rows are scored (and learnt from) each. Without training rows all counts are 0
 and the model is uniform. Very long texts are scored whole; ties in the choice of the head go by spelling. Extra columns are ignored.
@@ -25,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.llm.common import cut, fold, hash_order
+from paperlane.llm.common import cut, fold
 
-STATES, HEAD, GROUPS, START_DOCS, START_STEPS, PASSES = 8, 32_768, 1024, 1500, 12, 2
+STATES, HEAD, GROUPS, TOLERANCE = 8, 32_768, 1024, 1e-4
 #: Padded cells of a batch of sequences; documents a worker gathers to find such of like length; words it counts before it sends them on.
 CELLS, GATHER, FLUSH = 1 << 18, 4096, 300_000
 STICKY, PULL = 0.95, 20.0
@@ -100,10 +101,11 @@ def log10_likelihood(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 class Expected:
-    """Expected counts of starts, moves and emissions."""
+    """Expected counts of starts, moves and emissions, and the log likelihood of what they are counted on."""
 
     def __init__(self, letters: int, states: int):
         self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((letters, states))
+        self.logs = 0.0
 
     def add(self, p: Parameters, seqs: list[np.ndarray]) -> None:
         letters, states = self.emit.shape
@@ -122,6 +124,7 @@ class Expected:
                 moves += alpha[t, :n].T @ ahead
                 beta[:n] = ahead @ p.move.T
                 alpha[t, :n] *= beta[:n]
+            self.logs += float(np.log(scales).sum())  # padding has scale 1
             self.start += alpha[0].sum(axis=0)
             self.move += moves * p.move
             on = np.arange(x.shape[1])[None, :] < active[:, None]
@@ -129,6 +132,10 @@ class Expected:
             for s in range(states):
                 self.emit[:, s] += np.bincount(where, weight[:, s], letters)
 
+    def objective(self, p: Parameters, share: np.ndarray) -> float:
+        """What parameters() raises: the log likelihood under p, and p's log weight by the counts that parameters() adds."""
+        return self.logs + 0.5 * float(np.log(p.start).sum() + np.log(p.move).sum()) + PULL * float((share[:, None] * np.log(p.emit)).sum())
+
     def parameters(self, share: np.ndarray) -> Parameters:
         """share: the letters' shares of all training tokens, to which each state's emissions are drawn a little."""
         start, move = self.start + 0.5, self.move + 0.5
@@ -177,7 +184,7 @@ class Model:
         self.alphabet, self.parameters, self.head_counts, self.group_tokens, self.group_words, self.counts, self.n, self.v = alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v
 
 
-def train(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = cut(word_counts(rows), "word-counts")
     texts = rows.count()
@@ -201,39 +208,51 @@ def train(docs: DataFrame, states: int = STATES, head: int = HEAD, passes: int =
     head_counts = np.array([r["n"] for r in top], np.int64)
     letters = np.concatenate([group_n, [texts], head_counts]) + 1.0
     share = letters / letters.sum()
-    sample = [alphabet.spell(tokens(r["text"]))[0] for r in rows.orderBy(hash_order(F.col("id"), 3), F.xxhash64("text")).limit(START_DOCS).collect()]
-    sample = [s for i, s in enumerate(sample) if sum(len(x) for x in sample[:i]) < 1_000_000]
-    p = _first_guess(share, states)
-    for _ in range(START_STEPS if sample else 0):
-        e = Expected(alphabet.size, states)
-        e.add(p, sample)
-        p = e.parameters(share)
-    for _ in range(passes if texts else 0):
-        p = baum_welch(rows, alphabet, p).parameters(share)
+    p, before, gains = _first_guess(share, states), -np.inf, bool(texts)
+    spelt = cut(spelling(rows, alphabet), "letters") if texts else rows
+    while gains:
+        e = baum_welch(spelt, alphabet.size, p)
+        reached = e.objective(p, share)
+        gains = reached - before >= tolerance * (int(total) + texts)
+        p, before = e.parameters(share), reached
     return Model(alphabet, p, head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts))
 
 
-def baum_welch(rows: DataFrame, alphabet: Alphabet, p: Parameters) -> Expected:
+def spelling(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """letters: those of each row's text with its end, as bytes of 32-bit integers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _gathered(batches):
+            yield pd.DataFrame({"letters": [alphabet.spell(tokens(t))[0].tobytes() for t in batch.text]})
+
+    return rows.select("text").mapInPandas(run, "letters binary")
+
+
+def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
     """One pass: the expected counts under p over all rows, summed over partitions."""
     states = len(p.start)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Expected(alphabet.size, states)
+        e = Expected(letters, states)
         for batch in _gathered(batches):
-            e.add(p, [alphabet.spell(tokens(t))[0] for t in batch.text])
+            e.add(p, [np.frombuffer(x, np.int32) for x in batch.letters])
         used = np.flatnonzero(e.emit.any(axis=1))
-        parts = [(used, e.emit[used]), (-2 - np.arange(states), e.move), (np.array([-1]), e.start[None, :])]
+        logs = np.zeros((1, states))
+        logs[0, 0] = e.logs
+        parts = [(used, e.emit[used]), (-2 - np.arange(states), e.move), (np.array([-1]), e.start[None, :]), (np.array([-2 - states]), logs)]
         for of, x in parts:
             yield pd.DataFrame({"letter": of.astype(np.int32)} | {f"s{k}": x[:, k] for k in range(states)})
 
-    sent = rows.select("text").mapInPandas(run, "letter int, " + ", ".join(f"s{k} double" for k in range(states)))
+    sent = spelt.mapInPandas(run, "letter int, " + ", ".join(f"s{k} double" for k in range(states)))
     got = sent.groupBy("letter").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).toPandas()  # the alphabet and a few rows
-    e = Expected(alphabet.size, states)
+    e = Expected(letters, states)
     of, x = got["letter"].to_numpy(int), got[[f"s{k}" for k in range(states)]].to_numpy(float)
     e.emit[of[of >= 0]] = x[of >= 0]
     for n, row in zip(of[of < 0], x[of < 0]):
         if n == -1:
             e.start[:] = row
+        elif n == -2 - states:
+            e.logs = float(row[0])
         else:
             e.move[-2 - n] = row
     return e

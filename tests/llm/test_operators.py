@@ -230,6 +230,21 @@ def test_language_model(spark):
     assert hmm.score(docs(spark, []), hmm.train(docs(spark, []))).collect() == []
 
 
+def test_language_model_trains_until_a_pass_over_all_rows_gains_no_more(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{2 * ((i + j // 9) % 6) + rng.randrange(12)}" for j in range(40))) for i in range(400)]
+    model = hmm.train(docs(spark, rows), states=4, head=60)
+    seqs = [model.alphabet.spell(hmm.tokens(t))[0] for _, t in rows]
+    letters = np.concatenate([model.group_tokens, [len(rows)], model.head_counts]) + 1.0
+    share, p, reached = letters / letters.sum(), model.parameters, []
+    for _ in range(2):
+        reached.append(hmm.log10_likelihood(p, seqs).sum() * math.log(10) + hmm.PULL * (share[:, None] * np.log(p.emit)).sum() + 0.5 * (np.log(p.start).sum() + np.log(p.move).sum()))
+        e = hmm.Expected(model.alphabet.size, 4)
+        e.add(p, seqs)
+        p = e.parameters(share)
+    assert 0 <= reached[1] - reached[0] < 1e-4 * sum(map(len, seqs))
+
+
 def test_quality(spark):
     rng = random.Random(0)
     clean = [(i, " ".join(rng.choices([f"word{k}" for k in range(200)], k=60)) + ".") for i in range(160)]
