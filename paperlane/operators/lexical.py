@@ -8,7 +8,7 @@ covers of 0.1 / (1 + words in the cover that are no query terms). Scores are tho
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,30 +59,33 @@ class Clause:
 
     phrases: tuple[tuple[str, ...], ...]
     negated: bool = False
+    #: Where each phrase's terms stand from its first; stop words between them leave gaps.
+    offsets: tuple[tuple[int, ...], ...] = field(default=(), compare=False)
 
 
-def parse_query(text: str, analyser: str = "simple") -> list[Clause]:
+def parse_query(text: str, analyser: str = "simple", stop: frozenset[str] | None = None) -> list[Clause]:
     """Web syntax: terms are all required, "..." is a phrase, `or` joins its neighbours, a leading - forbids."""
-    stop = set(stop_words()) if analyser == "english" else set()
-    parts: list[tuple[bool, tuple[str, ...]] | None] = []
+    if stop is None:
+        stop = frozenset(stop_words()) if analyser == "english" else frozenset()
+    parts: list[tuple[bool, tuple[str, ...], tuple[int, ...]] | None] = []
     for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', text):
         raw, negated = (m[2], bool(m[1])) if m[2] is not None else (m[3], m[3].startswith("-"))
         if m[3] is not None and raw.lower() == "or":
             parts.append(None)
             continue
-        terms = tuple(stem(t) if analyser == "english" else t for t in re.findall(TOKEN, raw.lower()) if t not in stop)
-        if terms:
-            parts.append((negated, terms))
+        kept = [(i, t) for i, t in enumerate(re.findall(TOKEN, raw.lower())) if t not in stop]
+        if kept:
+            parts.append((negated, tuple(stem(t) if analyser == "english" else t for _, t in kept), tuple(i - kept[0][0] for i, _ in kept)))
     clauses: list[Clause] = []
     joined = False
     for part in parts:
         if part is None:
             joined = bool(clauses)
         elif joined and not part[0] and not clauses[-1].negated:
-            clauses[-1] = Clause((*clauses[-1].phrases, part[1]))
+            clauses[-1] = Clause((*clauses[-1].phrases, part[1]), False, (*clauses[-1].offsets, part[2]))
             joined = False
         else:
-            clauses.append(Clause((part[1],), part[0]))
+            clauses.append(Clause((part[1],), part[0], (part[2],)))
             joined = False
     return clauses
 
@@ -106,11 +109,11 @@ def cover_rank(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     matches = match_all(hits.drop("query_id").distinct(), terms, id_col)
     hits = hits.join(matches, ["query_id", id_col])
     doc = Window.partitionBy("query_id", id_col)
-    hits = hits.withColumn("ix", F.row_number().over(doc.orderBy("p")))
+    hits = hits.withColumn("ix", F.dense_rank().over(doc.orderBy("p")))
     wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("all"))
     # The latest position of every term up to each hit, as one map of running maxima.
     each = hits.join(wanted, "query_id").select("query_id", id_col, "p", "ix", "term", F.explode("all").alias("t"))
-    running = Window.partitionBy("query_id", id_col, "t").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("query_id", id_col, "t").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.col("term") == F.col("t")
     last = each.select("query_id", id_col, "p", "ix", "t", F.max(F.when(own, F.col("p"))).over(running).alias("at"), F.max(F.when(own, F.col("ix"))).over(running).alias("at_ix"))
     ends = last.groupBy("query_id", id_col, "p", "ix").agg(F.min("at").alias("start"), F.min("at_ix").alias("start_ix"), F.count("*").alias("n"), F.count("at").alias("seen")).where("n = seen")
@@ -130,6 +133,33 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "c
     return top_by(scored, k, F.round("lexical_score", 6).desc(), id_col)
 
 
+def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english") -> DataFrame:
+    """query_id, id, covers, lexical_score, rank for web-style queries: what web_match selects, ranked by covers of the clauses.
+
+    A clause stands wherever one of its phrases begins. A query of forbidden clauses alone selects with score 0; one without terms selects nothing.
+    """
+    if k < 1:
+        raise ValueError("lexical_k must be at least 1")
+    stop = frozenset(stop_words()) if analyser == "english" else frozenset()
+
+    @F.udf("array<struct<clause:int,phrase:int,negated:boolean,terms:array<string>,offsets:array<int>>>")
+    def parsed(text):
+        clauses = parse_query(text or "", analyser, stop)
+        return [(c, n, x.negated, list(x.phrases[n]), list(x.offsets[n])) for c, x in enumerate(clauses) for n in range(len(x.phrases))]
+
+    phrases = queries.select("query_id", "query").distinct().select("query_id", F.explode(parsed("query")).alias("c")).select("query_id", "c.*")
+    phrases = phrases.withColumn("key", F.to_json(F.struct("query_id", "clause")))
+    words = phrases.withColumn("n", F.size("terms")).withColumn("w", F.explode(F.arrays_zip("terms", "offsets"))).select("query_id", "key", "phrase", "negated", "n", F.col("w.terms").alias("term"), F.col("w.offsets").alias("i"))
+    found = analyse(tokens(docs, id_col, text_col), analyser)
+    at = found.join(words, "term").groupBy("query_id", "key", "phrase", "negated", "n", id_col, (F.col("p") - F.col("i")).alias("p")).agg(F.count("*").alias("held")).where("held = n")
+    wanted = phrases.where(~F.col("negated")).select("query_id", F.col("key").alias("term")).distinct()
+    scored = cover_rank(at.where(~F.col("negated")).select(id_col, "p", F.col("key").alias("term")).distinct(), wanted, id_col)
+    alone = phrases.groupBy("query_id").agg(F.min("negated").alias("negated")).where("negated").select("query_id")
+    every = alone.crossJoin(docs.select(id_col).distinct()).select("query_id", id_col, F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("lexical_score"))
+    left = scored.unionByName(every).join(at.where("negated").select("query_id", id_col).distinct(), ["query_id", id_col], "left_anti")
+    return top_by(left, k, F.round("lexical_score", 6).desc(), id_col)
+
+
 def web_match(docs: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple") -> DataFrame:
     """ids that satisfy one web-style query: every clause, phrases at consecutive positions, no forbidden clause."""
     found = analyse(tokens(docs, id_col, text_col), analyser)
@@ -152,9 +182,9 @@ def _without(out: DataFrame, found: DataFrame, clauses: list[Clause], id_col: st
 
 def _clause_ids(found: DataFrame, clause: Clause, id_col: str) -> DataFrame:
     ids = None
-    for phrase in clause.phrases:
+    for phrase, offsets in zip(clause.phrases, clause.offsets):
         at = None
-        for i, term in enumerate(phrase):
+        for i, term in zip(offsets, phrase):
             own = found.where(F.col("term") == term).select(id_col, (F.col("p") - i).alias("start")).distinct()
             at = own if at is None else at.join(own, [id_col, "start"], "left_semi")
         one = at.select(id_col).distinct()

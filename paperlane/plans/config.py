@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields, replace
 from urllib.parse import urlsplit, urlunsplit
 
 MODES = ("vector", "lexical", "hybrid")
+ANALYSERS = ("simple", "english")
 
 
 @dataclass(frozen=True)
@@ -21,10 +22,13 @@ class RetrievalConfig:
     exact: bool = True
     probes: int | None = None
     per_paper: int | None = None
+    analyser: str = "english"
 
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"unknown retrieval mode: {self.mode}")
+        if self.analyser not in ANALYSERS:
+            raise ValueError(f"unknown analyser: {self.analyser}")
         if min(self.candidate_k, self.lexical_k, self.rrf_k, self.final_k) < 1:
             raise ValueError("candidate_k, lexical_k, rrf_k and final_k must be at least 1")
         if self.exact and self.probes is not None:

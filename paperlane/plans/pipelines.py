@@ -36,7 +36,7 @@ def search(queries: DataFrame, index: DataFrame, config: RetrievalConfig) -> Dat
     if config.mode == "vector":
         hits = near.withColumns({"final_score": F.col("vector_score"), "lexical_score": empty, "rrf_score": empty})
     else:
-        words = lexical.lexical_search(queries, index, config.lexical_k)
+        words = lexical.web_search(queries, index, config.lexical_k, analyser=config.analyser)
         if config.mode == "lexical":
             hits = words.withColumns({"final_score": F.col("lexical_score"), "vector_score": empty, "rrf_score": empty})
         else:
