@@ -2,7 +2,7 @@
 
 A linear logistic model of the words of a text and of their first four and five letters, each present or not. Features are
 chosen by their chi-square against the label among the sampled rows. For every labelled row that names a group, the term is
-swapped for others of its kind, and  weight * mean (f(x) - f(x'))^2  is added to the loss: a text must not score differently
+swapped for all others of its kind, and  weight * mean (f(x) - f(x'))^2  is added to the loss: a text must not score differently
 for the group it names. Identity terms have a feature each and no prefix features, so nothing leaks to them from other words.
 
 Null and empty texts have no features and score the logistic of the intercept. Without positive (or negative) labels every
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from paperlane.llm.common import cut, hash_order
 
 #: Labelled rows of the sample at most, drawn by a hash of the id; features at most.
-SAMPLE, FEATURES, STEPS, RATE, DECAY, COUNTERFACTUAL, SWAPS = 20_000, 8192, 400, 0.05, 1e-5, 1.0, 4
+SAMPLE, FEATURES, STEPS, RATE, DECAY, COUNTERFACTUAL = 20_000, 8192, 400, 0.05, 1e-5, 1.0
 THRESHOLD = 0.7
-#: Terms that name groups, by kind; a term is swapped for others of its kind.
+#: Terms that name groups, by kind; a term is swapped for all others of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
     ("woman", "man", "girl", "boy", "transgender"),
@@ -77,7 +77,7 @@ class Model:
         return np.array([1 / (1 + np.exp(-np.clip(self.weights[of(t)].sum() + self.bias, -30, 30))) for t in texts])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, counterfactual: float = COUNTERFACTUAL, swaps: int = SWAPS) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, counterfactual: float = COUNTERFACTUAL) -> Model:
     prior = (float(labels.sum()) + 1) / (len(labels) + 2)
     bias = float(np.log(prior / (1 - prior)))
     w = np.zeros(len(names))
@@ -87,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int
     number = {f: n for n, f in enumerate(names)}
     term = {number[t]: [number[o] for o in kind if o != t and o in number] for t, kind in KIND.items() if t in number}
     # Counterfactuals: (lost feature, gained feature) of each swap; all else in the text is as it was.
-    swapped = [(n, other) for row in rows for n in row if n in term for other in term[n][:swaps]]
+    swapped = [(n, other) for row in rows for n in row if n in term for other in term[n]]
     lost, gained = (np.array(x, int) for x in zip(*swapped)) if swapped else (np.zeros(0, int), np.zeros(0, int))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
