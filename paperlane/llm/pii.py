@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED, SWEEPS, SMOOTH = 0.9, 8, 0.5
+#: A document is swept until no message changes by more than TOLERANCE; loops may keep it from that, so SWEEPS sweeps a token are the end.
+ADDED, SWEEPS, SMOOTH, TOLERANCE = 0.9, 8, 0.5, 1e-9
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -156,13 +157,20 @@ class Field:
             factor = np.concatenate([self.pairs[kind], self.pairs[kind].transpose(0, 2, 1)])
             reverse = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
             sent = np.zeros((len(source), local.shape[1]))
-            for _ in range(SWEEPS):
+            owner = np.repeat(np.arange(len(docs)), [len(t.links) for t in docs])
+            owner, bound = np.concatenate([owner, owner]), SWEEPS * np.array([len(t.at) for t in docs])
+            live, sweeps = np.arange(len(source)), 0
+            while len(live):
                 total = local.copy()
-                np.add.at(total, target, sent)
-                x = (total[source] - sent[reverse])[:, :, None] + factor
+                np.add.at(total, target[live], sent[live])
+                x = (total[source[live]] - sent[reverse[live]])[:, :, None] + factor[live]
                 top = x.max(axis=1, keepdims=True)
                 new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-                sent = 0.5 * sent + 0.5 * (new - new.max(axis=1, keepdims=True))
+                new = 0.5 * sent[live] + 0.5 * (new - new.max(axis=1, keepdims=True))
+                change = np.zeros(len(docs))
+                np.maximum.at(change, owner[live], np.abs(new - sent[live]).max(axis=1))
+                sent[live], sweeps = new, sweeps + 1
+                live = live[(change > TOLERANCE)[owner[live]] & (sweeps < bound)[owner[live]]]
             local = local.copy()
             np.add.at(local, target, sent)
         p = np.exp(local - local.max(axis=1, keepdims=True))
