@@ -65,7 +65,7 @@ def lexical_hits(spark: SparkSession, sf: str, k: int = POOL) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(queries with targets, candidates): a paper is relevant to a vector if it bears the same label and a document says it is of high quality."""
+    """(queries with targets, candidates): a paper is relevant to a vector if it bears the same label and its document is labelled quality 0, as the SQL has it."""
     e = table(spark, sf, "embeddings")
     good = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id"))
     targets = e.join(good, "vec_id").groupBy("label").agg(F.array_sort(F.collect_set(F.col("vec_id").cast("string"))).alias("ids"))
