@@ -13,136 +13,74 @@ columns are ignored. Only documents longer than the capacity are cut.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlane.llm.common import cut
+from paperlane.llm.tokenizing import CachedTokenizer
 
 CAPACITY, END_ID = 2048, 0
-#: Distinct white-space separated strings whose ids a worker keeps before it starts afresh.
-CACHE = 400_000
-#: Strings that are encoded in one call.
-GROUP = 1000
-#: Latin letters (without U+0130, whose small form has a combining mark), then printable punctuation but the apostrophe.
-WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 SLICES = 256
-LETTERS = re.compile(r"[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
-#: The byte-level alphabet: bytes without a visible Latin-1 character stand, in order, for the characters from U+0100.
-HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
-BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(HIDDEN)}
-
-
-class Pool:
-    """Ids of strings: all in one array, found by place and length."""
-
-    def __init__(self):
-        self.known = {"": 0}
-        self.ids, self.at, self.length = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def add(self, words: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.ids, self.length = np.concatenate([self.ids, *ids]), np.concatenate([self.length, *lengths])
-        self.at = np.cumsum(self.length) - self.length
-
-    def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words, one after the other, and where each word ends."""
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.length[place]
-        ends = np.cumsum(n)
-        return self.ids[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-
-class CachedTokenizer:
-    """Ids of a tokenizer that drops white space and case: blanks and line feeds separate, so each string between them is encoded once.
-
-    A string of Latin letters and the punctuation after it is put together from the ids of these two parts: the tokenizer cuts there
-    (and has no contraction without an apostrophe), so one encoding serves a word in any case and before any punctuation. Such letters
-    are one pre-token, which goes straight to the byte-pair model; all other strings take the tokenizer's whole way.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.inner = Tokenizer.from_file(path)
-        self.model = self.inner.model
-        self.strings, self.parts = Pool(), Pool()
-
-    def encode_parts(self, words: list[str]) -> None:
-        plain = [w for w in words if LETTERS.fullmatch(w)]
-        found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))] for w in plain]
-        self.parts.add(plain, [np.fromiter(chain.from_iterable(found), "<u4")], [np.fromiter(map(len, found), np.int64)])
-        others = [w for w in words if not LETTERS.fullmatch(w)]
-        ids, lengths = [], []
-        for k in range(0, len(others), GROUP):
-            group = others[k : k + GROUP]
-            encoded = self.inner.encode(group, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(encoded.ids, "<u4"))
-            lengths.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(group)))
-        self.parts.add(others, ids, lengths)
-
-    def learn(self, words: list[str]) -> None:
-        parts: list[str] = []
-        for w in words:
-            two = WORD.fullmatch(w)
-            parts += (two[1].lower(), two[2]) if two else (w, "")
-        need = set(parts)
-        new = [p for p in need if p not in self.parts.known]
-        if len(self.parts.known) + len(new) > CACHE:
-            self.parts = Pool()
-            new = [p for p in need if p]
-        if new:
-            self.encode_parts(new)
-        ids, ends = self.parts.gather(parts)
-        self.strings.add(words, [ids], [np.diff(ends[1::2], prepend=0)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(parts))
-        need = set(words)
-        new = [w for w in need if w not in self.strings.known]
-        if len(self.strings.known) + len(new) > CACHE:
-            self.strings = Pool()
-            new = [w for w in need if w]
-        if new:
-            self.learn(new)
-        ids, ends = self.strings.gather(words)
-        return np.split(ids, ends[np.cumsum([len(p) for p in parts])[:-1] - 1])
+#: Bytes of texts that are encoded at a time; a longer text goes by itself.
+TEXT_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> CachedTokenizer:
-    """One for each worker process, over all its tasks."""
+    """One for each worker process, over all its tasks; what it keeps is bounded (some 30 MB)."""
     return CachedTokenizer(path)
 
 
+def byte_groups(offsets: np.ndarray, most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of `most` bytes together, or of one text; offsets: where texts begin, and the end."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column without nulls, and where its texts begin, with the end."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    begins = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), begins
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
+    end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                ids, texts = batch.doc_id.iloc[k : k + 256], batch.text.iloc[k : k + 256].tolist()
-                out = []
-                for i, tokens in zip(ids, tokenizer.encode(texts)):
-                    tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                    for n, at in enumerate(range(0, len(tokens), capacity)):
-                        own = tokens[at : at + capacity]
-                        out.append((i, n, at, len(own), zlib.crc32(own.tobytes())))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            data, begins = text_bytes(batch.column(1))
+            for low, high in byte_groups(begins):
+                ids, at = tokenizer.encode_texts(data[begins[low] : begins[high]], begins[low : high + 1] - begins[low])
+                raw, bounds = memoryview(ids.tobytes()), at.tolist()
+                out: list[tuple[int, int, int, int, int]] = []
+                for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    whole = b - a + 1  # with the end
+                    for piece, start in enumerate(range(0, whole, capacity)):
+                        stop = min(start + capacity, whole)
+                        crc = zlib.crc32(raw[4 * (a + start) : 4 * min(a + stop, b)])
+                        out.append((n, piece, start, stop - start, zlib.crc32(end, crc) if stop == whole else crc))
+                of, *numbers = zip(*out)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(of)), *(pa.array(x, t) for x, t in zip(numbers, types[1:]))], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
