@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlane.functions.porter import stem
@@ -96,18 +96,28 @@ def query_terms(queries: DataFrame, text_col: str = "query", limit: int | None =
     return queries.select("query_id", F.explode(F.slice(words, 1, limit) if limit else words).alias("term"))
 
 
+def held_terms(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """id, term: which of the terms asked for each document holds."""
+    return found.join(terms.select("term").distinct(), "term", "left_semi").select(id_col, "term").distinct()
+
+
 def match_all(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """query_id, id of documents that hold every term of the query."""
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    held = found.select(id_col, "term").distinct().join(terms, "term").groupBy("query_id", id_col).agg(F.count("*").alias("m"))
-    return held.join(wanted, "query_id").where("m = n").select("query_id", id_col)
+    """query_id, id of documents that hold every term of the query. A query looks only at documents that hold its rarest term."""
+    held = held_terms(found, terms, id_col)
+    asked = terms.join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")
+    rare = asked.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "term")).alias("rarest"))
+    start = rare.where("rarest.held > 0").select("query_id", "n", F.col("rarest.term").alias("term")).join(held, "term").select("query_id", "n", id_col)
+    every = start.join(terms, "query_id").join(held, [id_col, "term"]).groupBy("query_id", id_col, "n").agg(F.count("*").alias("m"))
+    return every.where("m = n").select("query_id", id_col)
 
 
 def cover_rank(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """query_id, id, covers, lexical_score of every match of all terms; found: id, p, term."""
-    hits = found.join(terms, "term").select("query_id", id_col, "p", "term")
-    matches = match_all(hits.drop("query_id").distinct(), terms, id_col)
-    hits = hits.join(matches, ["query_id", id_col])
+    return rank_covers(found.join(match_all(found, terms, id_col).join(terms, "query_id"), [id_col, "term"]).select("query_id", id_col, "p", "term"), terms, id_col)
+
+
+def rank_covers(hits: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """query_id, id, covers, lexical_score; hits: query_id, id, p, term where the terms stand in the documents that match."""
     doc = Window.partitionBy("query_id", id_col)
     hits = hits.withColumn("ix", F.dense_rank().over(doc.orderBy("p")))
     wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("all"))
@@ -115,25 +125,33 @@ def cover_rank(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     each = hits.join(wanted, "query_id").select("query_id", id_col, "p", "ix", "term", F.explode("all").alias("t"))
     running = Window.partitionBy("query_id", id_col, "t").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.col("term") == F.col("t")
-    last = each.select("query_id", id_col, "p", "ix", "t", F.max(F.when(own, F.col("p"))).over(running).alias("at"), F.max(F.when(own, F.col("ix"))).over(running).alias("at_ix"))
+    at, at_ix = (F.max(F.when(own, F.col(c))).over(running) for c in ("p", "ix"))
+    last = each.select("query_id", id_col, "p", "ix", "t", at.alias("at"), at_ix.alias("at_ix"))
     ends = last.groupBy("query_id", id_col, "p", "ix").agg(F.min("at").alias("start"), F.min("at_ix").alias("start_ix"), F.count("*").alias("n"), F.count("at").alias("seen")).where("n = seen")
     covers = ends.groupBy("query_id", id_col, "start", "start_ix").agg(F.min(F.struct("p", "ix")).alias("end"))
     noise = (F.col("end.p") - F.col("start")) - (F.col("end.ix") - F.col("start_ix"))
-    return covers.groupBy("query_id", id_col).agg(F.count("*").alias("covers"), F.sum(F.lit(0.1) / (F.lit(1.0) + noise)).alias("lexical_score"))
+    # Summed in a fixed order, so that equal texts get equal scores.
+    score = F.aggregate(F.array_sort(F.collect_list(noise)), F.lit(0.0), lambda a, x: a + F.lit(0.1) / (F.lit(1.0) + x))
+    return covers.groupBy("query_id", id_col).agg(F.count("*").alias("covers"), score.alias("lexical_score"))
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple", term_limit: int | None = None) -> DataFrame:
-    """query_id, id, lexical_score, rank for queries whose terms are all required."""
+def by_score(digits: int | None) -> Column:
+    """Descending scores; with `digits`, scores equal to so many places are ties."""
+    return (F.col("lexical_score") if digits is None else F.round("lexical_score", digits)).desc()
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple", term_limit: int | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, id, lexical_score, rank for queries whose terms are all required; `digits` as in by_score."""
     if k < 1:
         raise ValueError("lexical_k must be at least 1")
     terms = query_terms(queries, limit=term_limit)
     if analyser == "english":
         terms = analyse(terms, analyser).distinct()
     scored = cover_rank(analyse(tokens(docs, id_col, text_col), analyser), terms, id_col)
-    return top_by(scored, k, F.round("lexical_score", 6).desc(), id_col)
+    return top_by(scored, k, by_score(digits), id_col)
 
 
-def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english") -> DataFrame:
+def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english", digits: int | None = None) -> DataFrame:
     """query_id, id, covers, lexical_score, rank for web-style queries: what web_match selects, ranked by covers of the clauses.
 
     A clause stands wherever one of its phrases begins. A query of forbidden clauses alone selects with score 0; one without terms selects nothing.
@@ -151,13 +169,24 @@ def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk
     phrases = phrases.withColumn("key", F.to_json(F.struct("query_id", "clause")))
     words = phrases.withColumn("n", F.size("terms")).withColumn("w", F.explode(F.arrays_zip("terms", "offsets"))).select("query_id", "key", "phrase", "negated", "n", F.col("w.terms").alias("term"), F.col("w.offsets").alias("i"))
     found = analyse(tokens(docs, id_col, text_col), analyser)
-    at = found.join(words, "term").groupBy("query_id", "key", "phrase", "negated", "n", id_col, (F.col("p") - F.col("i")).alias("p")).agg(F.count("*").alias("held")).where("held = n")
-    wanted = phrases.where(~F.col("negated")).select("query_id", F.col("key").alias("term")).distinct()
-    scored = cover_rank(at.where(~F.col("negated")).select(id_col, "p", F.col("key").alias("term")).distinct(), wanted, id_col)
+    held = held_terms(found, words, id_col)
+    # A query looks only at documents that can satisfy its rarest clause: those with the rarest term of one of the clause's phrases.
+    sought = words.where(~F.col("negated")).join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")
+    rare = sought.groupBy("query_id", "key", "phrase").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "term")).alias("rarest"))
+    clauses = rare.groupBy("query_id", "key").agg(F.sum("rarest.held").alias("held"), F.collect_set("rarest.term").alias("start"))
+    first = clauses.groupBy("query_id").agg(F.min(F.struct("held", "key", "start")).alias("c")).select("query_id", F.explode("c.start").alias("term"))
+    near = first.join(held, "term").select("query_id", id_col).distinct()
     alone = phrases.groupBy("query_id").agg(F.min("negated").alias("negated")).where("negated").select("query_id")
+    # Of queries with forbidden clauses alone every document is looked at, for those clauses.
+    met = near.join(words, "query_id").join(found, [id_col, "term"]).unionByName(words.join(alone, "query_id", "left_semi").join(found, "term"), allowMissingColumns=True)
+    at = met.groupBy("query_id", "key", "phrase", "negated", "n", id_col, (F.col("p") - F.col("i")).alias("p")).agg(F.count("*").alias("held")).where("held = n")
+    wanted = phrases.where(~F.col("negated")).select("query_id", F.col("key").alias("term")).distinct()
+    stands = at.where(~F.col("negated")).select("query_id", id_col, "p", F.col("key").alias("term")).distinct()
+    whole = stands.groupBy("query_id", id_col).agg(F.count_distinct("term").alias("m")).join(wanted.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where("m = n")
+    scored = rank_covers(stands.join(whole.select("query_id", id_col), ["query_id", id_col]), wanted, id_col)
     every = alone.crossJoin(docs.select(id_col).distinct()).select("query_id", id_col, F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("lexical_score"))
     left = scored.unionByName(every).join(at.where("negated").select("query_id", id_col).distinct(), ["query_id", id_col], "left_anti")
-    return top_by(left, k, F.round("lexical_score", 6).desc(), id_col)
+    return top_by(left, k, by_score(digits), id_col)
 
 
 def web_match(docs: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple") -> DataFrame:

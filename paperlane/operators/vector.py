@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from paperlane.functions import text as T
 
-#: Queries that are broadcast in one go; more are dealt over blocks that meet the index by an equal block number.
+#: Bytes of query vectors that go to every worker at once; more queries are searched in several passes over the index.
+QUERY_BYTES = 64 << 20
+#: Rows of the index and queries whose products are taken at a time.
+ROWS, QUERIES = 2048, 1024
+#: Queries that pair_queries broadcasts in one go; more are dealt over blocks that meet the index by an equal block number.
 BROADCAST_QUERIES = 2_000
 
 
 def pair_queries(index: DataFrame, queries: DataFrame, block: int = BROADCAST_QUERIES) -> DataFrame:
-    """Each query beside each row of the index: a stated set of queries, broadcast if its checked size allows, else in blocks."""
+    """Each query beside each row of the index, for scores other than inner products: a stated set of queries, broadcast if its checked size allows, else in blocks."""
     n = queries.count()
     if n <= block:
         return index.crossJoin(F.broadcast(queries))
@@ -26,13 +35,93 @@ def top_by(scored: DataFrame, k: int, *order, rank: str = "rank") -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(rank) <= k)
 
 
+class _Best:
+    """The k best rows so far of every query. Products come from a matrix product first; rows within its rounding of the k-th are then summed in the order of the components, so that equal vectors get equal scores."""
+
+    def __init__(self, ids: list, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.size = np.sqrt((vectors * vectors).sum(axis=1))
+        self.least = np.full(len(ids), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, list]] = [(np.zeros(0), np.zeros(0, int), [])]
+        self.waiting = 0
+
+    def add(self, ids: list, rows: np.ndarray) -> None:
+        reach = np.sqrt((rows * rows).sum(axis=1)).max(initial=0)
+        for low in range(0, len(self.ids), QUERIES):
+            q = self.vectors[low : low + QUERIES]
+            close = q @ rows.T
+            slack = 1e-13 * q.shape[1] * self.size[low : low + QUERIES] * reach
+            least = self.least[low : low + QUERIES]
+            if close.shape[1] > self.k:
+                least = np.maximum(least, np.partition(close, close.shape[1] - self.k, axis=1)[:, -self.k] - slack)
+            at, of = np.nonzero(close >= (least - slack)[:, None])
+            scores = np.zeros(len(at))
+            for c in range(0, len(at), 1 << 16):
+                scores[c : c + (1 << 16)] = np.cumsum(q[at[c : c + (1 << 16)]] * rows[of[c : c + (1 << 16)]], axis=1)[:, -1]
+            self.found.append((scores, at + low, [ids[n] for n in of.tolist()]))
+            self.waiting += len(at)
+        if self.waiting > 4 * self.k * len(self.ids) + ROWS:
+            self.trim()
+
+    def trim(self) -> None:
+        rows = pd.DataFrame({"q": np.concatenate([f[1] for f in self.found]), "score": np.concatenate([f[0] for f in self.found]), "id": [i for f in self.found for i in f[2]]})
+        rows = rows.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+        rows = rows[rows.groupby("q").cumcount() < self.k]
+        full = rows.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy(int)] = full["min"].to_numpy()
+        self.found, self.waiting = [(rows["score"].to_numpy(), rows["q"].to_numpy(), rows["id"].tolist())], 0
+
+    def rows(self) -> pd.DataFrame:
+        self.trim()
+        scores, of, ids = self.found[0]
+        return pd.DataFrame({"query_id": [self.ids[n] for n in of.tolist()], "id": ids, "vector_score": scores})
+
+
+def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are vectors of `dim` components without nulls, as doubles, and which they are."""
+    good = np.array([v is not None and len(v) == dim and not (v.dtype == object) for v in vectors], bool)
+    return (np.stack(vectors[good].tolist()).astype(float) if good.any() else np.zeros((0, dim))), good
+
+
+def spread(index: DataFrame) -> DataFrame:
+    """The index over as many partitions as there are cores, if it has fewer: a few large files would keep most cores idle."""
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    return index.repartition(cores) if index.rdd.getNumPartitions() < cores else index
+
+
 def vector_search(queries: DataFrame, index: DataFrame, k: int, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
-    """query_id, id, vector_score, rank: inner product, descending, ties by id. queries: query_id and query_vec."""
+    """query_id, id, vector_score, rank: inner product, descending, ties by id. queries: query_id and query_vec, a stated set.
+
+    The queries are read now, QUERY_BYTES of vectors at a time, and go to every worker; the index streams past them, and a task sends
+    on k rows for each query. Rows without a vector, or with one of another length, match nothing.
+    """
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    pairs = pair_queries(index.select(id_col, "embedding"), queries.select("query_id", query_vec))
-    scored = pairs.select("query_id", id_col, T.inner_product(F.col("embedding"), F.col(query_vec)).alias("vector_score"))
-    return top_by(scored, k, F.col("vector_score").desc(), id_col)
+    spark = index.sparkSession
+    asked = queries.select("query_id", F.col(query_vec).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    n, widest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    passes = max(1, -(-n * widest * 8 // QUERY_BYTES))
+    rows = spread(index.select(F.col(id_col).alias("id"), "embedding"))
+    kind = S.StructType([S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("id", index.schema[id_col].dataType), S.StructField("vector_score", S.DoubleType())])
+    found = spark.createDataFrame([], kind)
+    for turn in range(passes if n else 0):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn).toPandas()
+        for dim, group in own.groupby(own["v"].map(len)):
+            held = spark.sparkContext.broadcast((group["query_id"].tolist(), np.stack(group["v"].tolist()).astype(float)))
+
+            def run(batches: Iterator[pd.DataFrame], held=held, dim=int(dim)) -> Iterator[pd.DataFrame]:
+                best = _Best(*held.value, k)
+                for batch in batches:
+                    for low in range(0, len(batch), ROWS):
+                        part = batch.iloc[low : low + ROWS]
+                        vectors, good = _matrix(part["embedding"], dim)
+                        if len(vectors):
+                            best.add(part["id"][good].tolist(), vectors)
+                yield best.rows()
+
+            found = found.unionByName(rows.mapInPandas(run, kind))
+    return top_by(found.withColumnRenamed("id", id_col), k, F.col("vector_score").desc(), id_col)
 
 
 def fit_cells(index: DataFrame, cells: int, sample: int = 20_000, id_col: str = "chunk_id", seed: int = 7) -> list[list[float]]:
@@ -56,6 +145,8 @@ def assign_cells(index: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 def probe_search(queries: DataFrame, celled: DataFrame, centroids: list[list[float]], k: int, probes: int, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
     """Approximate search over the `probes` nearest cells of each query; the join prunes partitions by cell."""
+    if k < 1 or probes < 1:
+        raise ValueError("top_k and probes must be at least 1")
     near = queries.select("query_id", query_vec, F.explode(_nearest(F.col(query_vec), centroids, probes)).alias("cell"))
     scored = celled.select(id_col, "embedding", "cell").join(near, "cell").select("query_id", id_col, T.inner_product(F.col("embedding"), F.col(query_vec)).alias("vector_score"))
     return top_by(scored, k, F.col("vector_score").desc(), id_col)

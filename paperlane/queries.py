@@ -61,7 +61,7 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexical_hits(spark: SparkSession, sf: str, k: int = POOL) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("search_document"))
-    return lexical.lexical_search(benchmark_queries(spark, sf), docs, k)
+    return lexical.lexical_search(benchmark_queries(spark, sf), docs, k, digits=6)
 
 
 def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -355,11 +355,11 @@ def average_precision(spark, sf):
     return metrics.rank_metrics(*labelled(spark, sf)).select("query_id", r6("mrr"), F.col("first_rank").cast("int").alias("first_rank"), r6("average_precision"))
 
 
-@query(r"""SELECT page_id, (100 * (contains(html, '\documentclass'))::INT + 100 * contains(html, '\begin{document}')::INT + 20 * regexp_matches(html, '\\title\b')::INT + 20 * regexp_matches(html, '\\begin\{abstract\}|\\abstract\b')::INT + 5 * len(regexp_extract_all(html, '\\(?:sub)*section\*?\s*[\[{]'))
+@query(r"""SELECT page_id, (100 * (contains(html, '\documentclass'))::INT + 100 * contains(html, '\begin{document}')::INT + 20 * contains(html, '\title')::INT + 20 * (contains(html, '\begin{abstract}') OR contains(html, '\abstract{'))::INT + 5 * len(regexp_extract_all(html, '\\(?:section|subsection|subsubsection|paragraph)\*?\{'))
 + CASE WHEN n IN ('main.tex', 'paper.tex', 'ms.tex', 'article.tex') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(n, 'author|package|definition|macro') THEN 30 ELSE 0 END)::INTEGER AS score
-FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '\documentclass{a} \title{x} \section{y}\subsection*{z}' ELSE '' END AS html, CASE WHEN page_id % 2 = 0 THEN 'main.tex' ELSE 'macros.tex' END AS n FROM pages)""")
+FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '\documentclass{a} \titlepage \section{y}\subsection*{z}\paragraph{p}\section[s]{t}' ELSE '' END AS html, CASE WHEN page_id % 2 = 0 THEN 'main.tex' ELSE 'macros.tex' END AS n FROM pages)""")
 def main_tex_score(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.concat("html", F.when(F.col("page_id") % 3 == 0, r"\documentclass{a} \title{x} \section{y}\subsection*{z}").otherwise("")).alias("content"), F.when(F.col("page_id") % 2 == 0, "src/main.tex").otherwise("src/macros.tex").alias("path"))
+    p = table(spark, sf, "pages").select("page_id", F.concat("html", F.when(F.col("page_id") % 3 == 0, r"\documentclass{a} \titlepage \section{y}\subsection*{z}\paragraph{p}\section[s]{t}").otherwise("")).alias("content"), F.when(F.col("page_id") % 2 == 0, "src/main.tex").otherwise("src/macros.tex").alias("path"))
     return p.select("page_id", tex.main_score(F.col("path"), F.col("content")).alias("score"))
 
 
