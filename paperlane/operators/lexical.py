@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paperlane.functions.porter import stem
 from paperlane.operators.vector import top_by
+from paperlane.plans.stored import stored
 
 TOKEN = "[a-z0-9]+"
 
@@ -26,20 +27,24 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(words).alias("p", "term")).withColumn("p", F.col("p") + 1)
 
 
-def analyse(found: DataFrame, analyser: str = "simple") -> DataFrame:
-    """Tokens to terms. The stemmer sees each distinct token once; its table joins back by token, as Spark sees fit."""
-    if analyser == "simple":
-        return found
-    if analyser != "english":
-        raise ValueError(f"unknown analyser: {analyser}")
-    stop = stop_words()
-
+def stemmed(words: Column) -> Column:
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    vocabulary = found.select("term").distinct().where(~F.col("term").isin(stop)).withColumn("stem", stems("term"))
-    return found.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
+    return stems(words)
+
+
+def analyse(found: DataFrame, analyser: str = "simple", only: DataFrame | None = None) -> DataFrame:
+    """Tokens to terms, or to those terms alone that `only` (term) has. The stemmer sees each distinct token once; its table joins back by token, as Spark sees fit."""
+    if analyser == "simple":
+        return found if only is None else found.join(only, "term", "left_semi")
+    if analyser != "english":
+        raise ValueError(f"unknown analyser: {analyser}")
+    vocabulary = found.select("term").distinct().where(~F.col("term").isin(stop_words())).withColumn("stem", stemmed(F.col("term")))
+    if only is not None:
+        vocabulary = vocabulary.join(only.select(F.col("term").alias("stem")), "stem", "left_semi")
+    return found.join(vocabulary.select("term", "stem"), "term").drop("term").withColumnRenamed("stem", "term")
 
 
 def stop_words() -> list[str]:
@@ -147,7 +152,10 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "c
     terms = query_terms(queries, limit=term_limit)
     if analyser == "english":
         terms = analyse(terms, analyser).distinct()
-    scored = cover_rank(analyse(tokens(docs, id_col, text_col), analyser), terms, id_col)
+    terms = stored(terms, "terms")
+    # The corpus is read for its tokens once; what is kept are the positions of the queries' terms.
+    found = stored(analyse(tokens(docs, id_col, text_col), analyser, terms.select("term").distinct()), "found")
+    scored = cover_rank(found, terms, id_col)
     return top_by(scored, k, by_score(digits), id_col)
 
 
@@ -166,9 +174,10 @@ def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk
         return [(c, n, x.negated, list(x.phrases[n]), list(x.offsets[n])) for c, x in enumerate(clauses) for n in range(len(x.phrases))]
 
     phrases = queries.select("query_id", "query").distinct().select("query_id", F.explode(parsed("query")).alias("c")).select("query_id", "c.*")
-    phrases = phrases.withColumn("key", F.to_json(F.struct("query_id", "clause")))
+    phrases = stored(phrases.withColumn("key", F.to_json(F.struct("query_id", "clause"))), "phrases")
     words = phrases.withColumn("n", F.size("terms")).withColumn("w", F.explode(F.arrays_zip("terms", "offsets"))).select("query_id", "key", "phrase", "negated", "n", F.col("w.terms").alias("term"), F.col("w.offsets").alias("i"))
-    found = analyse(tokens(docs, id_col, text_col), analyser)
+    # The corpus is read for its tokens once; what is kept are the positions of the queries' terms.
+    found = stored(analyse(tokens(docs, id_col, text_col), analyser, words.select("term").distinct()), "found")
     held = held_terms(found, words, id_col)
     # A query looks only at documents that can satisfy its rarest clause: those with the rarest term of one of the clause's phrases.
     sought = words.where(~F.col("negated")).join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")

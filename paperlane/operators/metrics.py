@@ -71,3 +71,26 @@ def render_markdown(by_k: list, title: str, means: tuple[float, float], queries:
         if q["missing"]:
             out.append("Missing: " + ", ".join(q["missing"]))
     return "\n".join(out) + "\n"
+
+
+def render_report(by_k: list[dict], means: dict, queries: list[dict]) -> str:
+    """The whole report: means, a table by k, and for each query its figures, its first papers by name and its missing targets."""
+    first = by_k[0] if by_k else {"n_queries": 0, "n_without_targets": 0}
+    named = lambda p: f"{p['paper_id']} - {p['title'] or '(metadata not found)'}"
+    out = [
+        "# Retrieval Metrics", "", f"- Queries: `{first['n_queries']}`", f"- Queries with targets: `{first['n_queries'] - first['n_without_targets']}`", f"- Queries without targets: `{first['n_without_targets']}`",
+        f"- Mean average precision: `{means['mean_average_precision']:.4f}`", f"- Mean reciprocal rank: `{means['mean_mrr']:.4f}`",
+        "", "## Aggregate At K", "", "| k | Recall | Precision | Hit Rate | No-target retrieved papers |", "| ---: | ---: | ---: | ---: | ---: |",
+    ]
+    out += [f"| {r['k']} | {r['mean_recall']:.4f} | {r['mean_precision']:.4f} | {r['mean_hit']:.4f} | {r['mean_non_target']:.2f} |" for r in by_k]
+    out += ["", "## Query Details"]
+    for q in queries:
+        targets, gone = set(q["targets"] or ()), q["gone"] or []
+        out += [
+            "", f"### {q['query_id']}: {q['query']}", "", f"- Expected: `{q['expected']}`", f"- Targets found: `{len(targets) - len(gone)}/{len(targets)}`", f"- First relevant rank: `{q['first_rank'] or 'none'}`",
+            f"- AP: `{q['average_precision']:.4f}`", f"- MRR: `{q['mrr']:.4f}`", "", "| k | Recall | Precision | Hit |", "| ---: | ---: | ---: | ---: |",
+        ]
+        out += [f"| {a['k']} | {a['recall']:.4f} | {a['precision']:.4f} | {a['hit']:.0f} |" for a in q["at"] or ()]
+        out += ["", "Top papers:"] + [f"- {p['paper_rank']}. `{'TARGET' if p['paper_id'] in targets else 'MISS'}` {named(p)}" for p in q["top"] or ()]
+        out += ["", "Missing targets:", *(f"- {named(p)}" for p in gone)] if gone else []
+    return "\n".join(out) + "\n"

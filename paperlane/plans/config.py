@@ -10,6 +10,8 @@ from urllib.parse import urlsplit, urlunsplit
 
 MODES = ("vector", "lexical", "hybrid")
 ANALYSERS = ("simple", "english")
+#: Cells that an inexact search looks into unless told otherwise.
+PROBES = 8
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,8 @@ class RetrievalConfig:
             raise ValueError("candidate_k, lexical_k, rrf_k and final_k must be at least 1")
         if self.exact and self.probes is not None:
             raise ValueError("probes are for inexact search only")
+        if self.probes is not None and self.probes < 1:
+            raise ValueError("probes must be at least 1")
 
     @property
     def lexical_k(self) -> int:

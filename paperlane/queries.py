@@ -229,6 +229,24 @@ def lexical_cover_rank(spark, sf):
     return lexical_hits(spark, sf).select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
 
 
+def web_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Web-style queries from words of the benchmark items: by turns a phrase, alternatives, a forbidden word, and plain words."""
+    w = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
+    word = lambda n: F.coalesce(F.get(w, F.lit(n)), F.lit("the"))
+    texts = [F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('"')), F.concat(word(0), F.lit(" or "), word(3), F.lit(" "), word(1)), F.concat(word(0), F.lit(" -"), word(2)), F.concat(F.lit("the "), word(0), F.lit(" "), word(1), F.lit(" "), word(2))]
+    kind = F.col("item_id") % 4
+    text = F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).when(kind == 2, texts[2]).otherwise(texts[3])
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+
+
+@query()
+def web_search_english(spark, sf):
+    """Web-style queries in English (stems, stop words, phrases, `or`, `-`), ranked; a test holds it against a brute-force version."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("search_document"))
+    found = lexical.web_search(web_queries(spark, sf), docs, POOL, digits=9)
+    return found.select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(S_TERMS + S_COVERS + """,
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS q, c.vec_id AS d, list_inner_product(q.e, c.e) AS score FROM v q JOIN benchmark b ON q.vec_id = b.item_id, v c),

@@ -113,13 +113,14 @@ def unpack(sources: DataFrame) -> DataFrame:
     return sources.select("paper_id", "content").mapInPandas(run, "paper_id string, path string, content string, error string")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id", unique: str | None = None) -> DataFrame:
-    """existing with rows of equal key replaced and new ones added; of equal keys in incoming the last (by `unique`, else any) wins.
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id", unique: str | None = None, order: str | None = None) -> DataFrame:
+    """existing with rows of equal key replaced and new ones added; of equal keys in incoming the last wins, by `order` or by `unique`, and without
+    either (rows have no order of their own) that with the largest hash, so that the same rows give the same result.
 
     Write the result to a new path. `unique`: a column that must not repeat over keys; repeats are refused.
     """
-    order = F.col(unique).desc() if unique else F.lit(0)
-    incoming = incoming.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+    by = [F.col(c).desc() for c in (order, unique) if c] + [F.xxhash64(*incoming.columns).desc()]
+    incoming = incoming.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("__n = 1").drop("__n")
     out = incoming.unionByName(existing.join(incoming.select(key), key, "left_anti"))
     if unique:
         times = F.count("*").over(Window.partitionBy(unique))
