@@ -331,6 +331,32 @@ def context_pack(spark, sf):
     return evidence.pack_context(_plain_evidence(spark, sf), BUDGET).select("query_id", "used", F.array_join("kept", ",").alias("kept"))
 
 
+@query(S_PLAIN.replace("WITH v", "WITH RECURSIVE v", 1) + f""",
+must AS (
+  SELECT query_id, source_number, '[SOURCE ' || source_number || ']' || chr(10) || 'Paper: ' || min(title) || chr(10) || 'arXiv: ' || min(paper_id) || chr(10) || 'Abstract:' || chr(10)
+    || coalesce(nullif(max(CASE WHEN chunk_index = 0 THEN text[1:400] END), ''), '(Abstract unavailable in corpus.)') || chr(10) AS t
+  FROM ev GROUP BY query_id, source_number
+),
+cost AS (
+  SELECT query_id, source_number, pos, chunk_id, greatest(1, ceil(length('Passage, section ' || array_to_string(section_path, ' > ') || ':' || chr(10) || text || chr(10)) / 3.5::DOUBLE))::INTEGER AS cost
+  FROM ev WHERE chunk_index > 0
+),
+blk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_number, pos) AS i FROM cost),
+fold AS (
+  SELECT query_id, 0::BIGINT AS i, sum(greatest(1, ceil(length(t) / 3.5::DOUBLE)))::INTEGER AS used, []::VARCHAR[] AS kept FROM must GROUP BY query_id
+  UNION ALL
+  SELECT f.query_id, b.i, CASE WHEN used + cost <= {BUDGET} THEN used + cost ELSE used END, CASE WHEN used + cost <= {BUDGET} THEN list_append(kept, b.chunk_id) ELSE kept END
+  FROM fold f JOIN blk b ON b.query_id = f.query_id AND b.i = f.i + 1
+)
+SELECT query_id, max_by(used, i)::INTEGER AS used, array_to_string(max_by(kept, i), ',') AS kept FROM fold GROUP BY query_id""")
+def context_pack_abstracts(spark, sf):
+    """Abstracts (the first 400 characters of a paper's first line) must all go in; passages share what is left of the budget."""
+    lines = lines_as_chunks(spark, sf).withColumn("text", F.when(F.col("chunk_type") == "abstract", F.substring("text", 1, 400)).otherwise(F.col("text")))
+    h = paper_hits(spark, sf)
+    packed = evidence.pack_context(evidence.rank_evidence(h, evidence.select_evidence(h, lines, 2)), BUDGET)
+    return packed.select("query_id", "used", F.array_join("kept", ",").alias("kept"))
+
+
 @query(S_PLAIN + """SELECT query_id, source_number::INTEGER AS source_number, '[' || source_number || '] ' || min(title) || ' (arXiv:' || min(paper_id) || ') — ' || string_agg(DISTINCT array_to_string(section_path, ' > '), '; ') || chr(10) || '    https://arxiv.org/abs/' || min(paper_id) AS line FROM ev GROUP BY query_id, source_number""")
 def format_sources(spark, sf):
     return evidence.format_sources(_plain_evidence(spark, sf)).select("query_id", F.col("source_number").cast("int").alias("source_number"), "line")
