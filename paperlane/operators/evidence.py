@@ -74,7 +74,8 @@ def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
     paper = paper.select("query_id", "source_number", must.alias("must"), F.transform("passages", lambda p: F.struct(p["chunk_id"].alias("id"), block(p).alias("block"))).alias("passages"))
     query = paper.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source_number", "must", "passages"))).alias("papers"))
     needed = F.aggregate("papers", F.lit(0), lambda n, p: n + T.estimate_answer_tokens(p["must"]))
-    every = F.flatten(F.transform("papers", lambda p: F.transform(p["passages"], lambda x: F.struct(p["source_number"].alias("n"), x["id"].alias("id"), x["block"].alias("block"), T.estimate_answer_tokens(x["block"]).alias("cost")))))
+    priced = lambda p, x: F.struct(p["source_number"].alias("n"), x["id"].alias("id"), x["block"].alias("block"), T.estimate_answer_tokens(x["block"]).alias("cost"))
+    every = F.flatten(F.transform("papers", lambda p: F.transform(p["passages"], lambda x: priced(p, x))))
     start = F.struct(needed.alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
@@ -82,7 +83,8 @@ def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
         return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["id"])).otherwise(s["kept"]).alias("kept"))
 
     packed = query.withColumn("packed", F.when(needed > budget, F.raise_error(F.lit("the abstracts alone exceed the budget"))).otherwise(F.aggregate(every, start, step)))
-    text = F.transform("papers", lambda p: F.trim(F.array_join(F.concat(F.array(p["must"]), F.transform(F.filter(p["passages"], lambda x: F.array_contains(F.col("packed.kept"), x["id"])), lambda x: x["block"])), "\n"), F.lit("\n ")))
+    taken = lambda p: F.transform(F.filter(p["passages"], lambda x: F.array_contains(F.col("packed.kept"), x["id"])), lambda x: x["block"])
+    text = F.transform("papers", lambda p: F.trim(F.array_join(F.concat(F.array(p["must"]), taken(p)), "\n"), F.lit("\n ")))
     return packed.select("query_id", F.array_join(text, "\n\n").alias("context"), F.col("packed.used").alias("used"), F.col("packed.kept").alias("kept"))
 
 

@@ -16,7 +16,9 @@ def query_metrics(queries: DataFrame, candidates: DataFrame, cuts: tuple[int, ..
     """query_id, k, n_targets, recall, precision, hit, non_target. Precision divides by k; without targets all three are 0."""
     known = _targets(queries).select("query_id", "paper_id", F.lit(True).alias("is_target"))
     marked = candidates.select("query_id", "paper_id", "paper_rank").join(known, ["query_id", "paper_id"], "left")
-    counts = marked.groupBy("query_id").agg(*(F.count(F.when((F.col("paper_rank") <= k) & F.col("is_target"), 1)).alias(f"found_{k}") for k in cuts), *(F.count(F.when((F.col("paper_rank") <= k) & F.col("is_target").isNull(), 1)).alias(f"other_{k}") for k in cuts))
+    within = lambda k, what, name: F.count(F.when((F.col("paper_rank") <= k) & what, 1)).alias(f"{name}_{k}")
+    target, other = F.col("is_target"), F.col("is_target").isNull()
+    counts = marked.groupBy("query_id").agg(*(within(k, target, "found") for k in cuts), *(within(k, other, "other") for k in cuts))
     size = F.size(F.array_distinct("relevant_paper_ids"))
     rows = queries.select("query_id", size.alias("n_targets")).join(counts, "query_id", "left")
     per = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"found_{k}", F.lit(0)).alias("found"), F.coalesce(f"other_{k}", F.lit(0)).alias("non_target")) for k in cuts))
@@ -38,14 +40,18 @@ def rank_metrics(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     missing = F.transform(F.array_sort(F.collect_list(F.when(F.col("paper_rank").isNull(), F.struct("target_pos", "paper_id")))), lambda x: x["paper_id"])
     per = ranked.groupBy("query_id").agg(F.min("paper_rank").alias("first_rank"), F.sum(F.col("i") / F.col("paper_rank")).alias("gained"), F.count("*").alias("n"), missing.alias("missing"))
     rows = queries.select("query_id").join(per, "query_id", "left")
-    return rows.select("query_id", F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)).alias("mrr"), "first_rank", F.coalesce(F.col("gained") / F.col("n"), F.lit(0.0)).alias("average_precision"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    mrr = F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)).alias("mrr")
+    average = F.coalesce(F.col("gained") / F.col("n"), F.lit(0.0)).alias("average_precision")
+    return rows.select("query_id", mrr, "first_rank", average, F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
 
 
 def aggregate_metrics(per_query: DataFrame) -> DataFrame:
     """k, n_queries, n_without_targets, mean_recall, mean_precision, mean_hit over queries with targets; mean_non_target over those without."""
     has = F.col("n_targets") > 0
     mean = lambda c, on: F.coalesce(F.avg(F.when(on, F.col(c))), F.lit(0.0))
-    return per_query.groupBy("k").agg(F.count("*").alias("n_queries"), F.count(F.when(~has, 1)).alias("n_without_targets"), mean("recall", has).alias("mean_recall"), mean("precision", has).alias("mean_precision"), mean("hit", has).alias("mean_hit"), mean("non_target", ~has).alias("mean_non_target"))
+    return per_query.groupBy("k").agg(
+        F.count("*").alias("n_queries"), F.count(F.when(~has, 1)).alias("n_without_targets"), *(mean(c, has).alias(f"mean_{c}") for c in ("recall", "precision", "hit")), mean("non_target", ~has).alias("mean_non_target")
+    )
 
 
 def aggregate_ranks(queries: DataFrame, ranks: DataFrame) -> DataFrame:

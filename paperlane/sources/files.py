@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARSEABLE = ("downloaded_and_extracted", "already_extracted")
-MANIFEST = "bib_key string, entry_type string, title string, authors string, year string, arxiv_id string, primary_class string, source_url string, status string, living_review_categories array<array<string>>, source_path string, extracted_path string, error string"
-CHUNK = "chunk_id string, paper_id string, bib_key string, title string, authors string, year string, primary_class string, source_url string, main_tex_path string, living_review_categories array<array<string>>, section_path array<string>, chunk_index int, chunk_type string, text string, token_count int, paragraph_ids array<string>"
+MANIFEST = (
+    "bib_key string, entry_type string, title string, authors string, year string, arxiv_id string, primary_class string, source_url string, status string, "
+    "living_review_categories array<array<string>>, source_path string, extracted_path string, error string"
+)
+CHUNK = (
+    "chunk_id string, paper_id string, bib_key string, title string, authors string, year string, primary_class string, source_url string, main_tex_path string, "
+    "living_review_categories array<array<string>>, section_path array<string>, chunk_index int, chunk_type string, text string, token_count int, paragraph_ids array<string>"
+)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

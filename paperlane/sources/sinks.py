@@ -101,7 +101,9 @@ def write_report(folder: str, settings: dict, queries: DataFrame, candidates: Da
     gone = missing.groupBy("query_id").agg(F.collect_list(F.struct("paper_id", "title")).alias("gone"))
     at = per_query.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", "n_targets", "recall", "precision", "hit", "non_target"))).alias("at"))
     expected = F.col("expected_result") if "expected_result" in queries.columns else F.lit(None).cast("string")
-    rows = queries.select("query_id", "query", expected.alias("expected"), F.col("relevant_paper_ids").alias("targets")).join(at, "query_id", "left").join(ranks.drop("missing"), "query_id", "left").join(top, "query_id", "left").join(gone, "query_id", "left")
+    rows = queries.select("query_id", "query", expected.alias("expected"), F.col("relevant_paper_ids").alias("targets"))
+    for part in (at, ranks.drop("missing"), top, gone):
+        rows = rows.join(part, "query_id", "left")
     details = [r.asDict(recursive=True) for r in rows.orderBy("query_id").collect()]
     record = {"config": settings, "aggregate": {"by_k": by_k, **means}, "queries": details}
     put_text(spark, f"{folder}/retrieval_metrics.json", as_json(record))
