@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlane.plans.stored import shared_dir
+
+#: Folders that cut() has written, for release().
+WRITTEN: list[str] = []
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="paperlane-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of BATCH_BYTES at most (one row at least), unless the session says otherwise: a bound on a worker's memory however long texts are."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and reread it: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and reread it: lineage ends here and survives lost executors. by: a column whose values get folders of their own."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/paperlane/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what cut() has written, from the `since`-th folder on; for callers that have stored what they need of it."""
+    for folder in WRITTEN[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del WRITTEN[since:]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; a text of ASCII alone (as many bytes as characters) goes the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -49,6 +60,13 @@ def hash_order(doc_id: Column, salt: int) -> Column:
     return F.xxhash64(doc_id, F.lit(salt))
 
 
+def drawn(ids: DataFrame, column: str, most: int, salt: int) -> DataFrame:
+    """At most `most` distinct ids, by a hash: one threshold for all rows, so that no task sees more than its share."""
+    of = F.pmod(hash_order(F.col(column), salt), F.lit(1 << 32))
+    bound = (1 << 32) * min(1.0, 1.05 * most / max(1, ids.count()))
+    return ids.where(of < F.lit(int(bound))).select(column).distinct().orderBy(hash_order(F.col(column), salt), column).limit(most)
+
+
 def auc(scores, labels) -> float:
     """Area under the ROC curve, ties counted half."""
     import numpy as np
