@@ -4,7 +4,7 @@ Components x of a vector become floor(64 * x), x as double; the score is the int
 which meet every block of candidates (a stated set of queries against all rows). Everything is scored; each
 query's scores go into a histogram over an interval that holds its k-th value, histograms are summed over all
 blocks, the bin with the k-th value becomes the next interval, and so on until the k-th value is exact. A last pass keeps
-scores above it, and of those equal to it the smallest ids; a block passes on k ties at most, as no more can be among
+scores above it, and of those equal to it the smallest ids; a slice of SLICE candidates passes on k ties at most, as no more can be among
 the k smallest ids, so thousands of equal vectors make no large group.
 
 Vectors that are null, or hold a null or non-finite component, take no part; nor do rows without an id. A query does not meet
@@ -26,9 +26,8 @@ from paperlane.llm.common import cut
 
 SCALE, K, QUERY_BLOCK, ROW_BLOCK, BINS = 64, 20, 512, 4096, 256
 MOST_PARTS = 4096
-#: Candidates scored at a time, and pairs of blocks (megabytes each) that are sent to a worker at a time.
-SLICE, PAIRS_SENT = 1024, 4
-SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Candidates scored at a time; blocks of queries whose histograms a task sums before it sends them on (a megabyte each).
+SLICE, HELD = 1024, 64
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -81,18 +80,28 @@ def _own_scores(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each query, how many scores are above its interval [low, low + BINS * width) and how many fall in each bin."""
+    """For each query, how many scores are above its interval [low, low + BINS * width) and how many fall in each bin, over all the task's candidates."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sent() -> Iterator[pd.DataFrame]:
+        for q_block, (ids, flat) in held.items():
+            q, b = np.nonzero(flat[:, 1:])
+            yield pd.DataFrame({"q_block": q_block, "query_id": ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
+        held.clear()
+
     for batch in batches:
         for row in batch.itertuples():
             low, width = np.frombuffer(row.low, "<i8")[:, None], np.frombuffer(row.width, "<i8")[:, None]
-            flat = np.zeros((len(low), BINS + 2), np.int64)
+            if row.q_block not in held:
+                if len(held) == HELD:
+                    yield from sent()
+                held[row.q_block] = np.frombuffer(row.q_ids, "<i8").copy(), np.zeros((len(low), BINS + 2), np.int64)
+            flat = held[row.q_block][1]
             for q_ids, _, s, counts in _own_scores(row):
                 bins = np.clip((s - low) // width, -1, BINS) + 1
                 bins[~counts] = 0
                 flat += np.bincount((bins + np.arange(len(q_ids))[:, None] * (BINS + 2)).ravel(), minlength=flat.size).reshape(flat.shape)
-            ids = np.frombuffer(row.q_ids, "<i8")
-            q, b = np.nonzero(flat[:, 1:])
-            yield pd.DataFrame({"q_block": row.q_block, "query_id": ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
+    yield from sent()
 
 
 def _winners(k: int):
@@ -161,22 +170,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _sent(df: DataFrame, tag: str) -> DataFrame:
-    """cut(df), with few pairs of blocks to a batch while it runs."""
-    conf = df.sparkSession.conf
-    before = conf.get(SENT)
-    conf.set(SENT, str(PAIRS_SENT))
-    try:
-        return cut(df, tag)
-    finally:
-        conf.set(SENT, before)
-
-
 def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, refine, width: int, k: int) -> DataFrame:
     """The passes: refine the intervals until they are single values, then keep what reaches them."""
     while True:
         counted = pairs.join(state, "q_block").select("q_block", "dim", "ids", "data", "q_ids", "q_data", "low", "width").mapInPandas(_histograms, "q_block string, query_id long, bin int, n long")
-        summed = _sent(counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n")), "histograms")
+        summed = cut(counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n")), "histograms")
         # One row a block, so that its ids and intervals are not repeated for every count.
         cells = summed.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bin", "n")).alias("cells"))
         whole = q.select("q_block", "q_ids").join(state, "q_block").join(cells, "q_block", "left")
@@ -184,4 +182,4 @@ def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, r
         if width == 1:
             break
         width = max(1, -(-width // BINS))
-    return _sent(pairs.join(state, "q_block").select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long"), "winners")
+    return cut(pairs.join(state, "q_block").select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long"), "winners")
