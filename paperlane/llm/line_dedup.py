@@ -9,7 +9,7 @@ their own. An empty table gives an empty result. Other columns are passed on unc
 
 What is gathered: one row for each distinct (host, line), counted on the map side first. A host has at most
 (lines a page) / ratio boilerplate lines, but hosts are unbounded, so the list is broadcast only if it has at most
-`broadcast_lines` rows; otherwise hosts meet their lists in a shuffled join, with hot hosts dealt over `SALTS` parts.
+`broadcast_lines` rows and BROADCAST_BYTES bytes; otherwise hosts meet their lists in a shuffled join, with hot hosts dealt over `SALTS` parts.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.llm.common import cut, row_count_at_most
+from paperlane.llm.common import cut
 
-RATIO, MIN_PAGES, BROADCAST_LINES, SALTS = 0.1, 5, 100_000, 64
+RATIO, MIN_PAGES, BROADCAST_LINES, BROADCAST_BYTES, SALTS = 0.1, 5, 100_000, 32 << 20, 64
 
 
 def lines_of(text: Column) -> Column:
@@ -53,7 +53,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
 def marked(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs and __kept: the text without boilerplate, null where the text is null or nothing is cut."""
     found = cut(boilerplate(docs, ratio, min_pages, text_col, host_col).select("host", "line"), "boilerplate")
-    small = row_count_at_most(found, broadcast_lines)
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("line") + 32), F.lit(0))).first()
+    small = n <= broadcast_lines and size <= BROADCAST_BYTES
     lists = found.groupBy("host").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("host", "__host")
     host = docs[host_col].cast("string")
     if small:
