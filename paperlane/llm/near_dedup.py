@@ -8,12 +8,16 @@ Signatures follow ProbMinHash (Ertl, 2020): every shingle is a Poisson process w
 random components, each component keeps the shingle of its first arrival, and a process stops once its clock is past the
 latest first arrival of all components. Two texts share a component with probability equal to their similarity.
 
-Texts with equal words are one node. Nodes meet in the buckets of BANDS bands of ROWS components. No bucket is expanded into pairs: in
-each round the members of a bucket are compared with one leader of it that is in another class, and classes are
-merged; leaders change from round to round. What is still in one bucket but in different classes after ROUNDS rounds is compared
-member by member. A comparison first counts equal components of the two signatures; texts are fetched and verified only where
-these are within SPREAD standard deviations of what a similarity of 0.8 gives. A pair at 0.8 misses all buckets
-with probability 2e-5, and falls out of that spread with probability 2e-4; everything above is likelier to be found.
+Texts with equal words are one node. Nodes meet in the buckets of BANDS bands of ROWS components. No bucket is expanded into pairs. At first every
+node goes to its largest bucket alone, and is compared with that bucket's leader, which joins the bulk of a large group at one comparison a node. Then, in
+each of ROUNDS rounds, the members of a bucket are compared with one leader of it, from the class that has most of its members, if they are of another class;
+classes are merged, by the links between classes alone; leaders change from round to round. What is still in one bucket but in different classes is compared
+member by member. A leader's text travels once for every MEMBERS members, and a leader of many is dealt over as many parts.
+
+A comparison first counts equal components of the two signatures; texts are fetched and verified only where
+these are within SPREAD standard deviations of what a similarity of 0.8 gives. Nodes left for the last round get a signature of LONG
+components besides, which tells 0.75 from 0.8, so that two large groups that are nearly alike are not compared text by text. A pair at 0.8 misses all buckets
+with probability 2e-5, and falls out of either spread with probability 2e-4; everything above is likelier to be found.
 
 Null text is empty. Texts without words are alike only if equal as strings. Null ids: the class id is the smallest id of the class, or null.
 Repeated rows are copies. An empty table gives an empty result. Extra columns are ignored (classes) or passed on (deduplicate).
@@ -35,6 +39,11 @@ SHINGLE, SIMILARITY, BANDS, ROWS, ROUNDS, SPREAD = 5, 0.8, 36, 6, 3, 3.5
 #: Components, each cut to a byte, in a packed number; the top byte stays free.
 PACKED = 7
 LEAST_EQUAL = int(BANDS * ROWS * (SIMILARITY - SPREAD * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
+#: Components of the signatures of the last round, and how many of them must be equal.
+LONG = 864
+LEAST_LONG = int(LONG * (SIMILARITY - SPREAD * (SIMILARITY * (1 - SIMILARITY) / LONG) ** 0.5))
+#: Words whose signatures are made at a time; members that a leader is compared with in one part.
+WORDS, MEMBERS = 1 << 16, 512
 #: Rows of ids that are broadcast at most.
 BROADCAST_ROWS = 200_000
 WORD = r"[\p{L}\p{N}]+"
@@ -112,6 +121,17 @@ def equal_components(a: Column, b: Column) -> Column:
     return total
 
 
+def equal_long(a: Column, b: Column) -> Column:
+    """equal_components of signatures of LONG components."""
+    low, high = int("7f" * PACKED, 16), int("80" * PACKED, 16)
+
+    def equal(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        return F.bit_count(F.bitwise_not((z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z)).bitwiseAND(F.lit(high)))
+
+    return F.aggregate(F.zip_with(a, b, equal), F.lit(-(-LONG % PACKED)), lambda n, x: n + x)
+
+
 def probability_jaccard(a: Counter, b: Counter) -> float:
     """Sum over common elements d of 1 / sum over all i of max(a_i / a_d, b_i / b_d)."""
     both = Counter((a[k], b[k]) for k in a.keys() & b.keys())
@@ -127,10 +147,19 @@ def shingles(words: list[str], size: int = SHINGLE) -> Counter:
     return Counter(zip(*(words[i:] for i in range(size))))
 
 
+def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The batch in parts of WORDS words together, or of one text."""
+    ends = np.cumsum([len(w) for w in batch.codes])
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, side="right")))
+        yield batch.iloc[at:to]
+        at = to
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for k in range(0, len(batch), 1024):
-            part = batch.iloc[k : k + 1024]
+        for part in _parts(batch):
             full = [n for n, w in enumerate(part.codes) if len(w)]
             bands: list = [np.zeros(0, np.int64)] * len(part)
             signs = list(bands)
@@ -141,6 +170,19 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "text_key": part.text_key, "node": part.node, "bands": bands, "signs": signs})
 
 
+def _signed_long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for part in _parts(batch):
+            yield pd.DataFrame({"node": part.node, "more": list(packed(prob_min_hash([shingle_codes(np.asarray(w)) for w in part.codes], LONG)))})
+
+
+def signed_long(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, more: signatures of LONG components of the wanted nodes; texts: node, words."""
+    codes = F.transform(F.split("words", " "), lambda w: F.xxhash64(w))
+    rows = texts.join(wanted.select("node").distinct(), "node", "left_semi").select("node", codes.alias("codes"))
+    return cut(rows.mapInPandas(_signed_long, "node binary, more array<long>"), "signed-long")
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, node, bands, signs of every row, written; the one pass over all texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -151,28 +193,50 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a leader and part come together, the leader's own (without x) first; rows out are the members that are similar."""
     held, own = None, Counter()
     for batch in batches:
         keep = []
-        for b, words_b, words_a in zip(batch.b, batch.words_b, batch.words_a):
-            if b != held:
-                held, own = b, shingles(words_b.split(" "))
-            keep.append(probability_jaccard(shingles(words_a.split(" ")), own) >= SIMILARITY)
-        yield batch.loc[keep, ["a", "b"]]
+        for x, y, part, words in zip(batch.x, batch.y, batch.part, batch.words):
+            mine = shingles(words.split(" "))
+            if x is None:
+                held, own = (y, part), mine
+            elif held != (y, part):
+                raise ValueError("a leader is missing before its members")
+            keep.append(x is not None and probability_jaccard(mine, own) >= SIMILARITY)
+        yield batch.loc[keep, ["x", "y"]].rename(columns={"x": "a", "y": "b"})
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (x: member, y: leader) that are similar, as a, b; texts: node, words."""
+    pairs = pairs.select("y", "x", F.pmod(F.xxhash64("x"), F.lit(1 << 20)).alias("h"))
+    many = pairs.groupBy("y").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("long").alias("parts"))
+    dealt = pairs.join(many, "y").select("x", "y", F.pmod("h", "parts").cast("int").alias("part"))
+    members = dealt.join(texts.select(F.col("node").alias("x"), "words"), "x").select("x", "y", "part", "words")
+    led = many.select("y", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")).join(texts.select(F.col("node").alias("y"), "words"), "y")
+    rows = members.unionByName(led.select(F.lit(None).cast("binary").alias("x"), "y", "part", "words"))
+    ordered = rows.repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
+    return ordered.mapInPandas(_verified, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) of all nodes of the edges (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    """node, label (the smallest node of its component) of all nodes of the edges (a, b).
+
+    Every node goes to its smallest neighbour and on to that one's, the edges between the nodes so reached are kept once each, and so on until none is
+    left: a star, which is what leaders make, is gone after one turn.
+    """
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "low").alias("label"))
-        # The label's own label: halves the way to the smallest node.
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = cut(lower.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.where("label <> before").take(1):
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))
+        low = cut(ends.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next")), "low")
+        up = cut(low.join(low.select(F.col("node").alias("next"), F.col("next").alias("up")), "next").select("node", "up"), "up")
+        labels = up.select("node", F.col("up").alias("label")) if labels is None else labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        labels = cut(labels, "labels")
+        for end in "ab":
+            edges = edges.join(up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}")), end)
+        edges = cut(edges.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).where("a < b").distinct(), "edges")
+        if not edges.take(1):
             return labels
 
 
@@ -181,39 +245,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _classes(docs, signed(docs, id_col, text_col), id_col, text_col).select("doc_id", "class_id", "class_size")
 
 
+def mixed_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, bucket, label of the members of buckets that hold more than one class.
+
+    Buckets are told apart by the smallest and largest label of their members, summed up before rows move; only members of mixed buckets go on.
+    """
+    named = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
+    return cut(named.join(mixed, "bucket", "left_semi"), "mixed")
+
+
 def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rows with class_id, class_size, label and keeper (doc_id, text_key of the row that stands for the class)."""
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("low_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("signs").alias("signs")), "nodes")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(member.join(shared, "bucket"), "members")
-    needed = member.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("f_id"), F.col("first.text_key").alias("f_key"))
+    largest = member.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("most")).select("node", "most.bucket")
+    member = member.drop("n")
+    needed = largest.select("node").join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("f_id"), F.col("first.text_key").alias("f_key"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.xxhash64(text).alias("t_key"), text.alias("t"))
     found = texts.join(needed, F.col("t_id").eqNullSafe(F.col("f_id")) & (F.col("t_key") == F.col("f_key"))).select("node", F.array_join(words_of(F.col("t")), " ").alias("words"))
     found = cut(found.dropDuplicates(["node"]), "texts")
     signs = nodes.select("node", "signs")
-    labels, edges, tested = None, None, None
-    for turn in range(ROUNDS + 1):
-        now = member.withColumn("label", F.col("node")) if labels is None else member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is not None:
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-            now = cut(now.join(mixed, "bucket"), "mixed")
+    labels, tested = None, None
+    for turn in range(ROUNDS + 2):
+        last = turn == ROUNDS + 1
+        if labels is None:
+            now = (member if turn else largest).withColumn("label", F.col("node"))
+        else:
+            now = mixed_buckets(member, labels)
         now = now.join(signs, "node")
-        if turn < ROUNDS:
-            lead = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "label", "signs")).alias("lead"))
-            lead = lead.select("bucket", F.col("lead.node").alias("y"), F.col("lead.label").alias("other"), F.col("lead.signs").alias("y_signs"))
-            apart = F.col("label") != F.col("other")
+        if not last:
+            own = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "signs")).alias("first"))
+            lead = own.groupBy("bucket").agg(F.max(F.struct("n", "label", "first")).alias("lead"))
+            lead = lead.select("bucket", F.col("lead.first.node").alias("y"), F.col("lead.label").alias("other"), F.col("lead.first.signs").alias("y_signs"))
+            apart = (F.col("label") != F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL)
         else:
-            now = now.join(nodes.select("node", "bands"), "node")
-            lead = now.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"), F.col("bands").alias("y_bands"))
-            apart = F.col("label") < F.col("other")
-        # Each pair comes out of one of its buckets only, the first that both share.
-        once = F.lit(True) if turn < ROUNDS else F.array_min(F.array_intersect("bands", "y_bands")) == F.col("bucket")
-        near = now.withColumnRenamed("bucket", "x_bucket").join(lead, (F.col("x_bucket") == F.col("bucket")) & apart & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL) & once)
-        pairs = near.select(F.col("node").alias("x"), "y")
-        # The leader stays second, so that its text is parsed once for many members.
-        pairs = pairs.distinct()
+            now = now.join(nodes.select("node", "bands"), "node").join(signed_long(found, now), "node")
+            lead = now.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"), F.col("bands").alias("y_bands"), F.col("more").alias("y_more"))
+            # Each pair comes out of one of its buckets only, the first that both share.
+            once = F.array_min(F.array_intersect("bands", "y_bands")) == F.col("bucket")
+            apart = (F.col("label") < F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL) & once & (equal_long(F.col("more"), F.col("y_more")) >= LEAST_LONG)
+        near = now.withColumnRenamed("bucket", "x_bucket").join(lead, (F.col("x_bucket") == F.col("bucket")) & apart)
+        pairs = near.select(F.col("node").alias("x"), "y").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs, "pairs")
@@ -221,13 +297,21 @@ def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
             continue
         back = pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))
         tested = pairs.unionByName(back) if tested is None else tested.unionByName(pairs).unionByName(back)
-        a, b = (found.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}")) for n in "ab")
-        held = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
-        new = cut(held.mapInPandas(_verified, "a binary, b binary"), "links")
-        if not new.take(1):
+        links = cut(verify(pairs, found), "links")
+        if not links.take(1):
+            continue
+        if labels is None:
+            labels = components(links)
             continue
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
+        # Classes merge by the links between them.
+        for end in "ab":
+            of = labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+            links = links.join(of, end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+        merged = components(links)
+        new = merged.select("node", F.col("label").alias("to"))
+        old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        # A class of one node so far has no row in labels yet.
+        labels = cut(old.unionByName(new.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))), "labels")
     named = nodes.select("node", "first", "low_id", "copies")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut(named, "named")
