@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from paperlane.llm.common import fold, shared_dir
+from paperlane.llm.common import WRITTEN, cut, fold, release
 from paperlane.llm.queries import table, tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Labels outside the test fold teach it."""
-    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
-    return quality.score(docs, quality.train(docs, labels), out="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    """Documents that the quality classifier accepts. Labels and documents outside the test fold teach it."""
+    taught = lambda df: df.where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.train(taught(docs), taught(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's result is written and read again; what led to it is then deleted."""
+    docs, start = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/paperlane/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = WRITTEN.pop()
+        release(spark, start)
+        WRITTEN.append(kept)
     return docs
