@@ -3,10 +3,11 @@
 A linear logistic model of the words of a text and of their first four and five letters, each present or not. Features are
 chosen by their chi-square against the label among the sampled rows. For every labelled row that names a group, the term is
 swapped for all others of its kind, and  weight * mean (f(x) - f(x'))^2  is added to the loss: a text must not score differently
-for the group it names. Identity terms have a feature each and no prefix features, so nothing leaks to them from other words.
+for the group it names. A term that the text names already is not gained again. Identity terms have a feature each and no prefix features, so nothing leaks to them from other words.
 
 Null and empty texts have no features and score the logistic of the intercept. Without positive (or negative) labels every
-score is the smoothed share of positives. Repeated labels count each, repeated rows are scored each, extra columns stay out.
+score is the smoothed share of positives. Labels but 0 and 1, and those of null ids, teach nothing. An id counts once in the sample, with the
+highest of its labels and, of its texts, the one with the smallest hash; repeated rows are scored each; extra columns stay out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.llm.common import cut, hash_order
+from paperlane.llm.common import cut, drawn, hash_order, small_batches
 
-#: Labelled rows of the sample at most, drawn by a hash of the id; features at most.
+#: Labelled ids of the sample at most, drawn by a hash of the id; features that the fit chooses from those of the sample that stand in LEAST_TEXTS texts or more.
 SAMPLE, FEATURES, STEPS, RATE, DECAY, COUNTERFACTUAL = 20_000, 8192, 400, 0.05, 1e-5, 1.0
-THRESHOLD = 0.7
+THRESHOLD, LEAST_TEXTS = 0.7, 5
 #: Terms that name groups, by kind; a term is swapped for all others of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
@@ -69,14 +70,34 @@ class Featurizer:
 
 
 class Model:
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
-        self.names, self.weights, self.bias = names, weights, bias
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, pairs: int = 0):
+        """pairs: how many counterfactuals training saw."""
+        self.names, self.weights, self.bias, self.pairs = names, weights, bias, pairs
 
     def scores(self, texts) -> np.ndarray:
         of = Featurizer({f: n for n, f in enumerate(self.names)})
         return np.array([1 / (1 + np.exp(-np.clip(self.weights[of(t)].sum() + self.bias, -30, 30))) for t in texts])
 
 
+def swaps(rows: list[np.ndarray], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lost feature, gained feature) of each counterfactual; all else in the text is as it was. -1: the gained term is there already."""
+    number = {f: n for n, f in enumerate(names)}
+    term = {number[t]: [number[o] for o in kind if o != t and o in number] for t, kind in KIND.items() if t in number}
+    found = []
+    for row in rows:
+        own = [n for n in row.tolist() if n in term]
+        found += [(n, -1 if other in own else other) for n in own for other in term[n]]
+    return tuple(np.array(x, int) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def penalty(w: np.ndarray, lost: np.ndarray, gained: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean squared change of the score over all swaps, and its gradient in w."""
+    there = gained < 0
+    change = np.where(there, 0.0, w[gained]) - w[lost]
+    slope = 2 * change / len(lost)
+    return float((change * change).mean()), np.bincount(gained[~there], slope[~there], len(w)) - np.bincount(lost, slope, len(w))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, counterfactual: float = COUNTERFACTUAL) -> Model:
     prior = (float(labels.sum()) + 1) / (len(labels) + 2)
     bias = float(np.log(prior / (1 - prior)))
@@ -84,30 +105,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int
     if not 0 < labels.sum() < len(labels):
         return Model(names, w, bias)
     of, at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    number = {f: n for n, f in enumerate(names)}
-    term = {number[t]: [number[o] for o in kind if o != t and o in number] for t, kind in KIND.items() if t in number}
-    # Counterfactuals: (lost feature, gained feature) of each swap; all else in the text is as it was.
-    swapped = [(n, other) for row in rows for n in row if n in term for other in term[n]]
-    lost, gained = (np.array(x, int) for x in zip(*swapped)) if swapped else (np.zeros(0, int), np.zeros(0, int))
+    lost, gained = swaps(rows, names)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         f = np.bincount(at, w[of], len(rows)) + bias
         slope = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - labels) / len(rows)
         g = np.append(np.bincount(of, slope[at], len(w)) + decay * w, slope.sum())
         if len(lost):
-            change = 2 * counterfactual * (w[gained] - w[lost]) / len(lost)
-            g[:-1] += np.bincount(gained, change, len(w)) - np.bincount(lost, change, len(w))
+            g[:-1] += penalty(w, lost, gained)[1] * counterfactual
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(names, w, float(bias))
+    return Model(names, w, float(bias), len(lost))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Learns from the labelled rows given; at most `sample` of them, first by a hash of their ids."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).orderBy(hash_order(F.col("l_id"), 2), "label").limit(sample)
-    # `sample` rows of two numbers: bounded.
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("id", "text", "label"), "toxic-sample")
+    """Learns from the labelled rows given; at most `sample` ids, by a hash of them."""
+    small_batches(docs.sparkSession)
+    given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = given.join(F.broadcast(drawn(given.select("l_id"), "l_id", sample, 2)), "l_id").groupBy("l_id").agg(F.max("label").alias("label"))
+    # `sample` rows of two numbers: bounded. An id's rows meet in one.
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
+    once = met.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    rows = cut(once.select(hash_order(F.col("id"), 2).alias("place"), "text", "label"), "toxic-sample")
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: dict[str, list[int]] = {}
@@ -122,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     ups, downs = totals.get(1, 0), totals.get(0, 0)
-    counted = rows.mapInPandas(present, "f string, negative long, positive long").groupBy("f").agg(F.sum("negative").alias("n"), F.sum("positive").alias("p")).where(F.col("n") + F.col("p") >= 5)
+    counted = rows.mapInPandas(present, "f string, negative long, positive long").groupBy("f").agg(F.sum("negative").alias("n"), F.sum("positive").alias("p")).where(F.col("n") + F.col("p") >= LEAST_TEXTS)
     expected = (F.col("n") + F.col("p")) * F.lit(ups / max(1, ups + downs))
     names = [r["f"] for r in counted.orderBy(((F.col("p") - expected) * (F.col("p") - expected) / (expected + F.lit(1.0))).desc(), "f").limit(features).collect()]
     names += [t for t in KIND if t not in set(names)]
@@ -130,14 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Featurizer({f: n for n, f in enumerate(names)})
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "label": batch.label, "x": [of(t) for t in batch.text]})
+            yield pd.DataFrame({"place": batch.place, "label": batch.label, "x": [of(t) for t in batch.text]})
 
-    got = rows.mapInPandas(featurize, "id long, label int, x array<int>").toPandas().sort_values(["id", "label"], kind="stable")
+    got = rows.mapInPandas(featurize, "place long, label int, x array<int>").toPandas().sort_values("place", kind="stable")
     return fit([np.asarray(x, np.int32) for x in got.x], got.label.to_numpy(float), names, counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs and a column `out`; no shuffle."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
