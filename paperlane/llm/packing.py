@@ -28,7 +28,7 @@ from paperlane.llm.tokenizing import CachedTokenizer
 CAPACITY, END_ID = 2048, 0
 SLICES = 256
 #: Bytes of texts that are encoded at a time; a longer text goes by itself.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)

@@ -31,7 +31,7 @@ SETTINGS = {
 #: Units that a worker keeps (about 40 bytes each) and words that it keeps as strings, before it starts afresh.
 UNITS, WHOLE_WORDS = 500_000, 50_000
 #: Bytes of text that are worked on at a time; a word of more than LONG bytes is encoded by itself; strings in one call of the tokenizer.
-WINDOW, LONG, GROUP = 1 << 20, 192, 1000
+WINDOW, LONG, GROUP = 1 << 18, 192, 1000
 SEPARATOR, LETTER, OTHER, WHOLE = 0, 1, 2, 3
 
 
