@@ -8,8 +8,10 @@ The field (after Sutton and McCallum, 2004): nodes are the tokens (white space a
 can only be `none`, so it is left out. Labels are none and the four kinds. Factors: a token's shape with its label, labels
 of neighbouring tokens, and labels of tokens far apart that are equal or similar (equal letters and digits in
 lower case, or seven last digits in common); of such tokens, each is linked with the next, so a token that recurs thousands
-of times gives as many links, not their square. Factors are log ratios of counts over all documents, of labels
-that the base patterns give. Tokens in base spans keep their label; for the others loopy message passing gives beliefs, and a token that is of a kind with
+of times gives as many links, not their square. Weights maximise the pseudo-likelihood (each label given its neighbours' labels) of what the base
+patterns label in all documents, with a Gaussian prior. As those labels follow from the tokens themselves, HIDDEN of a hundred tokens are learnt from without
+their shape, so that the links must account for them. What is counted for this are configurations (a shape, and the labels at a
+node's links), which do not grow with the documents. Tokens in base spans keep their label; for the others loopy message passing gives beliefs, and a token that is of a kind with
 probability ADDED or more becomes a span of that kind, without the punctuation around it.
 
 Null text is empty. Repeated rows are read each. An empty table gives an empty result. Extra columns are ignored. Whole
@@ -22,15 +24,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlane.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: A document is swept until no message changes by more than TOLERANCE; loops may keep it from that, so SWEEPS sweeps a token are the end.
 ADDED, SWEEPS, SMOOTH, TOLERANCE = 0.9, 8, 0.5, 1e-9
+#: Tokens of a hundred that are learnt from without their shape; steps and rate of the ascent, and the prior's weight (in tokens).
+HIDDEN, STEPS, RATE, PRIOR = 20, 400, 0.05, 1.0
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -111,24 +118,32 @@ class Tokens:
                 alike[key] = i
 
 
+def configurations(text: str) -> Iterator[tuple[str, str, int]]:
+    """For each node its shape (empty if hidden), what stands at its links, and its label. At a link stand the kind, f or b for the place of the other node after or before, and that node's label."""
+    t = Tokens(text, base(text))
+    around: list[list[str]] = [[] for _ in t.at]
+    for i, j, kind in t.links:
+        around[i].append(f"{kind}f{t.label[j]}")
+        around[j].append(f"{kind}b{t.label[i]}")
+    for (start, end), shape, links, label in zip(t.at, t.shape, around, t.label.tolist()):
+        hidden = crc32(f"{start}:{text[start:end]}".encode("utf-8", "surrogatepass")) % 100 < HIDDEN
+        yield "" if hidden else repr(shape), " ".join(sorted(links)), label
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shapes: Counter = Counter()
-    pairs: Counter = Counter()
+    found: Counter = Counter()
     for batch in batches:
         for text in batch.text:
-            if not ANY.search(text):
-                continue
-            t = Tokens(text, base(text))
-            shapes.update(zip(map(repr, t.shape), t.label.tolist()))
-            pairs.update((kind, int(t.label[i]), int(t.label[j])) for i, j, kind in t.links)
-    rows = [(s, 0, y, n) for (s, y), n in shapes.items()] + [(f"pair{k}", a, b, n) for (k, a, b), n in pairs.items()]
-    yield pd.DataFrame(rows, columns=["what", "a", "b", "n"])
+            if ANY.search(text):
+                found.update(configurations(text))
+    yield pd.DataFrame([(*c, n) for c, n in found.items()], columns=["shape", "links", "label", "n"])
 
 
 class Field:
-    """Log factors: by shape, by kind of link. Shapes are made of bounded counts, so the tables are bounded."""
+    """Weights by shape and by kind of link. Shapes are made of bounded counts, so the tables are bounded."""
 
     def __init__(self, counts: list[tuple[str, int, int, int]]):
+        """A first guess, log ratios of counts: (shape, 0, label, n) and (pair and kind of link, label, label, n)."""
         k = len(KINDS) + 1
         shapes: dict[str, np.ndarray] = {}
         pairs = np.full((2, k, k), SMOOTH)
@@ -177,11 +192,94 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
+class Configurations:
+    """Counted configurations as arrays: shape number (-1: hidden), labels at links (rows x 4 x labels), label, how often."""
+
+    SIDES = ("0f", "0b", "1f", "1b")
+
+    def __init__(self, rows: list[tuple[str, str, int, int]]):
+        k = len(KINDS) + 1
+        self.names = sorted({r[0] for r in rows} - {""})
+        number = {s: i for i, s in enumerate(self.names)}
+        self.shape = np.array([number.get(r[0], -1) for r in rows], int)
+        self.links = np.zeros((len(rows), 4, k))
+        for i, r in enumerate(rows):
+            for link in r[1].split():
+                self.links[i, self.SIDES.index(link[:2]), int(link[2:])] += 1
+        self.label, self.n = np.array([r[2] for r in rows], int), np.array([r[3] for r in rows], float)
+
+    def ascent(self, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean log pseudo-likelihood with the prior, and its gradient. w: bias (labels), shapes (shapes x labels), near and far (label of the earlier node x label of the later)."""
+        total = self.n.sum()
+        seen = self.shape >= 0
+        score = w["bias"] + sum(self.links[:, s] @ (w[name].T if s % 2 == 0 else w[name]) for s, name in enumerate(("near", "near", "far", "far")))
+        score[seen] += w["shapes"][self.shape[seen]]
+        score -= score.max(axis=1, keepdims=True)
+        p = np.exp(score)
+        p /= p.sum(axis=1, keepdims=True)
+        rows = np.arange(len(self.n))
+        value = (self.n * np.log(p[rows, self.label])).sum()
+        away = -p * self.n[:, None]
+        away[rows, self.label] += self.n
+        shapes = np.zeros_like(w["shapes"])
+        np.add.at(shapes, self.shape[seen], away[seen])
+        pair = lambda f, b: away.T @ self.links[:, f] + self.links[:, b].T @ away
+        gradient = {"bias": away.sum(axis=0), "shapes": shapes, "near": pair(0, 1), "far": pair(2, 3)}
+        value -= PRIOR / 2 * sum((x * x).sum() for x in w.values())
+        return value / total, {name: (g - PRIOR * w[name]) / total for name, g in gradient.items()}
+
+
+def fit(rows: list[tuple[str, str, int, int]]) -> Field:
+    """The field of greatest pseudo-likelihood of the counted configurations (shape, links, label, n)."""
+    k = len(KINDS) + 1
+    field = Field([])
+    if not rows:
+        return field
+    data = Configurations(rows)
+    # The link of distant tokens has no direction: its weights are kept symmetrical.
+    w = {"bias": np.zeros(k), "shapes": np.zeros((len(data.names), k)), "near": np.zeros((k, k)), "far": np.zeros((k, k))}
+    m, v = ({name: np.zeros_like(x) for name, x in w.items()} for _ in range(2))
+    for step in range(1, STEPS + 1):
+        _, g = data.ascent(w)
+        g["far"] = (g["far"] + g["far"].T) / 2
+        for name in w:
+            m[name] = 0.9 * m[name] + 0.1 * g[name]
+            v[name] = 0.999 * v[name] + 0.001 * g[name] ** 2
+            w[name] = w[name] + RATE * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+    field.unseen, field.shapes, field.pairs = w["bias"], {s: w["bias"] + x for s, x in zip(data.names, w["shapes"])}, np.stack([w["near"], w["far"]])
+    return field
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Field:
-    """Counts of shapes, labels and links over all documents; what reaches the driver is a row for each kind of count."""
+    """Learns from all documents; what reaches the driver is a row for each configuration."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = rows.mapInPandas(_counted, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    return Field([tuple(r) for r in counts.orderBy("what", "a", "b").collect()])
+    counts = rows.mapInPandas(_counted, "shape string, links string, label int, n long").groupBy("shape", "links", "label").agg(F.sum("n").alias("n"))
+    return fit([tuple(r) for r in counts.orderBy("shape", "links", "label").collect()])
+
+
+def recovery(texts: list[str], field: Field, share: int = 30) -> tuple[int, int, int, int]:
+    """How well the links alone give labels back: of tokens in base spans, `share` of a hundred lose their label and their shape.
+
+    Returns how many were hidden, how many of those have a link to a distant token that kept its label, how many got a label, and how many the right one.
+    """
+    hidden = linked = found = right = 0
+    for text in texts:
+        if not ANY.search(text):
+            continue
+        t = Tokens(text, base(text))
+        own = [i for i, (s, e) in enumerate(t.at) if t.label[i] and crc32(f"{e}:{text[s:e]}:{s}".encode("utf-8", "surrogatepass")) % 100 < share]
+        true = t.label.copy()
+        for i in own:
+            t.label[i], t.shape[i] = 0, None
+        if own:
+            p = field.beliefs([t])
+            kept = {x for i, j, kind in t.links if kind for x, y in ((i, j), (j, i)) if t.label[y]}
+            hidden, linked = hidden + len(own), linked + len(kept & set(own))
+            for i in own:
+                if p[i, 1:].max() >= ADDED:
+                    found, right = found + 1, right + (int(p[i].argmax()) == true[i])
+    return hidden, linked, found, right
 
 
 def spans_of(texts: list[str], field: Field) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
@@ -209,6 +307,7 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), in code points, end exclusive."""
+    small_batches(docs.sparkSession)
     field = field or train(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
