@@ -6,12 +6,15 @@ within a group a word has probability (c + 1) / (n + v + 1), c its count, n and
 training. That factor does not depend on the state, so the forward recursion runs over the bounded alphabet, and the factor, which
 needs every word's count, comes from a join with the whole table of counts. The product is the exact likelihood of the text.
 
-Training is Baum-Welch over all training rows: partitions send expected counts, summed by letter of the alphabet. Texts are spelt once
-and passes are made over the letters, until a pass raises the objective (log likelihood and the log of the pull on the parameters, which no pass
-can lower) by less than TOLERANCE nats a token.
+Training is Baum-Welch over all training rows, incrementally (Neal and Hinton, 1998): rows are dealt by a hash over PARTS parts, and after
+each part's expected counts, summed over partitions, replace what that part gave before, the parameters are set anew from the
+counts of all parts. Each such step raises the free energy (a lower bound of the log likelihood of all rows, and the log of the pull on
+the parameters), so that one pass over the rows does the work of several; passes go on until one raises it by less than
+TOLERANCE nats a token. Texts are spelt once and passes are made over the letters. A part is as large a share of the rows at every
+size, and is spread over the whole cluster.
 
 Null text is empty: one token, the end. Rows with null ids are in fold 0. Repeated rows are scored (and learnt from) each. Without training rows all counts are 0
-and the model is uniform. Very long texts are scored whole; ties in the choice of the head go by spelling. Extra columns are ignored.
+and the model is uniform. Very long texts are scored whole; ties in the choice of the head go by a hash of the word. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 
 from paperlane.llm.common import cut, fold
 
-STATES, HEAD, GROUPS, TOLERANCE = 8, 32_768, 1024, 1e-4
-#: Padded cells of a batch of sequences; documents a worker gathers to find such of like length; words it counts before it sends them on.
-CELLS, GATHER, FLUSH = 1 << 18, 4096, 300_000
+STATES, HEAD, GROUPS, TOLERANCE, PARTS = 8, 32_768, 1024, 1e-4, 4
+#: Letters of a batch of sequences (some 250 bytes each); documents a worker gathers to make such batches; words it counts before it sends them on.
+CELLS, GATHER, FLUSH = 1 << 18, 8192, 300_000
+#: Letters whose counts travel in one row.
+BLOCK = 2048
 STICKY, PULL = 0.95, 20.0
 
 
@@ -66,37 +71,51 @@ class Parameters:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         """start: K; move: K x K; emit: letters x K, float64."""
         self.start, self.move, self.emit = start, move, emit
+        #: States first, so that array operations run along the sequences.
+        self.by_state, self.into = np.ascontiguousarray(emit.T), np.ascontiguousarray(move.T)
 
 
-def _like_lengths(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Indices, letters (time x sequence, padded) and, for each time, how many sequences go on; longest first."""
+def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences of CELLS letters together (or one), longest first: their indices, their letters ordered by time and then by sequence, how many sequences go on at each time, and where each time begins."""
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    at = 0
+    ends = np.cumsum([len(seqs[i]) for i in order])
+    at, before = 0, 0
     while at < len(order):
-        n = max(1, min(len(order) - at, CELLS // len(seqs[order[at]])))
-        own = order[at : at + n]
-        at += n
+        to = max(at + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+        own, before = order[at:to], int(ends[to - 1])
+        at = to
         lengths = np.array([len(seqs[i]) for i in own])
-        x = np.zeros((lengths[0], n), np.int32)
-        for j, i in enumerate(own):
-            x[: lengths[j], j] = seqs[i]
-        active = n - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
-        yield own, x, active
+        active = len(own) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+        begins = np.append(0, np.cumsum(active))
+        x = np.empty(begins[-1], np.int32)
+        time = np.arange(begins[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        x[begins[time] + np.repeat(np.arange(len(own)), lengths)] = np.concatenate([seqs[i] for i in own])
+        yield own, x, active, begins
+
+
+def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and emissions (states x letters), and scales, of a batch."""
+    emitted = p.by_state.take(x, axis=1)
+    alpha, scales = np.empty_like(emitted), np.empty(len(x))
+    # One sequence after the next: what the loop calls works on every sequence that goes on.
+    at = begins.tolist()
+    for t in range(len(active)):
+        a, b = at[t], at[t + 1]
+        now = p.into @ alpha[:, at[t - 1] : at[t - 1] + b - a] if t else np.repeat(p.start[:, None], b, axis=1)
+        now *= emitted[:, a:b]
+        scale = now.sum(axis=0)
+        np.divide(now, scale, out=alpha[:, a:b])
+        scales[a:b] = scale
+    return alpha, emitted, scales
 
 
 def log10_likelihood(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over every letter."""
     out = np.zeros(len(seqs))
-    for own, x, active in _like_lengths(seqs):
-        logs, a = np.zeros(len(own)), p.start * p.emit[x[0]]
-        for t in range(len(x)):
-            n = active[t]
-            if t:
-                a = (a[:n] @ p.move) * p.emit[x[t, :n]]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            logs[:n] += np.log10(scale)
-        out[own] = logs
+    for own, x, active, begins in _batches(seqs):
+        scales = _forward(p, x, active, begins)[2]
+        of = np.arange(len(x)) - np.repeat(begins[:-1], active)
+        out[own] = np.bincount(of, np.log10(scales), len(own))
     return out
 
 
@@ -109,32 +128,31 @@ class Expected:
 
     def add(self, p: Parameters, seqs: list[np.ndarray]) -> None:
         letters, states = self.emit.shape
-        for _, x, active in _like_lengths(seqs):
-            steps = len(x)
-            alpha, scales = np.zeros((*x.shape, states)), np.ones(x.shape)
-            for t in range(steps):
-                n = active[t]
-                a = p.start * p.emit[x[0]] if not t else (alpha[t - 1, :n] @ p.move) * p.emit[x[t, :n]]
-                scales[t, :n] = a.sum(axis=1)
-                alpha[t, :n] = a / scales[t, :n, None]
-            beta, moves = np.ones((x.shape[1], states)), np.zeros((states, states))
-            for t in range(steps - 2, -1, -1):
-                n = active[t + 1]
-                ahead = p.emit[x[t + 1, :n]] * beta[:n] / scales[t + 1, :n, None]
-                moves += alpha[t, :n].T @ ahead
-                beta[:n] = ahead @ p.move.T
-                alpha[t, :n] *= beta[:n]
-            self.logs += float(np.log(scales).sum())  # padding has scale 1
-            self.start += alpha[0].sum(axis=0)
-            self.move += moves * p.move
-            on = np.arange(x.shape[1])[None, :] < active[:, None]
-            where, weight = x[on], alpha[on]
+        for own, x, active, begins in _batches(seqs):
+            alpha, emitted, scales = _forward(p, x, active, begins)
+            emitted /= scales
+            beta, at = np.ones_like(alpha), begins.tolist()
+            for t in range(len(active) - 1, 0, -1):
+                a, b = at[t], at[t + 1]
+                emitted[:, a:b] *= beta[:, a:b]
+                np.matmul(p.move, emitted[:, a:b], out=beta[:, at[t - 1] : at[t - 1] + b - a])
+            # Each letter but a sequence's first, with the letter before it.
+            later = np.arange(begins[1], len(x))
+            self.move += (alpha.take(later - np.repeat(active[:-1], active[1:]), axis=1) @ emitted[:, begins[1] :].T) * p.move
+            alpha *= beta
+            self.logs += float(np.log(scales).sum())
+            self.start += alpha[:, : len(own)].sum(axis=1)
             for s in range(states):
-                self.emit[:, s] += np.bincount(where, weight[:, s], letters)
+                self.emit[:, s] += np.bincount(x, alpha[s], letters)
 
-    def objective(self, p: Parameters, share: np.ndarray) -> float:
-        """What parameters() raises: the log likelihood under p, and p's log weight by the counts that parameters() adds."""
-        return self.logs + 0.5 * float(np.log(p.start).sum() + np.log(p.move).sum()) + PULL * float((share[:, None] * np.log(p.emit)).sum())
+    def plus(self, other: Expected, sign: int = 1) -> None:
+        self.start += sign * other.start
+        self.move += sign * other.move
+        self.emit += sign * other.emit
+
+    def weight(self, p: Parameters) -> float:
+        """The log probability under p of what is counted."""
+        return float((self.start * np.log(p.start)).sum() + (self.move * np.log(p.move)).sum() + (self.emit * np.log(p.emit)).sum())
 
     def parameters(self, share: np.ndarray) -> Parameters:
         """share: the letters' shares of all training tokens, to which each state's emissions are drawn a little."""
@@ -143,6 +161,11 @@ class Expected:
         return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def pull(p: Parameters, share: np.ndarray) -> float:
+    """The log weight of p by the counts that parameters() adds."""
+    return 0.5 * float(np.log(p.start).sum() + np.log(p.move).sum()) + PULL * float((share[:, None] * np.log(p.emit)).sum())
+
+
 def _first_guess(share: np.ndarray, states: int) -> Parameters:
     rng = np.random.default_rng(7)
     emit = share[:, None] * rng.uniform(0.5, 1.5, (len(share), states))
@@ -189,7 +212,7 @@ def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: fl
     counts = cut(word_counts(rows), "word-counts")
     texts = rows.count()
     words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(head).collect()  # `head` rows
+    top = head_words(counts, head)
     alphabet = Alphabet([bytes(r["word"]) for r in top])
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,53 +231,81 @@ def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: fl
     head_counts = np.array([r["n"] for r in top], np.int64)
     letters = np.concatenate([group_n, [texts], head_counts]) + 1.0
     share = letters / letters.sum()
-    p, before, gains = _first_guess(share, states), -np.inf, bool(texts)
-    spelt = cut(spelling(rows, alphabet), "letters") if texts else rows
-    while gains:
-        e = baum_welch(spelt, alphabet.size, p)
-        reached = e.objective(p, share)
-        gains = reached - before >= tolerance * (int(total) + texts)
-        p, before = e.parameters(share), reached
+    p = _first_guess(share, states)
+    if texts:
+        p = fit(spelling(rows, alphabet), share, p, tolerance * (int(total) + texts))
     return Model(alphabet, p, head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts))
 
 
-def spelling(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """letters: those of each row's text with its end, as bytes of 32-bit integers."""
+def head_words(counts: DataFrame, head: int) -> list:
+    """The `head` most frequent rows of counts. By octaves of n first, so that only words near the top are sorted; the driver takes what it needs from the first partitions."""
+    low = 1
+    for r in counts.groupBy(F.floor(F.log2("n")).alias("octave")).agg(F.count("*").alias("words")).orderBy(F.col("octave").desc()).collect():  # 64 rows at most
+        low, head_left = 1 << r["octave"], (head if low == 1 else head_left) - r["words"]
+        if head_left <= 0:
+            break
+    order = [F.col("n").desc(), F.xxhash64("word"), F.col("word")]
+    return counts.where(F.col("n") >= low).repartitionByRange(*order).sortWithinPartitions(*order).limit(head).collect()
+
+
+def spelling(rows: DataFrame, alphabet: Alphabet) -> list[DataFrame]:
+    """letters: those of each row's text with its end, as bytes of 32-bit integers; one table for each of PARTS parts, dealt by a hash of the letters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _gathered(batches):
             yield pd.DataFrame({"letters": [alphabet.spell(tokens(t))[0].tobytes() for t in batch.text]})
 
-    return rows.select("text").mapInPandas(run, "letters binary")
+    spelt = rows.select("text").mapInPandas(run, "letters binary").withColumn("part", F.pmod(F.xxhash64("letters"), F.lit(PARTS)).cast("int"))
+    spelt = cut(spelt, "letters", by="part")
+    return [spelt.where(F.col("part") == n).select("letters") for n in range(PARTS)]
+
+
+def fit(parts: list[DataFrame], share: np.ndarray, p: Parameters, least: float) -> Parameters:
+    """Incremental Baum-Welch from p until a pass over all parts raises the free energy by less than `least`."""
+    letters, states = len(share), len(p.start)
+    own, bound = [Expected(letters, states) for _ in parts], [0.0] * len(parts)
+    every, before = Expected(letters, states), -np.inf
+    while True:
+        for n, part in enumerate(parts):
+            e = baum_welch(part, letters, p)
+            every.plus(own[n], -1)
+            every.plus(e)
+            # The entropy of the part's paths: its share of the free energy that does not depend on later parameters.
+            own[n], bound[n] = e, e.logs - e.weight(p)
+            p = every.parameters(share)
+        reached = sum(bound) + every.weight(p) + pull(p, share)
+        if reached - before < least:
+            return p
+        before = reached
 
 
 def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
-    """One pass: the expected counts under p over all rows, summed over partitions."""
+    """The expected counts under p over all rows, summed over partitions. Counts travel as bytes, BLOCK letters to a row."""
     states = len(p.start)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = Expected(letters, states)
         for batch in _gathered(batches):
             e.add(p, [np.frombuffer(x, np.int32) for x in batch.letters])
-        used = np.flatnonzero(e.emit.any(axis=1))
-        logs = np.zeros((1, states))
-        logs[0, 0] = e.logs
-        parts = [(used, e.emit[used]), (-2 - np.arange(states), e.move), (np.array([-1]), e.start[None, :]), (np.array([-2 - states]), logs)]
-        for of, x in parts:
-            yield pd.DataFrame({"letter": of.astype(np.int32)} | {f"s{k}": x[:, k] for k in range(states)})
-
-    sent = spelt.mapInPandas(run, "letter int, " + ", ".join(f"s{k} double" for k in range(states)))
-    got = sent.groupBy("letter").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).toPandas()  # the alphabet and a few rows
+        if e.start.any():
+            few = np.concatenate([[e.logs], e.start, e.move.ravel()])
+            yield pd.DataFrame({"block": [-1], "counts": [few.tobytes()]})
+            # Rounded to 7 digits on the way, and summed with all of 64 bits.
+            yield pd.DataFrame({"block": range(0, letters, BLOCK), "counts": [e.emit[k : k + BLOCK].astype("<f4").tobytes() for k in range(0, letters, BLOCK)]})
+
+    def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = "<f8" if key[0] < 0 else "<f4"
+        total = sum(np.frombuffer(x, kind).astype(float) for batch in batches for x in batch.counts)
+        yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+
+    sent = spelt.mapInPandas(run, "block int, counts binary").groupBy("block").applyInPandas(summed, "block int, counts binary")
     e = Expected(letters, states)
-    of, x = got["letter"].to_numpy(int), got[[f"s{k}" for k in range(states)]].to_numpy(float)
-    e.emit[of[of >= 0]] = x[of >= 0]
-    for n, row in zip(of[of < 0], x[of < 0]):
-        if n == -1:
-            e.start[:] = row
-        elif n == -2 - states:
-            e.logs = float(row[0])
+    for r in sent.collect():  # the alphabet's counts
+        x = np.frombuffer(r["counts"], "<f8")
+        if r["block"] < 0:
+            e.logs, e.start, e.move = float(x[0]), x[1 : 1 + states].copy(), x[1 + states :].reshape(states, states).copy()
         else:
-            e.move[-2 - n] = row
+            e.emit[r["block"] : r["block"] + BLOCK] = x.reshape(-1, states)
     return e
 
 
