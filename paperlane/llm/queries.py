@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pii, quality, sharding, topk, toxicity
+from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pieces, pii, quality, sharding, topk, toxicity
 from paperlane.llm.common import fold
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
@@ -75,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model_path())
+    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return pieces.decode(digests, piece_model_path()).withColumn("decoded", F.sha2("decoded", 256)).withColumnRenamed("decoded", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding)
+    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding, op11_pieces)
 }
