@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pieces, pii, quality, sharding, topk, toxicity
+from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pieces, pii, quality, resampling, sharding, topk, toxicity
 from paperlane.llm.common import fold
 
 TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -87,6 +87,11 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(digests, piece_model_path()).withColumn("decoded", F.sha2("decoded", 256)).withColumnRenamed("decoded", "decoded_sha256")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding, op11_pieces)
+    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding, op11_pieces, op12_resampling)
 }

@@ -5,6 +5,22 @@ from __future__ import annotations
 from paperlane.llm.line_dedup import MIN_PAGES, RATIO
 from paperlane.llm.sharding import MULTIPLIER
 
+
+def _nibble(n: int) -> int:
+    """The crc32 of four bits: the reflected polynomial four times."""
+    for _ in range(4):
+        n = n >> 1 ^ 0xEDB88320 * (n & 1)
+    return n
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes, four bits at a time."""
+    table = f"[{', '.join(str(_nibble(n)) for n in range(16))}]"
+    step = lambda c: f"xor({c} >> 4, {table}[({c} & 15) + 1])"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: {step(step('xor(c, b)'))}, 4294967295::BIGINT))"
+
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LINE_DEDUP = rf"""
@@ -46,5 +62,26 @@ s AS (
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 20
 """
 
+RESAMPLING = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+place AS (SELECT f, {crc32("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+ours AS (SELECT bucket, count(*) AS s FROM df JOIN place USING (f) GROUP BY bucket),
+theirs AS (SELECT bucket, count(*) AS t FROM bf JOIN place USING (f) GROUP BY bucket),
+gains AS (
+  SELECT range AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000))))::BIGINT AS gain
+  FROM range(10000) LEFT JOIN ours ON bucket = range LEFT JOIN theirs ON theirs.bucket = range
+),
+sums AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN place USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN sums USING (r)
+),
+ranked AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM d WHERE len(w) >= 20) * 25 // 100 THEN place END::BIGINT AS rank FROM ranked
+"""
 
-ORACLES = {"op5_topk": TOP_K, "op7_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE}
+ORACLES = {"op5_topk": TOP_K, "op7_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE, "op12_resampling": RESAMPLING}
