@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pieces, pii, quality, resampling, sharding, topk, toxicity
+from paperlane.llm import decontaminate, hmm, line_dedup, near_dedup, packing, pieces, pii, prefix_trie, quality, resampling, sharding, topk, toxicity
 from paperlane.llm.common import fold
 
 TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -92,6 +92,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.trie(*prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
+    nodes = found.nodes.join(prefix_trie.id_hashes(found.ends), "digest", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding, op11_pieces, op12_resampling)
+    f.__name__: f for f in (op1_quality, op2_near_dedup, op3_packing, op4_pii, op5_topk, op6_hmm, op7_line_dedup, op8_toxicity, op9_decontaminate, op10_sharding, op11_pieces, op12_resampling, op13_prefix_trie)
 }

@@ -84,4 +84,31 @@ ranked AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION B
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM d WHERE len(w) >= 20) * 25 // 100 THEN place END::BIGINT AS rank FROM ranked
 """
 
-ORACLES = {"op5_topk": TOP_K, "op7_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE, "op12_resampling": RESAMPLING}
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+built AS (
+  SELECT c.conv_id, 0 AS own, t.p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.p <= h
+  UNION ALL SELECT c.conv_id, 1, t.p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > h
+),
+lists AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY own, p) AS ts, list(length(text) ORDER BY own, p) AS ns FROM built GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, d, len(ts) AS l, sha256(array_to_string(ts[:d], ',')) AS k, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n
+  FROM (SELECT conv_id, coalesce(ts, []) AS ts, ns, unnest(range(0, len(coalesce(ts, [])) + 1)) AS d FROM c LEFT JOIN lists USING (conv_id))
+),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = l) AS ends FROM prefixes GROUP BY k, d),
+up AS (SELECT x.k, p.k AS parent, o.conv_id AS parent_conv_id FROM nodes x JOIN prefixes p ON p.conv_id = x.conv_id AND p.d = x.d - 1 JOIN nodes o ON o.k = p.k),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+below AS (
+  SELECT p.k, sum((x.n_convs - 1) * x.n) AS saved, count(*) FILTER (WHERE kids.k IS NULL) AS leaves
+  FROM nodes x LEFT JOIN kids ON kids.k = x.k JOIN prefixes p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY p.k
+)
+SELECT x.conv_id, x.d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes x JOIN below USING (k) LEFT JOIN up USING (k) LEFT JOIN kids USING (k)
+"""
+
+ORACLES = {"op5_topk": TOP_K, "op7_line_dedup": LINE_DEDUP, "op9_decontaminate": DECONTAMINATE, "op12_resampling": RESAMPLING, "op13_prefix_trie": PREFIX_TRIE}
