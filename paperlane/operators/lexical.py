@@ -1,17 +1,19 @@
 """Full-text search: analysis, postings, web-style queries, matching and cover-density ranking.
 
 The `simple` analyser lower-cases and takes runs of [a-z0-9]; `english` also drops stop words and stems (Porter, 1980) the
-distinct vocabulary. Ranking is of the cover-density family (Clarke, Cormack and Tudhope, 2000): the sum over minimal
+distinct vocabulary. Searches first find out which documents hold which of the terms asked for, then which documents can match, and only then
+read positions, of those terms in those documents. Both come from a source: texts that are read anew (Texts), or a stored index (text_index.TextIndex). Ranking is of the cover-density family (Clarke, Cormack and Tudhope, 2000): the sum over minimal
 covers of 0.1 / (1 + words in the cover that are no query terms). Scores are those of this definition, not of any server.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlane.functions.porter import stem
@@ -28,23 +30,58 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def stemmed(words: Column) -> Column:
+    """Stems by a function that Spark may not repeat, nor move below the `distinct` of its input."""
+
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    return stems(words)
+    return stems.asNondeterministic()(words)
+
+
+def vocabulary(found: DataFrame) -> DataFrame:
+    """term, stem of the distinct tokens that are no stop words."""
+    return found.select("term").distinct().where(~F.col("term").isin(stop_words())).withColumn("stem", stemmed(F.col("term")))
 
 
-def analyse(found: DataFrame, analyser: str = "simple", only: DataFrame | None = None) -> DataFrame:
-    """Tokens to terms, or to those terms alone that `only` (term) has. The stemmer sees each distinct token once; its table joins back by token, as Spark sees fit."""
-    if analyser == "simple":
-        return found if only is None else found.join(only, "term", "left_semi")
-    if analyser != "english":
+def check_analyser(analyser: str) -> str:
+    if analyser not in ("simple", "english"):
         raise ValueError(f"unknown analyser: {analyser}")
-    vocabulary = found.select("term").distinct().where(~F.col("term").isin(stop_words())).withColumn("stem", stemmed(F.col("term")))
-    if only is not None:
-        vocabulary = vocabulary.join(only.select(F.col("term").alias("stem")), "stem", "left_semi")
-    return found.join(vocabulary.select("term", "stem"), "term").drop("term").withColumnRenamed("stem", "term")
+    return analyser
+
+
+def analyse(found: DataFrame, analyser: str = "simple") -> DataFrame:
+    """Tokens to terms. The stemmer sees each distinct token once; its table joins back by token, as Spark sees fit."""
+    if check_analyser(analyser) == "simple":
+        return found
+    return found.join(vocabulary(found), "term").drop("term").withColumnRenamed("stem", "term")
+
+
+class Texts:
+    """Documents that are read anew: once for the terms that they hold, and those that may match once more for positions."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, analyser: str = "simple"):
+        self.docs, self.id_col, self.text_col, self.analyser, self.stems = docs, id_col, text_col, check_analyser(analyser), None
+
+    def ids(self) -> DataFrame:
+        return self.docs.select(self.id_col).distinct()
+
+    def held(self, terms: DataFrame) -> DataFrame:
+        """id, term: which of the terms each document holds."""
+        words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(self.text_col)), F.lit(TOKEN), F.lit(0)))
+        found = self.docs.select(self.id_col, F.explode(words).alias("term"))
+        if self.analyser == "simple":
+            return found.join(terms, "term", "left_semi").distinct()
+        # The tokens of the terms asked for, as a table of its own, whose size Spark knows when it plans the joins with it.
+        self.stems = stored(vocabulary(found).join(terms.select(F.col("term").alias("stem")), "stem", "left_semi").select("term", "stem"), "stems")
+        return found.join(self.stems, "term").select(self.id_col, F.col("stem").alias("term")).distinct()
+
+    def positions(self, wanted: DataFrame) -> DataFrame:
+        """id, p, term of the pairs (id, term) that are wanted; terms as given to held()."""
+        found = tokens(self.docs.join(wanted.select(self.id_col).distinct(), self.id_col, "left_semi"), self.id_col, self.text_col)
+        if self.stems is not None:
+            found = found.join(self.stems, "term").select(self.id_col, "p", F.col("stem").alias("term"))
+        return found.join(wanted, [self.id_col, "term"], "left_semi")
 
 
 def stop_words() -> list[str]:
@@ -101,14 +138,8 @@ def query_terms(queries: DataFrame, text_col: str = "query", limit: int | None =
     return queries.select("query_id", F.explode(F.slice(words, 1, limit) if limit else words).alias("term"))
 
 
-def held_terms(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """id, term: which of the terms asked for each document holds."""
-    return found.join(terms.select("term").distinct(), "term", "left_semi").select(id_col, "term").distinct()
-
-
-def match_all(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """query_id, id of documents that hold every term of the query. A query looks only at documents that hold its rarest term."""
-    held = held_terms(found, terms, id_col)
+def match_all(held: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """query_id, id of documents that hold every term of the query; held: id, term. A query looks only at documents that hold its rarest term."""
     asked = terms.join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")
     rare = asked.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "term")).alias("rarest"))
     start = rare.where("rarest.held > 0").select("query_id", "n", F.col("rarest.term").alias("term")).join(held, "term").select("query_id", "n", id_col)
@@ -116,28 +147,40 @@ def match_all(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     return every.where("m = n").select("query_id", id_col)
 
 
-def cover_rank(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """query_id, id, covers, lexical_score of every match of all terms; found: id, p, term."""
-    return rank_covers(found.join(match_all(found, terms, id_col).join(terms, "query_id"), [id_col, "term"]).select("query_id", id_col, "p", "term"), terms, id_col)
+def cover_noise(places: Column, terms: Column, n: Column) -> Column:
+    """For each minimal cover of n terms, ascending, how many words in it are no query terms. places are in order; one sweep, whose oldest last place is a cover's start."""
+
+    @F.pandas_udf("array<long>")
+    def noise(places: pd.Series, terms: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([sorted(_sweep(list(p), list(t), k)) for p, t, k in zip(places, terms, n)])
+
+    return noise(places, terms, n)
+
+
+def _sweep(places: list[int], terms: list[str], n: int) -> Iterator[int]:
+    last: dict[str, tuple[int, int]] = {}
+    started, nth = -1, 0
+    for i, (p, term) in enumerate(zip(places, terms)):
+        last.pop(term, None)
+        last[term] = (p, nth)
+        if i + 1 < len(places) and places[i + 1] == p:
+            continue  # terms in one place are taken together
+        if len(last) == n:
+            start, first = next(iter(last.values()))
+            if start > started:
+                started = start
+                yield (p - start) - (nth - first)
+        nth += 1
 
 
 def rank_covers(hits: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """query_id, id, covers, lexical_score; hits: query_id, id, p, term where the terms stand in the documents that match."""
-    doc = Window.partitionBy("query_id", id_col)
-    hits = hits.withColumn("ix", F.dense_rank().over(doc.orderBy("p")))
-    wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("all"))
-    # The latest position of every term up to each hit, as one map of running maxima.
-    each = hits.join(wanted, "query_id").select("query_id", id_col, "p", "ix", "term", F.explode("all").alias("t"))
-    running = Window.partitionBy("query_id", id_col, "t").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.col("term") == F.col("t")
-    at, at_ix = (F.max(F.when(own, F.col(c))).over(running) for c in ("p", "ix"))
-    last = each.select("query_id", id_col, "p", "ix", "t", at.alias("at"), at_ix.alias("at_ix"))
-    ends = last.groupBy("query_id", id_col, "p", "ix").agg(F.min("at").alias("start"), F.min("at_ix").alias("start_ix"), F.count("*").alias("n"), F.count("at").alias("seen")).where("n = seen")
-    covers = ends.groupBy("query_id", id_col, "start", "start_ix").agg(F.min(F.struct("p", "ix")).alias("end"))
-    noise = (F.col("end.p") - F.col("start")) - (F.col("end.ix") - F.col("start_ix"))
+    wanted = terms.groupBy("query_id").agg(F.count_distinct("term").alias("n"))
+    at = hits.groupBy("query_id", id_col).agg(F.array_sort(F.collect_set(F.struct("p", "term"))).alias("at")).join(wanted, "query_id")
+    found = at.select("query_id", id_col, cover_noise(F.col("at.p"), F.col("at.term"), F.col("n")).alias("noise")).where(F.size("noise") > 0)
     # Summed in a fixed order, so that equal texts get equal scores.
-    score = F.aggregate(F.array_sort(F.collect_list(noise)), F.lit(0.0), lambda a, x: a + F.lit(0.1) / (F.lit(1.0) + x))
-    return covers.groupBy("query_id", id_col).agg(F.count("*").alias("covers"), score.alias("lexical_score"))
+    score = F.aggregate("noise", F.lit(0.0), lambda a, x: a + F.lit(0.1) / (F.lit(1.0) + x))
+    return found.select("query_id", id_col, F.size("noise").cast("long").alias("covers"), score.alias("lexical_score"))
 
 
 def by_score(digits: int | None) -> Column:
@@ -145,27 +188,43 @@ def by_score(digits: int | None) -> Column:
     return (F.col("lexical_score") if digits is None else F.round("lexical_score", digits)).desc()
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple", term_limit: int | None = None, digits: int | None = None) -> DataFrame:
-    """query_id, id, lexical_score, rank for queries whose terms are all required; `digits` as in by_score."""
+def cover_search(queries: DataFrame, source, k: int, term_limit: int | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, id, covers, lexical_score, rank for queries whose terms are all required, from a source; `digits` as in by_score."""
     if k < 1:
         raise ValueError("lexical_k must be at least 1")
+    terms = stored(asked_terms(queries, source.analyser, term_limit), "terms")
+    held = stored(source.held(terms.select("term").distinct()), "held")
+    match = stored(match_all(held, terms, source.id_col), "matches")
+    asked = match.join(terms, "query_id")
+    found = source.positions(asked.select(source.id_col, "term").distinct())
+    scored = rank_covers(asked.join(found, [source.id_col, "term"]).select("query_id", source.id_col, "p", "term"), terms, source.id_col)
+    return top_by(scored, k, by_score(digits), source.id_col)
+
+
+def asked_terms(queries: DataFrame, analyser: str, term_limit: int | None = None) -> DataFrame:
+    """query_id, term: the distinct terms of every query."""
     terms = query_terms(queries, limit=term_limit)
-    if analyser == "english":
-        terms = analyse(terms, analyser).distinct()
-    terms = stored(terms, "terms")
-    # The corpus is read for its tokens once; what is kept are the positions of the queries' terms.
-    found = stored(analyse(tokens(docs, id_col, text_col), analyser, terms.select("term").distinct()), "found")
-    scored = cover_rank(found, terms, id_col)
-    return top_by(scored, k, by_score(digits), id_col)
+    return analyse(terms, analyser).distinct() if check_analyser(analyser) == "english" else terms
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple", term_limit: int | None = None, digits: int | None = None) -> DataFrame:
+    """cover_search over texts."""
+    return cover_search(queries, Texts(docs, id_col, text_col, analyser), k, term_limit, digits)
 
 
 def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english", digits: int | None = None) -> DataFrame:
-    """query_id, id, covers, lexical_score, rank for web-style queries: what web_match selects, ranked by covers of the clauses.
+    """web_query_search over texts."""
+    return web_query_search(queries, Texts(docs, id_col, text_col, analyser), k, digits)
+
+
+def web_query_search(queries: DataFrame, source, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, covers, lexical_score, rank for web-style queries, from a source: what web_match selects, ranked by covers of the clauses.
 
     A clause stands wherever one of its phrases begins. A query of forbidden clauses alone selects with score 0; one without terms selects nothing.
     """
     if k < 1:
         raise ValueError("lexical_k must be at least 1")
+    id_col, analyser = source.id_col, source.analyser
     stop = frozenset(stop_words()) if analyser == "english" else frozenset()
 
     @F.udf("array<struct<clause:int,phrase:int,negated:boolean,terms:array<string>,offsets:array<int>>>")
@@ -176,26 +235,53 @@ def web_search(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "chunk
     phrases = queries.select("query_id", "query").distinct().select("query_id", F.explode(parsed("query")).alias("c")).select("query_id", "c.*")
     phrases = stored(phrases.withColumn("key", F.to_json(F.struct("query_id", "clause"))), "phrases")
     words = phrases.withColumn("n", F.size("terms")).withColumn("w", F.explode(F.arrays_zip("terms", "offsets"))).select("query_id", "key", "phrase", "negated", "n", F.col("w.terms").alias("term"), F.col("w.offsets").alias("i"))
-    # The corpus is read for its tokens once; what is kept are the positions of the queries' terms.
-    found = stored(analyse(tokens(docs, id_col, text_col), analyser, words.select("term").distinct()), "found")
-    held = held_terms(found, words, id_col)
-    # A query looks only at documents that can satisfy its rarest clause: those with the rarest term of one of the clause's phrases.
-    sought = words.where(~F.col("negated")).join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")
+    held = stored(source.held(words.select("term").distinct()), "held")
+    wanted = phrases.where(~F.col("negated")).select("query_id", F.col("key").alias("term")).distinct()
+    alone = phrases.groupBy("query_id").agg(F.min("negated").alias("negated")).where("negated").select("query_id")
+    # What may match: for queries with wanted clauses, documents that hold all words of a phrase of each; for the others, those with a forbidden word.
+    near = may_match(words.where(~F.col("negated")), wanted, held, id_col)
+    near = near.unionByName(words.join(alone, "query_id", "left_semi").join(held, "term").select("query_id", id_col).distinct())
+    asked = stored(near.join(words, "query_id").join(held, [id_col, "term"]), "candidates")
+    found = source.positions(asked.select(id_col, "term").distinct())
+    met = asked.join(found, [id_col, "term"])
+    at = met.groupBy("query_id", "key", "phrase", "negated", "n", id_col, (F.col("p") - F.col("i")).alias("p")).agg(F.count("*").alias("held")).where("held = n")
+    at = stored(at.select("query_id", "key", "negated", id_col, "p"), "clauses")
+    stands = at.where(~F.col("negated")).select("query_id", id_col, "p", F.col("key").alias("term")).distinct()
+    forbidden = at.where("negated").select("query_id", id_col).distinct()
+    scored = rank_covers(stands, wanted, id_col).join(forbidden, ["query_id", id_col], "left_anti")
+    every = unmet(alone, source.ids(), forbidden, k, id_col).select("query_id", id_col, F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("lexical_score"))
+    return top_by(scored.unionByName(every), k, by_score(digits), id_col)
+
+
+def may_match(words: DataFrame, wanted: DataFrame, held: DataFrame, id_col: str) -> DataFrame:
+    """query_id, id of documents that hold, for each clause, all words of one of its phrases. A query looks only at documents with the rarest words of its rarest clause."""
+    sought = words.join(held.groupBy("term").agg(F.count("*").alias("held")), "term", "left")
     rare = sought.groupBy("query_id", "key", "phrase").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "term")).alias("rarest"))
     clauses = rare.groupBy("query_id", "key").agg(F.sum("rarest.held").alias("held"), F.collect_set("rarest.term").alias("start"))
     first = clauses.groupBy("query_id").agg(F.min(F.struct("held", "key", "start")).alias("c")).select("query_id", F.explode("c.start").alias("term"))
     near = first.join(held, "term").select("query_id", id_col).distinct()
-    alone = phrases.groupBy("query_id").agg(F.min("negated").alias("negated")).where("negated").select("query_id")
-    # Of queries with forbidden clauses alone every document is looked at, for those clauses.
-    met = near.join(words, "query_id").join(found, [id_col, "term"]).unionByName(words.join(alone, "query_id", "left_semi").join(found, "term"), allowMissingColumns=True)
-    at = met.groupBy("query_id", "key", "phrase", "negated", "n", id_col, (F.col("p") - F.col("i")).alias("p")).agg(F.count("*").alias("held")).where("held = n")
-    wanted = phrases.where(~F.col("negated")).select("query_id", F.col("key").alias("term")).distinct()
-    stands = at.where(~F.col("negated")).select("query_id", id_col, "p", F.col("key").alias("term")).distinct()
-    whole = stands.groupBy("query_id", id_col).agg(F.count_distinct("term").alias("m")).join(wanted.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where("m = n")
-    scored = rank_covers(stands.join(whole.select("query_id", id_col), ["query_id", id_col]), wanted, id_col)
-    every = alone.crossJoin(docs.select(id_col).distinct()).select("query_id", id_col, F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("lexical_score"))
-    left = scored.unionByName(every).join(at.where("negated").select("query_id", id_col).distinct(), ["query_id", id_col], "left_anti")
-    return top_by(left, k, by_score(digits), id_col)
+    different = words.groupBy("query_id", "key", "phrase").agg(F.count_distinct("term").alias("m"))
+    own = near.join(words.select("query_id", "key", "phrase", "term").distinct(), "query_id").join(held, [id_col, "term"])
+    whole = own.groupBy("query_id", id_col, "key", "phrase").agg(F.count("*").alias("there")).join(different, ["query_id", "key", "phrase"]).where("there = m")
+    of = wanted.groupBy("query_id").agg(F.count("*").alias("clauses"))
+    return whole.groupBy("query_id", id_col).agg(F.count_distinct("key").alias("met")).join(of, "query_id").where("met = clauses").select("query_id", id_col)
+
+
+def unmet(alone: DataFrame, ids: DataFrame, hit: DataFrame, k: int, id_col: str) -> DataFrame:
+    """query_id, id: at least the k smallest ids (or all) that are no hit, of every query in alone. Their scores are equal, so no other can be among the first k.
+
+    Looks at the first ids alone, at more of them only while some query has fewer than k left.
+    """
+    if alone.isEmpty():
+        return hit.limit(0)
+    total, reach = ids.count(), 4 * k
+    while True:
+        some = stored(ids.orderBy(id_col).limit(reach), "first-ids")
+        left = alone.crossJoin(some).join(hit, ["query_id", id_col], "left_anti")
+        short = alone.join(left.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
+        if reach >= total or short.isEmpty():
+            return left
+        reach *= 8
 
 
 def web_match(docs: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "simple") -> DataFrame:

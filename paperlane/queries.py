@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.functions import text as T
-from paperlane.operators import chunking, evidence, lexical, metrics, ranking, vector
+from paperlane.operators import chunking, evidence, lexical, metrics, ranking, text_index, vector
+from paperlane.plans import stored
 from paperlane.sources import bibtex, categories, files, tex
 
 CHUNK_TOKENS, POOL, FINAL, CAP, BUDGET = 100, 30, 6, 2, 1500
@@ -64,6 +65,13 @@ def lexical_hits(spark: SparkSession, sf: str, k: int = POOL) -> DataFrame:
     return lexical.lexical_search(benchmark_queries(spark, sf), docs, k, digits=6)
 
 
+def with_index(spark: SparkSession, sf: str, analyser: str, search: Callable[[text_index.TextIndex], DataFrame]) -> DataFrame:
+    """What `search` finds in a stored index of the documents; index and intermediate tables are deleted afterwards."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("search_document"))
+    with stored.run(spark) as own:
+        return stored.result(search(text_index.build_index(docs, stored.new_folder(spark, "index"), analyser=analyser)), own)
+
+
 def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(queries with targets, candidates): a paper is relevant to a vector if it bears the same label and its document is labelled quality 0, as the SQL has it."""
     e = table(spark, sf, "embeddings")
@@ -220,8 +228,9 @@ def postings(spark, sf):
 
 @query(S_TERMS + "SELECT q AS query_id, d AS doc_id FROM held")
 def lexical_match(spark, sf):
-    found = lexical.tokens(table(spark, sf, "documents"), "doc_id", "text")
-    return lexical.match_all(found, lexical.query_terms(benchmark_queries(spark, sf)), "doc_id")
+    terms = lexical.query_terms(benchmark_queries(spark, sf))
+    held = lexical.Texts(table(spark, sf, "documents"), "doc_id", "text").held(terms.select("term").distinct())
+    return lexical.match_all(held, terms, "doc_id")
 
 
 @query(S_TERMS + S_COVERS + "SELECT q AS query_id, d AS chunk_id, covers, round(score, 6) AS lexical_score, rank::INTEGER AS rank FROM lex")
@@ -229,6 +238,27 @@ def lexical_cover_rank(spark, sf):
     return lexical_hits(spark, sf).select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(S_TERMS + S_COVERS + "SELECT q AS query_id, d AS chunk_id, covers, round(score, 6) AS lexical_score, rank::INTEGER AS rank FROM lex")
+def index_cover_topk(spark, sf):
+    """lexical_cover_rank from a stored index, with an early end."""
+    found = with_index(spark, sf, "simple", lambda index: text_index.cover_topk(benchmark_queries(spark, sf), index, POOL, digits=6))
+    return found.select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(S_TERMS + f""",
+d AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS length FROM documents),
+m AS (SELECT avg(length) AS mean, count(*) AS n FROM d),
+tf AS (SELECT doc_id, tk, count(*) AS tf FROM tok GROUP BY doc_id, tk),
+df AS (SELECT tk, count(*) AS df FROM tf GROUP BY tk),
+sc AS (SELECT q, doc_id AS d, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {text_index.K1 + 1} / (tf + {text_index.K1} * ({1 - text_index.B} + {text_index.B} * length / mean))) AS score
+  FROM qt JOIN tf USING (tk) JOIN df USING (tk) JOIN d USING (doc_id), m GROUP BY q, doc_id)
+SELECT q AS query_id, d AS chunk_id, round(score, 6) AS lexical_score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, d) AS rank FROM sc) WHERE rank <= 20""")
+def bm25_topk(spark, sf):
+    """The 20 best documents of every benchmark item by BM25, from a stored index, with an early end."""
+    found = with_index(spark, sf, "simple", lambda index: text_index.bm25_search(benchmark_queries(spark, sf), index, 20, digits=6))
+    return found.select("query_id", "chunk_id", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
+
+
 def web_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Web-style queries from words of the benchmark items: by turns a phrase, alternatives, a forbidden word, and plain words."""
     w = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
@@ -247,6 +277,13 @@ def web_search_english(spark, sf):
     return found.select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def web_search_indexed(spark, sf):
+    """web_search_english from a stored index; a test holds it against that query."""
+    found = with_index(spark, sf, "english", lambda index: lexical.web_query_search(web_queries(spark, sf), index, POOL, digits=9))
+    return found.select("query_id", "chunk_id", "covers", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(S_TERMS + S_COVERS + """,
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS q, c.vec_id AS d, list_inner_product(q.e, c.e) AS score FROM v q JOIN benchmark b ON q.vec_id = b.item_id, v c),
