@@ -1,33 +1,32 @@
-"""Exact and partitioned vector search for many queries at once."""
+"""Vector search for many queries at once: exact, by cells, by compressed cells, and by signed projections.
+
+All searches are one plan: rows and queries become blocks of vectors (matrices), blocks with equal keys meet in a join, and what meets is
+a matrix product of which a task passes on the k best rows of each query. The exact search has one key for all vectors of one length; cells and
+projections give keys to rows and the keys to look under to queries. Blocks of queries are broadcast if they take QUERY_BYTES at most;
+beyond that they are dealt, with the rows of each key, over parts. So neither a popular key nor a large set of queries goes to one task or through the
+driver, and the index is scanned once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from paperlane.functions import text as T
+from paperlane.plans.stored import stored
 
-#: Bytes of query vectors that go to every worker at once; more queries are searched in several passes over the index.
+#: Bytes of query vectors that are broadcast.
 QUERY_BYTES = 64 << 20
-#: Rows of the index and queries whose products are taken at a time.
-ROWS, QUERIES = 2048, 1024
-#: Queries that pair_queries broadcasts in one go; more are dealt over blocks that meet the index by an equal block number.
-BROADCAST_QUERIES = 2_000
-
-
-def pair_queries(index: DataFrame, queries: DataFrame, block: int = BROADCAST_QUERIES) -> DataFrame:
-    """Each query beside each row of the index, for scores other than inner products: a stated set of queries, broadcast if its checked size allows, else in blocks."""
-    n = queries.count()
-    if n <= block:
-        return index.crossJoin(F.broadcast(queries))
-    blocks = -(-n // block)
-    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    return index.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")
+#: Rows of the index and queries whose products are taken at a time, and blocks of queries whose best rows a task keeps before it sends them on.
+ROWS, QUERIES, HELD = 2048, 1024, 16
 
 
 def top_by(scored: DataFrame, k: int, *order, rank: str = "rank") -> DataFrame:
@@ -78,75 +77,308 @@ class _Best:
         return pd.DataFrame({"query_id": [self.ids[n] for n in of.tolist()], "id": ids, "vector_score": scores})
 
 
-def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that are vectors of `dim` components without nulls, as doubles, and which they are."""
-    good = np.array([v is not None and len(v) == dim and not (v.dtype == object) for v in vectors], bool)
-    return (np.stack(vectors[good].tolist()).astype(float) if good.any() else np.zeros((0, dim))), good
-
-
 def spread(index: DataFrame) -> DataFrame:
     """The index over as many partitions as there are cores, if it has fewer: a few large files would keep most cores idle."""
     cores = index.sparkSession.sparkContext.defaultParallelism
     return index.repartition(cores) if index.rdd.getNumPartitions() < cores else index
 
 
+def whole(vector: str) -> Column:
+    """Whether there is a vector, without null components."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+
+
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """key, dim, ids, data of blocks of `size` rows at most, from rows (key, id, v); a block is rows of one partition with one key and one length."""
+    key, kind = rows.schema["key"].dataType, rows.schema["id"].dataType
+    types = [to_arrow_type(key), pa.int32(), pa.list_(to_arrow_type(kind)), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple, tuple[list, list]] = {}
+
+        def full(of: tuple) -> pa.RecordBatch:
+            ids, data = waiting.pop(of)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*of, ids, np.concatenate(data).tobytes()), types)], ["key", "dim", "ids", "data"])
+
+        for batch in batches:
+            vectors = batch.column(2)
+            values, ends = vectors.values.to_numpy(zero_copy_only=False).astype("<f8"), vectors.offsets.to_numpy()
+            for n, (of, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own = (of, int(ends[n + 1] - ends[n]))
+                ids, data = waiting.setdefault(own, ([], []))
+                ids.append(i)
+                data.append(values[ends[n] : ends[n + 1]])
+                if len(ids) == size:
+                    yield full(own)
+            if len(waiting) > ROWS:  # many keys: what has gathered goes on as it is
+                for own in list(waiting):
+                    yield full(own)
+        for own in list(waiting):
+            yield full(own)
+
+    return rows.select("key", "id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"key {key.simpleString()}, dim int, ids array<{kind.simpleString()}>, data binary")
+
+
+def meet(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of rows beside the blocks of queries (a stored table) with equal key and length."""
+    asked = asked.select("key", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    if (asked.agg(F.sum(F.octet_length("q_data"))).first()[0] or 0) <= QUERY_BYTES:
+        return rows.join(F.broadcast(asked), ["key", "dim"])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(parts)).cast("int")).join(dealt, ["key", "dim", "part"])
+
+
+def best_rows(pairs: DataFrame, k: int, q_type: S.DataType, id_type: S.DataType) -> DataFrame:
+    """query_id, id, vector_score: of what each task has met, the k best rows of every query; pairs: dim, ids, data, q_ids, q_data."""
+    kind = S.StructType([S.StructField("query_id", q_type), S.StructField("id", id_type), S.StructField("vector_score", S.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, _Best] = {}
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.q_data not in held:
+                    if len(held) == HELD:
+                        yield pd.concat([b.rows() for b in held.values()], ignore_index=True)
+                        held.clear()
+                    held[r.q_data] = _Best(list(r.q_ids), np.frombuffer(r.q_data, "<f8").reshape(-1, r.dim), k)
+                held[r.q_data].add(list(r.ids), np.frombuffer(r.data, "<f8").reshape(-1, r.dim))
+        for best in held.values():
+            yield best.rows()
+
+    return pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInPandas(run, kind)
+
+
+def keyed_search(asked: DataFrame, rows: DataFrame, k: int, id_col: str) -> DataFrame:
+    """query_id, id, vector_score, rank: the k best of the rows (key, id, v) under the keys that a query (key, query_id, v) looks under; a row counts once, under however many keys they meet."""
+    q = stored(blocks(asked.select("key", F.col("query_id").alias("id"), "v"), QUERIES), "query-blocks")
+    found = best_rows(meet(blocks(rows, ROWS), q), k, asked.schema["query_id"].dataType, rows.schema["id"].dataType)
+    found = found.groupBy("query_id", "id").agg(F.max("vector_score").alias("vector_score"))
+    return top_by(found.withColumnRenamed("id", id_col), k, F.col("vector_score").desc(), id_col)
+
+
 def vector_search(queries: DataFrame, index: DataFrame, k: int, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
     """query_id, id, vector_score, rank: inner product, descending, ties by id. queries: query_id and query_vec, a stated set.
 
-    The queries are read now, QUERY_BYTES of vectors at a time, and go to every worker; the index streams past them, and a task sends
-    on k rows for each query. Rows without a vector, or with one of another length, match nothing.
+    Rows without a vector, or with one of another length, match nothing. An id that repeats in the index counts each time.
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    spark = index.sparkSession
-    asked = queries.select("query_id", F.col(query_vec).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    n, widest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    passes = max(1, -(-n * widest * 8 // QUERY_BYTES))
-    rows = spread(index.select(F.col(id_col).alias("id"), "embedding"))
-    kind = S.StructType([S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("id", index.schema[id_col].dataType), S.StructField("vector_score", S.DoubleType())])
-    found = spark.createDataFrame([], kind)
-    for turn in range(passes if n else 0):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == turn).toPandas()
-        for dim, group in own.groupby(own["v"].map(len)):
-            held = spark.sparkContext.broadcast((group["query_id"].tolist(), np.stack(group["v"].tolist()).astype(float)))
-
-            def run(batches: Iterator[pd.DataFrame], held=held, dim=int(dim)) -> Iterator[pd.DataFrame]:
-                best = _Best(*held.value, k)
-                for batch in batches:
-                    for low in range(0, len(batch), ROWS):
-                        part = batch.iloc[low : low + ROWS]
-                        vectors, good = _matrix(part["embedding"], dim)
-                        if len(vectors):
-                            best.add(part["id"][good].tolist(), vectors)
-                yield best.rows()
-
-            found = found.unionByName(rows.mapInPandas(run, kind))
+    asked = queries.where(whole(query_vec)).select(F.lit(0).alias("key"), F.col("query_id").alias("id"), F.col(query_vec).alias("v"))
+    q = stored(blocks(asked, QUERIES), "query-blocks")
+    rows = spread(index.where(whole("embedding")).select(F.lit(0).alias("key"), F.col(id_col).alias("id"), F.col("embedding").alias("v")))
+    found = best_rows(meet(blocks(rows, ROWS), q), k, queries.schema["query_id"].dataType, index.schema[id_col].dataType)
     return top_by(found.withColumnRenamed("id", id_col), k, F.col("vector_score").desc(), id_col)
 
 
+def sampled(index: DataFrame, sample: int, id_col: str) -> DataFrame:
+    """At most `sample` rows with whole vectors of the most frequent length, first by a hash of the id: one threshold for all rows, then the first of those below it."""
+    index = index.where(whole("embedding"))
+    most = index.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    if most is None:
+        raise ValueError("there are no vectors to learn from")
+    index = index.where(F.size("embedding") == most["dim"])
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 32))
+    bound = (1 << 32) * min(1.0, 1.1 * sample / max(1, index.count()))
+    return index.where(place < F.lit(int(bound))).orderBy(place, id_col).limit(sample)
+
+
 def fit_cells(index: DataFrame, cells: int, sample: int = 20_000, id_col: str = "chunk_id", seed: int = 7) -> list[list[float]]:
-    """Centroids from a bounded sample (first by a hash of the id); every row is indexed by assign_cells."""
+    """Centroids from a bounded sample; every row is indexed by assign_cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = index.orderBy(F.xxhash64(id_col)).limit(sample).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    rows = sampled(index, sample, id_col).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     return [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()]
 
 
-def _nearest(vec, centroids: list[list[float]], n: int):
-    scored = F.array(*(F.struct(T.inner_product(vec, F.lit(c)).alias("s"), F.lit(-i).alias("neg")) for i, c in enumerate(centroids)))
-    return F.transform(F.slice(F.reverse(F.array_sort(scored)), 1, n), lambda x: -x["neg"])
+def _of_matrix(vectors: pd.Series, dim: int, work) -> pd.Series:
+    """work's row for each vector of `dim` components without nulls, null for the others."""
+    good = np.flatnonzero([v is not None and len(v) == dim and v.dtype != object for v in vectors])
+    out: list = [None] * len(vectors)
+    if len(good):
+        for n, row in zip(good.tolist(), work(np.stack([vectors.iloc[n] for n in good]).astype(float))):
+            out[n] = row
+    return pd.Series(out, index=vectors.index, dtype=object)
+
+
+def nearest_cells(df: DataFrame, vector: str, centroids: list[list[float]], n: int) -> Column:
+    """The n cells whose centroids have the largest inner products with the vector, best first, ties to the smaller cell. The centroids are a broadcast array, however many there are."""
+    held = df.sparkSession.sparkContext.broadcast(np.array(centroids, float))
+
+    @F.pandas_udf("array<int>")
+    def near(vectors: pd.Series) -> pd.Series:
+        return _of_matrix(vectors, held.value.shape[1], lambda m: np.argsort(-(m @ held.value.T), axis=1, kind="stable")[:, :n].astype(np.int32))
+
+    return near(F.col(vector))
 
 
 def assign_cells(index: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """index with cell, to be written partitioned by it."""
-    return index.withColumn("cell", F.element_at(_nearest(F.col("embedding"), centroids, 1), 1))
+    """index with cell (null without a whole vector), to be written partitioned by it."""
+    return index.withColumn("cell", F.get(nearest_cells(index, "embedding", centroids, 1), F.lit(0)))
 
 
 def probe_search(queries: DataFrame, celled: DataFrame, centroids: list[list[float]], k: int, probes: int, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
-    """Approximate search over the `probes` nearest cells of each query; the join prunes partitions by cell."""
+    """Approximate search over the `probes` nearest cells of each query."""
     if k < 1 or probes < 1:
         raise ValueError("top_k and probes must be at least 1")
-    near = queries.select("query_id", query_vec, F.explode(_nearest(F.col(query_vec), centroids, probes)).alias("cell"))
-    scored = celled.select(id_col, "embedding", "cell").join(near, "cell").select("query_id", id_col, T.inner_product(F.col("embedding"), F.col(query_vec)).alias("vector_score"))
+    asked = queries.where(whole(query_vec)).select("query_id", F.col(query_vec).alias("v"), F.explode(nearest_cells(queries, query_vec, centroids, probes)).alias("key"))
+    rows = by_key(celled.where(F.col("cell").isNotNull()).select(F.col("cell").alias("key"), F.col(id_col).alias("id"), F.col("embedding").alias("v")))
+    return keyed_search(asked, rows, k, id_col)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """Rows of one key together, those of a popular key over several partitions."""
+    return rows.repartitionByRange("key", F.xxhash64("id"))
+
+
+@dataclass(frozen=True)
+class Codebooks:
+    """Centroids of the cells, and for each run of components the words that stand for a vector's difference from its centroid."""
+
+    centroids: np.ndarray
+    words: np.ndarray  # parts x 256 x components of a part
+
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """cell and code (a byte a part) of each row."""
+        cells = (vectors @ self.centroids.T).argmax(axis=1)
+        parts, n, width = self.words.shape
+        rest = (vectors - self.centroids[cells]).reshape(len(vectors), parts, width)
+        codes = np.empty((len(vectors), parts), np.uint8)
+        for p in range(parts):
+            far = (self.words[p] ** 2).sum(axis=1)[None, :] - 2 * rest[:, p] @ self.words[p].T
+            codes[:, p] = far.argmin(axis=1)
+        return cells, codes
+
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for: looked up part by part."""
+        return self.centroids[cells] + np.concatenate([self.words[p][codes[:, p]] for p in range(codes.shape[1])], axis=1)
+
+
+def fit_codebooks(index: DataFrame, cells: int, parts: int, sample: int = 20_000, id_col: str = "chunk_id", words: int = 256, rounds: int = 12) -> Codebooks:
+    """From a bounded sample: the centroids of the cells, then for each part, in a task of its own, the words of the sample's differences from them."""
+    rows = sampled(index, sample, id_col).select(F.col("embedding").cast("array<double>").alias("v"))
+    centroids = np.array(fit_cells(index, cells, sample, id_col))
+    width, rest = divmod(centroids.shape[1], parts)
+    if rest:
+        raise ValueError("the parts must divide the components evenly")
+    book = Codebooks(centroids, np.zeros((parts, words, width)))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = np.stack(batch.v.tolist()) if len(batch) else np.zeros((0, parts * width))
+            away = (v - centroids[(v @ centroids.T).argmax(axis=1)]).reshape(-1, parts, width)
+            yield pd.DataFrame({"part": np.tile(np.arange(parts), len(v)), "v": list(away.reshape(-1, width))})
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Lloyd's rounds from words that lie evenly along the sample's order by length; a word that nothing is nearest to stays."""
+        v = np.stack(pdf.v.tolist())
+        v = v[np.lexsort(v.T[::-1])]
+        own = v[np.linspace(0, len(v) - 1, words).astype(int)]
+        for _ in range(rounds):
+            near = ((own**2).sum(axis=1)[None, :] - 2 * v @ own.T).argmin(axis=1)
+            n = np.bincount(near, minlength=words)
+            sums = np.stack([np.bincount(near, v[:, c], words) for c in range(width)], axis=1)
+            own = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], own)
+        return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "words": [own.ravel()]})
+
+    for r in rows.mapInPandas(split, "part int, v array<double>").groupBy("part").applyInPandas(learn, "part int, words array<double>").collect():  # `parts` rows
+        book.words[r["part"]] = np.array(r["words"]).reshape(words, width)
+    return book
+
+
+def compress(index: DataFrame, book: Codebooks, id_col: str = "chunk_id") -> DataFrame:
+    """id, cell, code of every row with a whole vector of the right length: a byte a part in place of the vector, to be written partitioned by cell."""
+    held, kind = index.sparkSession.sparkContext.broadcast(book), index.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch.v.map(len) == held.value.centroids.shape[1]]
+            if len(batch):
+                cells, codes = held.value.encode(np.stack(batch.v.tolist()))
+                yield pd.DataFrame({id_col: batch[id_col].to_numpy(), "cell": cells, "code": [c.tobytes() for c in codes]})
+
+    return index.where(whole("embedding")).select(id_col, F.col("embedding").cast("array<double>").alias("v")).mapInPandas(run, f"`{id_col}` {kind}, cell int, code binary")
+
+
+def compressed_search(queries: DataFrame, codes: DataFrame, index: DataFrame, book: Codebooks, k: int, probes: int | None = None, pool: int = 10, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
+    """Approximate search: the pool * k best rows by their codes, of the `probes` nearest cells (None: all), ranked by their vectors.
+
+    The product of a query and what a code stands for is the sum of its products with the looked-up words, so a block of codes is looked up once for all queries that it meets.
+    Vectors are read for the pool alone.
+    """
+    if k < 1 or pool < 1 or (probes is not None and probes < 1):
+        raise ValueError("top_k, pool and probes must be at least 1")
+    held, kind = codes.sparkSession.sparkContext.broadcast(book), codes.schema[id_col].dataType
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), ROWS):
+                part = batch.iloc[low : low + ROWS]
+                found = held.value.decode(part.cell.to_numpy(), np.stack([np.frombuffer(c, np.uint8) for c in part.code]))
+                yield pd.DataFrame({"key": part.key.to_numpy(), "id": part.id.to_numpy(), "v": list(found)})
+
+    q = queries.where(whole(query_vec)).select("query_id", F.col(query_vec).alias("v"))
+    key = F.lit(0) if probes is None else F.col("cell")
+    rows = codes.select(key.alias("key"), F.col(id_col).alias("id"), "cell", "code")
+    rows = (spread(rows) if probes is None else by_key(rows)).mapInPandas(look_up, f"key int, id {kind.simpleString()}, v array<double>")
+    asked = q.select("query_id", "v", F.lit(0).alias("key") if probes is None else F.explode(nearest_cells(q, "v", book.centroids.tolist(), probes)).alias("key"))
+    near = keyed_search(asked, rows, k * pool, id_col).select("query_id", id_col)
+    scored = near.join(index.select(id_col, "embedding"), id_col).join(q, "query_id").select("query_id", id_col, T.inner_product(F.col("embedding"), F.col("v")).alias("vector_score"))
     return top_by(scored, k, F.col("vector_score").desc(), id_col)
+
+
+@dataclass(frozen=True)
+class Projections:
+    """Tables of signed random projections: `bits` directions for each of `tables`."""
+
+    dim: int
+    tables: int = 8
+    bits: int = 8
+    seed: int = 7
+
+    def directions(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).normal(size=(self.dim, self.tables * self.bits))
+
+    def keys(self, vectors: np.ndarray, flips: int = 0) -> np.ndarray:
+        """Rows x (tables * (1 + flips)): a row's bucket in each table, and the buckets across the `flips` directions that it is nearest to."""
+        sides = (vectors @ self.directions()).reshape(len(vectors), self.tables, self.bits)
+        weight = 1 << np.arange(self.bits, dtype=np.int64)
+        own = ((sides > 0) * weight).sum(axis=2)
+        nearest = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :flips]
+        buckets = np.concatenate([own[:, :, None], own[:, :, None] ^ weight[nearest]], axis=2)
+        return (buckets + (np.arange(self.tables, dtype=np.int64) << self.bits)[None, :, None]).reshape(len(vectors), -1)
+
+
+def hashed(df: DataFrame, vector: str, projections: Projections, flips: int = 0) -> Column:
+    """The vector's keys; none for a vector of another length."""
+
+    @F.pandas_udf("array<long>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        return _of_matrix(vectors, projections.dim, lambda m: projections.keys(m, flips))
+
+    return keys(F.col(vector))
+
+
+def hashed_index(index: DataFrame, projections: Projections, id_col: str = "chunk_id") -> DataFrame:
+    """key, id, embedding: each row with a whole vector under its bucket of every table, to be written sorted by key."""
+    rows = index.where(whole("embedding"))
+    return rows.select(F.explode(hashed(rows, "embedding", projections)).alias("key"), id_col, "embedding")
+
+
+def hashed_search(queries: DataFrame, table: DataFrame, projections: Projections, k: int, flips: int = 2, id_col: str = "chunk_id", query_vec: str = "query_embedding") -> DataFrame:
+    """Approximate search over the rows in a query's buckets, its own and those across the `flips` nearest directions of each table."""
+    if k < 1 or flips < 0:
+        raise ValueError("top_k must be at least 1, and flips not negative")
+    asked = queries.where(whole(query_vec))
+    asked = asked.select("query_id", F.col(query_vec).alias("v"), F.explode(hashed(asked, query_vec, projections, flips)).alias("key"))
+    rows = by_key(table.select("key", F.col(id_col).alias("id"), F.col("embedding").alias("v")))
+    return keyed_search(asked, rows, k, id_col)
+
+
+def compared(queries: DataFrame, table: DataFrame, projections: Projections, flips: int = 2, query_vec: str = "query_embedding") -> float:
+    """Of all rows beside all queries, the share that hashed_search compares (a row in several buckets of a query counts as often)."""
+    asked = queries.where(whole(query_vec))
+    keys = asked.select(F.explode(hashed(asked, query_vec, projections, flips)).alias("key")).groupBy("key").agg(F.count("*").alias("q"))
+    met = table.groupBy("key").agg(F.count("*").alias("n")).join(keys, "key").agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
+    return met / max(1, asked.count() * table.count() / projections.tables)

@@ -18,6 +18,9 @@ from paperlane.sources import bibtex, categories, files, tex
 
 CHUNK_TOKENS, POOL, FINAL, CAP, BUDGET = 100, 30, 6, 2, 1500
 
+#: Inexact search: cells, bytes of a code, rows by code for each row wanted; tables of signed projections, with the buckets looked into beyond a query's own.
+CELLS, PARTS, CODED, PROJECTIONS, FLIPS = 16, 16, 5, vector.Projections(64, tables=16, bits=6), 3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -162,6 +165,27 @@ def vector_topk(spark, sf):
     return found.select("chunk_id", r6("vector_score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def vector_topk_compressed(spark, sf):
+    """vector_topk_batch by codes of 16 bytes in all cells, the best 50 by code ranked by their vectors; a test measures the recall."""
+    q, index = vectors(spark, sf)
+    with stored.run(spark) as own:
+        book = vector.fit_codebooks(index, CELLS, PARTS)
+        codes = stored.stored(vector.compress(index, book), "codes")
+        found = vector.compressed_search(q, codes, index, book, 10, pool=CODED)
+        return stored.result(found.select("query_id", "chunk_id", r6("vector_score"), F.col("rank").cast("int").alias("rank")), own)
+
+
+@query()
+def vector_topk_hashed(spark, sf):
+    """vector_topk_batch by signed projections; a test measures the recall."""
+    q, index = vectors(spark, sf)
+    with stored.run(spark) as own:
+        table = stored.stored(vector.hashed_index(index, PROJECTIONS), "buckets")
+        found = vector.hashed_search(q, table, PROJECTIONS, 10, FLIPS)
+        return stored.result(found.select("query_id", "chunk_id", r6("vector_score"), F.col("rank").cast("int").alias("rank")), own)
+
+
 @query("SELECT vec_id, (i - 1)::INTEGER AS i, round(e[i] / greatest(sqrt(list_inner_product(e, e)), 1e-12), 6) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def vector_normalize(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.transform(T.normalize_vector(F.col("embedding")), lambda x: F.round(x, 6))).alias("i", "x"))
