@@ -201,10 +201,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Alphabet, parameters, counts of head words and of groups (bounded), and the table of all counts (distributed)."""
+    """Alphabet, parameters, counts of head words and of groups (bounded), the table of all counts (distributed), and what each pass gained in free energy."""
 
-    def __init__(self, alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v):
-        self.alphabet, self.parameters, self.head_counts, self.group_tokens, self.group_words, self.counts, self.n, self.v = alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v
+    def __init__(self, alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v, gains=()):
+        self.alphabet, self.parameters, self.head_counts, self.group_tokens, self.group_words, self.counts, self.n, self.v, self.gains = alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v, gains
 
 
 def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -231,10 +231,10 @@ def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: fl
     head_counts = np.array([r["n"] for r in top], np.int64)
     letters = np.concatenate([group_n, [texts], head_counts]) + 1.0
     share = letters / letters.sum()
-    p = _first_guess(share, states)
+    p, gains = _first_guess(share, states), []
     if texts:
-        p = fit(spelling(rows, alphabet), share, p, tolerance * (int(total) + texts))
-    return Model(alphabet, p, head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts))
+        p, gains = fit(spelling(rows, alphabet), share, p, tolerance * (int(total) + texts))
+    return Model(alphabet, p, head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts), gains)
 
 
 def head_words(counts: DataFrame, head: int) -> list:
@@ -260,11 +260,11 @@ def spelling(rows: DataFrame, alphabet: Alphabet) -> list[DataFrame]:
     return [spelt.where(F.col("part") == n).select("letters") for n in range(PARTS)]
 
 
-def fit(parts: list[DataFrame], share: np.ndarray, p: Parameters, least: float) -> Parameters:
-    """Incremental Baum-Welch from p until a pass over all parts raises the free energy by less than `least`."""
+def fit(parts: list[DataFrame], share: np.ndarray, p: Parameters, least: float) -> tuple[Parameters, list[float]]:
+    """Incremental Baum-Welch from p until a pass over all parts raises the free energy by less than `least`; and the gain of each pass but the first."""
     letters, states = len(share), len(p.start)
     own, bound = [Expected(letters, states) for _ in parts], [0.0] * len(parts)
-    every, before = Expected(letters, states), -np.inf
+    every, before, gains = Expected(letters, states), None, []
     while True:
         for n, part in enumerate(parts):
             e = baum_welch(part, letters, p)
@@ -274,17 +274,19 @@ def fit(parts: list[DataFrame], share: np.ndarray, p: Parameters, least: float)
             own[n], bound[n] = e, e.logs - e.weight(p)
             p = every.parameters(share)
         reached = sum(bound) + every.weight(p) + pull(p, share)
-        if reached - before < least:
-            return p
+        if before is not None:
+            gains.append(reached - before)
+            if gains[-1] < least:
+                return p, gains
         before = reached
 
 
 def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
-    """The expected counts under p over all rows, summed over partitions. Counts travel as bytes, BLOCK letters to a row."""
-    states = len(p.start)
+    """The expected counts under p over all rows, summed over partitions. Counts travel as bytes, BLOCK letters to a row. The parameters are broadcast (letters x states), and taken back from all disks when the counts are in."""
+    states, held = len(p.start), spelt.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Expected(letters, states)
+        e, p = Expected(letters, states), Parameters(*held.value)
         for batch in _gathered(batches):
             e.add(p, [np.frombuffer(x, np.int32) for x in batch.letters])
         if e.start.any():
@@ -306,6 +308,7 @@ def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
             e.logs, e.start, e.move = float(x[0]), x[1 : 1 + states].copy(), x[1 + states :].reshape(states, states).copy()
         else:
             e.emit[r["block"] : r["block"] + BLOCK] = x.reshape(-1, states)
+    held.destroy()
     return e
 
 
