@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.functions import text as T
-from paperlane.operators import chunking, evidence, lexical, metrics, ranking, text_index, vector
-from paperlane.plans import stored
+from paperlane.operators import chunking, evidence, lexical, metrics, prompts, ranking, text_index, vector
+from paperlane.plans import catalogue, stored
 from paperlane.sources import bibtex, categories, files, tex
 
 CHUNK_TOKENS, POOL, FINAL, CAP, BUDGET = 100, 30, 6, 2, 1500
@@ -283,6 +283,13 @@ def bm25_topk(spark, sf):
     return found.select("query_id", "chunk_id", r6("lexical_score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_sql(spark, sf):
+    """bm25_topk as one SQL text over the catalogue's functions, without an index."""
+    catalogue.register(spark)
+    return spark.sql(catalogue.BM25, documents=table(spark, sf, "documents"), queries=table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k=20)
+
+
 def web_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Web-style queries from words of the benchmark items: by turns a phrase, alternatives, a forbidden word, and plain words."""
     w = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
@@ -507,10 +514,36 @@ def category_paths(spark, sf):
     return categories.paths_by_key(categories.read_categories(c)).select("bib_key", F.array_join(F.transform("living_review_categories", T.join_path), "; ").alias("paths"))
 
 
+def document_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a source of one file."""
+    d = table(spark, sf, "documents")
+    source = F.concat(F.lit("\\documentclass{a}\n\\title{T "), F.col("source"), F.lit("}\n\\begin{document}\n\\section{"), F.col("lang"), F.lit("}\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\\end{document}"))
+    return d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), source.alias("content"))
+
+
 @query()
 def tex_papers(spark, sf):
     """Every document as a one-file source, parsed."""
-    d = table(spark, sf, "documents")
-    source = F.concat(F.lit("\\documentclass{a}\n\\title{T "), F.col("source"), F.lit("}\n\\begin{document}\n\\section{"), F.col("lang"), F.lit("}\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\\end{document}"))
-    found = tex.parse_papers(d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), source.alias("content")))
-    return found.withColumn("section_path", T.join_path(F.col("section_path")))
+    return tex.parse_papers(document_sources(spark, sf)).withColumn("section_path", T.join_path(F.col("section_path")))
+
+
+@query()
+def tex_papers_sql(spark, sf):
+    """tex_papers by the table function, called from SQL; a test holds it against that query."""
+    catalogue.register(spark)
+    return spark.sql("SELECT * EXCEPT (section_path), array_join(section_path, ' > ') AS section_path FROM parse_tex(TABLE({files}))", files=tex.with_main(document_sources(spark, sf)))
+
+
+def reranker(max_length: int = 512) -> prompts.Prompting:
+    import public_tokenizers
+
+    return prompts.Prompting(public_tokenizers.path("byte_bpe_50k.json"), "stand-in", max_length)
+
+
+@query()
+def rerank_prompts(spark, sf):
+    """The reranker's prompts for every benchmark item beside its five best documents by BM25: tokens, and whether the document was cut; a test holds them against a plain loop."""
+    best = with_index(spark, sf, "simple", lambda index: text_index.bm25_search(benchmark_queries(spark, sf), index, 5, digits=6))
+    h = best.join(benchmark_queries(spark, sf), "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    made = prompts.assemble(h, reranker())
+    return made.select("query_id", "chunk_id", F.size("prompt_ids").alias("prompt_tokens"), "cut", F.sha2(F.array_join(F.col("prompt_ids").cast("array<string>"), ","), 256).alias("prompt_sha256"))

@@ -9,8 +9,10 @@ import posixpath
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, PartitioningColumn
 
 # What marks main files, sections, display mathematics and parts that are left out.
 LEVELS = {"section": 0, "subsection": 1, "subsubsection": 2, "paragraph": 3}
@@ -256,24 +258,63 @@ def title_of(text: str) -> str | None:
 PARSED = "paper_id string, main_tex_path string, title string, pos int, paragraph_id string, kind string, section_path array<string>, text string, error string"
 
 
+def parsed_type() -> StructType:
+    """PARSED as a type, without a session."""
+    kinds = {"string": StringType(), "int": IntegerType(), "array<string>": ArrayType(StringType())}
+    return StructType([StructField(name, kinds[kind]) for name, kind in map(str.split, PARSED.split(", "))])
+
+
+def parsed_rows(paper: str, main: str | None, tree: dict[str, str]) -> list[tuple]:
+    """Rows as of PARSED of one paper's tree; a paper that cannot be parsed gives one row with the error."""
+    try:
+        if main is None:
+            raise ValueError("no TeX file")
+        text = inline_inputs(main, tree)
+        title = title_of(text)
+        rows = [(paper, main, title, n, *p, None) for n, p in enumerate(paragraphs_of(paper, text))]
+        if not rows:
+            raise ValueError("no paragraphs")
+    except Exception as e:  # one paper's failure is data
+        rows = [(paper, main, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+    return rows
+
+
+class ParseTex:
+    """The table function parse_tex(TABLE files): files (paper_id, path, content, main_tex_path, and columns that are ignored) to rows as of PARSED. Calls need not
+    partition the table: it is by paper_id, and one paper's tree is what a task holds."""
+
+    @staticmethod
+    def analyze(files: AnalyzeArgument) -> AnalyzeResult:
+        if not files.isTable:
+            raise ValueError("parse_tex takes a table of files")
+        if missing := {"paper_id", "path", "content", "main_tex_path"} - set(files.dataType.names):
+            raise ValueError(f"parse_tex needs the columns {sorted(missing)}")
+        return AnalyzeResult(parsed_type(), partitionBy=[PartitioningColumn("paper_id")])
+
+    def __init__(self):
+        self.paper, self.main, self.tree = None, None, {}
+
+    def eval(self, file: Row):
+        self.paper, self.main = str(file["paper_id"]), file["main_tex_path"]
+        self.tree[file["path"]] = file["content"]
+
+    def terminate(self):
+        if self.paper is not None:
+            yield from parsed_rows(self.paper, self.main, self.tree)
+
+
+def with_main(files: DataFrame) -> DataFrame:
+    """files (paper_id, path, content) with main_tex_path, found by expressions."""
+    return files.join(main_files(files).select("paper_id", "main_tex_path"), "paper_id", "left")
+
+
 def parse_papers(files: DataFrame) -> DataFrame:
     """files (paper_id, path, content) to paragraphs; a paper that cannot be parsed gives one row with the error."""
     # The main file is found by expressions; the tree of one paper is what one group holds.
-    chosen = files.join(main_files(files).select("paper_id", "main_tex_path"), "paper_id", "left")
 
     def parse(pdf: pd.DataFrame) -> pd.DataFrame:
-        paper, main = str(pdf["paper_id"].iloc[0]), pdf["main_tex_path"].iloc[0]
-        columns = [f.split()[0] for f in PARSED.split(", ")]
-        try:
-            if not isinstance(main, str):
-                raise ValueError("no TeX file")
-            text = inline_inputs(main, dict(zip(pdf["path"], pdf["content"])))
-            title = title_of(text)
-            rows = [(paper, main, title, n, *p, None) for n, p in enumerate(paragraphs_of(paper, text))]
-            if not rows:
-                raise ValueError("no paragraphs")
-        except Exception as e:  # one paper's failure is data
-            rows = [(paper, main if isinstance(main, str) else None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-        return pd.DataFrame(rows, columns=columns).astype({"pos": "Int32"})
-
-    return chosen.groupBy("paper_id").applyInPandas(parse, PARSED)
+        main = pdf["main_tex_path"].iloc[0]
+        rows = parsed_rows(str(pdf["paper_id"].iloc[0]), main if isinstance(main, str) else None, dict(zip(pdf["path"], pdf["content"])))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in PARSED.split(", ")]).astype({"pos": "Int32"})
+
+    return with_main(files).groupBy("paper_id").applyInPandas(parse, PARSED)
