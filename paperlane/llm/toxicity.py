@@ -1,9 +1,9 @@
 """Toxicity classifier with a counterfactual regulariser (after Garg et al., 2019).
 
-A linear logistic model of the words of a text and of their first four and five letters, each present or not. Features are
-chosen by their chi-square against the label among the sampled rows. For every labelled row that names a group, the term is
+A linear logistic model of the words of a text and of their first four and five letters, each present or not. All of them count: identity terms have
+a feature each and no prefix features, so nothing leaks to them from other words; the others share SLOTS slots by their crc32. For every labelled row that names a group, the term is
 swapped for all others of its kind, and  weight * mean (f(x) - f(x'))^2  is added to the loss: a text must not score differently
-for the group it names. A term that the text names already is not gained again. Identity terms have a feature each and no prefix features, so nothing leaks to them from other words.
+for the group it names. A term that the text names already is not gained again.
 
 Null and empty texts have no features and score the logistic of the intercept. Without positive (or negative) labels every
 score is the smoothed share of positives. Labels but 0 and 1, and those of null ids, teach nothing. An id counts once in the sample, with the
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from paperlane.llm.common import cut, drawn, hash_order, small_batches
 
-#: Labelled ids of the sample at most, drawn by a hash of the id; features that the fit chooses from those of the sample that stand in LEAST_TEXTS texts or more.
-SAMPLE, FEATURES, STEPS, RATE, DECAY, COUNTERFACTUAL = 20_000, 8192, 400, 0.05, 1e-5, 1.0
-THRESHOLD, LEAST_TEXTS = 0.7, 5
+#: Labelled ids of the sample at most, drawn by a hash of the id; slots of the features that are no identity terms.
+SAMPLE, SLOTS, STEPS, RATE, DECAY, COUNTERFACTUAL = 20_000, 1 << 18, 400, 0.05, 1e-5, 1.0
+THRESHOLD = 0.7
 #: Terms that name groups, by kind; a term is swapped for all others of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
@@ -54,28 +55,33 @@ def features_of(word: str) -> tuple[str, ...]:
 class Featurizer:
     """Feature numbers of a text; a worker keeps those of words it has met."""
 
-    def __init__(self, numbers: dict[str, int]):
-        self.numbers, self.known = numbers, {}
+    def __init__(self, names: list[str], slots: int = 0):
+        """names: features with a number each; the others' numbers are their slots, behind these."""
+        self.numbers, self.slots, self.known = {f: n for n, f in enumerate(names)}, slots, {}
+
+    def number(self, feature: str) -> int | None:
+        n = self.numbers.get(feature)
+        return len(self.numbers) + crc32(feature.encode()) % self.slots if n is None and self.slots else n
 
     def __call__(self, text: str | None) -> np.ndarray:
-        known, numbers = self.known, self.numbers
+        known = self.known
         words = set(WORDS.findall((text or "").lower()))
         new = words.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
             new = words
         for w in new:
-            known[w] = tuple(n for f in features_of(w) if (n := numbers.get(f)) is not None)
+            known[w] = tuple(n for f in features_of(w) if (n := self.number(f)) is not None)
         return np.unique(np.array([n for w in words for n in known[w]], np.int32))
 
 
 class Model:
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float, pairs: int = 0):
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, pairs: int = 0, slots: int = 0):
         """pairs: how many counterfactuals training saw."""
-        self.names, self.weights, self.bias, self.pairs = names, weights, bias, pairs
+        self.names, self.weights, self.bias, self.pairs, self.slots = names, weights, bias, pairs, slots
 
     def scores(self, texts) -> np.ndarray:
-        of = Featurizer({f: n for n, f in enumerate(self.names)})
+        of = Featurizer(self.names, self.slots)
         return np.array([1 / (1 + np.exp(-np.clip(self.weights[of(t)].sum() + self.bias, -30, 30))) for t in texts])
 
 
@@ -98,12 +104,12 @@ def penalty(w: np.ndarray, lost: np.ndarray, gained: np.ndarray) -> tuple[float,
     return float((change * change).mean()), np.bincount(gained[~there], slope[~there], len(w)) - np.bincount(lost, slope, len(w))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, counterfactual: float = COUNTERFACTUAL) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, counterfactual: float = COUNTERFACTUAL, slots: int = 0) -> Model:
     prior = (float(labels.sum()) + 1) / (len(labels) + 2)
     bias = float(np.log(prior / (1 - prior)))
-    w = np.zeros(len(names))
+    w = np.zeros(len(names) + slots)
     if not 0 < labels.sum() < len(labels):
-        return Model(names, w, bias)
+        return Model(names, w, bias, slots=slots)
     of, at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     lost, gained = swaps(rows, names)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -116,10 +122,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(names, w, float(bias), len(lost))
+    return Model(names, w, float(bias), len(lost), slots)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counterfactual: float = COUNTERFACTUAL) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counterfactual: float = COUNTERFACTUAL) -> Model:
     """Learns from the labelled rows given; at most `sample` ids, by a hash of them."""
     small_batches(docs.sparkSession)
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label"))
@@ -129,31 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     once = met.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     rows = cut(once.select(hash_order(F.col("id"), 2).alias("place"), "text", "label"), "toxic-sample")
 
-    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, label in zip(batch.text, batch.label):
-                for f in {f for w in set(WORDS.findall((text or "").lower())) for f in features_of(w)}:
-                    count.setdefault(f, [0, 0])[label] += 1
-            if len(count) > CACHE:
-                yield pd.DataFrame([(f, *n) for f, n in count.items()], columns=["f", "negative", "positive"])
-                count = {}
-        yield pd.DataFrame([(f, *n) for f, n in count.items()], columns=["f", "negative", "positive"])
-
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    ups, downs = totals.get(1, 0), totals.get(0, 0)
-    counted = rows.mapInPandas(present, "f string, negative long, positive long").groupBy("f").agg(F.sum("negative").alias("n"), F.sum("positive").alias("p")).where(F.col("n") + F.col("p") >= LEAST_TEXTS)
-    expected = (F.col("n") + F.col("p")) * F.lit(ups / max(1, ups + downs))
-    names = [r["f"] for r in counted.orderBy(((F.col("p") - expected) * (F.col("p") - expected) / (expected + F.lit(1.0))).desc(), "f").limit(features).collect()]
-    names += [t for t in KIND if t not in set(names)]
+    names = list(KIND)
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Featurizer({f: n for n, f in enumerate(names)})
+        of = Featurizer(names, slots)
         for batch in batches:
             yield pd.DataFrame({"place": batch.place, "label": batch.label, "x": [of(t) for t in batch.text]})
 
     got = rows.mapInPandas(featurize, "place long, label int, x array<int>").toPandas().sort_values("place", kind="stable")
-    return fit([np.asarray(x, np.int32) for x in got.x], got.label.to_numpy(float), names, counterfactual=counterfactual)
+    return fit([np.asarray(x, np.int32) for x in got.x], got.label.to_numpy(float), names, counterfactual=counterfactual, slots=slots)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -162,7 +152,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        featurize = Featurizer({f: n for n, f in enumerate(model.names)})
+        featurize = Featurizer(model.names, model.slots)
         for texts in batches:
             f = np.array([model.weights[featurize(t)].sum() for t in texts], float) + model.bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
