@@ -12,12 +12,13 @@ Texts with equal words are one node. Nodes meet in the buckets of BANDS bands of
 node goes to its largest bucket alone, and is compared with that bucket's leader, which joins the bulk of a large group at one comparison a node. Then, in
 each of ROUNDS rounds, the members of a bucket are compared with one leader of it, from the class that has most of its members, if they are of another class;
 classes are merged, by the links between classes alone; leaders change from round to round. What is still in one bucket but in different classes is compared
-member by member. A leader's text travels once for every MEMBERS members, and a leader of many is dealt over as many parts.
+member by member: a bucket's members are dealt over parts of some PART, and each two parts meet in a task of their own. A leader's text travels once for every MEMBERS members, and a leader of many is dealt over as many parts.
 
 A comparison first counts equal components of the two signatures; texts are fetched and verified only where
 these are within SPREAD standard deviations of what a similarity of 0.8 gives. Nodes left for the last round get a signature of LONG
 components besides, which tells 0.75 from 0.8, so that two large groups that are nearly alike are not compared text by text. A pair at 0.8 misses all buckets
-with probability 2e-5, and falls out of either spread with probability 2e-4; everything above is likelier to be found.
+with probability 2e-5, and falls out of either spread with probability 2e-4; everything above is likelier to be found. With `spread` off no pair falls out:
+all that meet in a bucket are verified.
 
 Null text is empty. Texts without words are alike only if equal as strings. Null ids: the class id is the smallest id of the class, or null.
 Repeated rows are copies. An empty table gives an empty result. Extra columns are ignored (classes) or passed on (deduplicate).
@@ -44,6 +45,8 @@ LONG = 864
 LEAST_LONG = int(LONG * (SIMILARITY - SPREAD * (SIMILARITY * (1 - SIMILARITY) / LONG) ** 0.5))
 #: Words whose signatures are made at a time; members that a leader is compared with in one part.
 WORDS, MEMBERS = 1 << 16, 512
+#: Members of a part of a bucket, about, in the last round.
+PART = 256
 #: Rows of ids that are broadcast at most.
 BROADCAST_ROWS = 200_000
 WORD = r"[\p{L}\p{N}]+"
@@ -240,9 +243,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size of every row: the smallest doc_id of its class and the number of its rows."""
-    return _classes(docs, signed(docs, id_col, text_col), id_col, text_col).select("doc_id", "class_id", "class_size")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: bool = True) -> DataFrame:
+    """doc_id, class_id, class_size of every row: the smallest doc_id of its class and the number of its rows. spread=False: no filter on signatures."""
+    return _classes(docs, signed(docs, id_col, text_col), id_col, text_col, spread).select("doc_id", "class_id", "class_size")
+
+
+def dealt_parts(now: DataFrame) -> DataFrame:
+    """now with part and cell: the members of a bucket, dealt over parts by a hash, once for each two parts that theirs belongs to, so that any two members meet in one cell (in one for each part that is both's)."""
+    sizes = now.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    own = now.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(77)), F.col("parts")).cast("int"))
+    other = own.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other_part") * F.col("parts") + F.greatest("part", "other_part")
+    return other.withColumn("cell", cell).withColumn("alone", F.col("part") == F.col("other_part")).drop("other_part", "parts")
 
 
 def mixed_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
@@ -255,7 +267,7 @@ def mixed_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(named.join(mixed, "bucket", "left_semi"), "mixed")
 
 
-def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, spread: bool = True) -> DataFrame:
     """rows with class_id, class_size, label and keeper (doc_id, text_key of the row that stands for the class)."""
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("low_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("signs").alias("signs")), "nodes")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -270,6 +282,7 @@ def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
     found = cut(found.dropDuplicates(["node"]), "texts")
     signs = nodes.select("node", "signs")
     labels, tested = None, None
+    least_equal, least_long = (LEAST_EQUAL, LEAST_LONG) if spread else (0, 0)
     for turn in range(ROUNDS + 2):
         last = turn == ROUNDS + 1
         if labels is None:
@@ -281,13 +294,16 @@ def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
             own = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "signs")).alias("first"))
             lead = own.groupBy("bucket").agg(F.max(F.struct("n", "label", "first")).alias("lead"))
             lead = lead.select("bucket", F.col("lead.first.node").alias("y"), F.col("lead.label").alias("other"), F.col("lead.first.signs").alias("y_signs"))
-            apart = (F.col("label") != F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL)
+            apart = (F.col("label") != F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= least_equal)
         else:
-            now = now.join(nodes.select("node", "bands"), "node").join(signed_long(found, now), "node")
-            lead = now.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"), F.col("bands").alias("y_bands"), F.col("more").alias("y_more"))
+            now = dealt_parts(now.join(nodes.select("node", "bands"), "node").join(signed_long(found, now), "node"))
+            lead = now.select("bucket", "cell", F.col("part").alias("y_part"), F.col("node").alias("y"), F.col("label").alias("other"), F.col("signs").alias("y_signs"), F.col("bands").alias("y_bands"), F.col("more").alias("y_more"))
             # Each pair comes out of one of its buckets only, the first that both share.
             once = F.array_min(F.array_intersect("bands", "y_bands")) == F.col("bucket")
-            apart = (F.col("label") < F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= LEAST_EQUAL) & once & (equal_long(F.col("more"), F.col("y_more")) >= LEAST_LONG)
+            apart = (F.col("label") < F.col("other")) & (equal_components(F.col("signs"), F.col("y_signs")) >= least_equal) & once & (equal_long(F.col("more"), F.col("y_more")) >= least_long)
+            # Members of one part meet in the cell of that part with itself, others in the cell of both parts.
+            apart = (F.col("x_cell") == F.col("cell")) & (F.col("alone") == (F.col("part") == F.col("y_part"))) & apart
+            now = now.withColumnRenamed("cell", "x_cell")
         near = now.withColumnRenamed("bucket", "x_bucket").join(lead, (F.col("x_bucket") == F.col("bucket")) & apart)
         pairs = near.select(F.col("node").alias("x"), "y").distinct()
         if tested is not None:
