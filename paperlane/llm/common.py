@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.plans.stored import shared_dir
+from paperlane.plans.stored import drop_folder, new_folder
 
-#: Folders that cut() has written, for release().
+#: Folders that cut() has written and nobody has deleted, of all runs in this process.
 WRITTEN: list[str] = []
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,18 +25,19 @@ def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: lineage ends here and survives lost executors. by: a column whose values get folders of their own."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/paperlane/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path, partitionBy=by)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what cut() has written, from the `since`-th folder on; for callers that have stored what they need of it."""
-    for folder in WRITTEN[since:]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del WRITTEN[since:]
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that cut() has written, and empties the list; for callers that have stored what they need of them. A run's own list is that of stored.run()."""
+    for folder in folders:
+        drop_folder(spark, folder)
+        if folder in WRITTEN:
+            WRITTEN.remove(folder)
+    folders.clear()
 
 
 def ascii_lower(text: Column) -> Column:
