@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from paperlane.llm.common import WRITTEN, cut, fold, release
+from paperlane.llm.common import cut, fold, release
 from paperlane.llm.queries import table, tokenizer_path
+from paperlane.plans import stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written and read again; what led to it is then deleted."""
-    docs, start = table(spark, sf_dir, "documents"), len(WRITTEN)
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        kept = WRITTEN.pop()
-        release(spark, start)
-        WRITTEN.append(kept)
+    """The last stage's rows. Each stage's result is written and read again; what led to it is then deleted: folders of this run alone, whatever else runs."""
+    docs = table(spark, sf_dir, "documents")
+    with stored.run(spark) as own:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept = own.pop()
+            release(spark, own)
+            own.append(kept)
+        own.clear()  # the last stage's rows outlast the run
     return docs
