@@ -51,8 +51,17 @@ def embed(rows: DataFrame, embedder: Embedder, text_col: str = "text", prompt: s
     return rows.withColumn("embedding", run(F.col(text_col)))
 
 
-def embedding_rows(chunks: DataFrame, embedder: Embedder, prompt: str = "", metadata: bool = True, dry_run: bool = False) -> DataFrame:
-    """chunk columns, text_sha1 (of the text with metadata, without the prompt) and embedding; no embedding in a dry run."""
+def embedding_rows(chunks: DataFrame, embedder: Embedder, prompt: str = "", metadata: bool = True, dry_run: bool = False, limit: int | None = None, required: bool = False) -> DataFrame:
+    """chunk columns, text_sha1 (of the text with metadata, without the prompt) and embedding; no embedding in a dry run.
+
+    limit: that many chunks, the first by paper and place. required: no chunks at all are refused.
+    """
+    if limit is not None:
+        if limit < 1:
+            raise ValueError("limit must be at least 1")
+        chunks = chunks.orderBy("paper_id", "chunk_index", "chunk_id").limit(limit)
+    if required and chunks.isEmpty():
+        raise ValueError("there are no chunks to embed")
     text = T.render_dense(F.col("title"), F.col("section_path"), F.col("living_review_categories"), F.col("text")) if metadata else F.col("text")
     rows = chunks.withColumn("__text", text).withColumn("text_sha1", F.sha1("__text"))
     return (rows if dry_run else embed(rows, embedder, "__text", prompt)).drop("__text")

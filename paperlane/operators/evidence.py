@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from paperlane.functions import text as T
 
+#: White space of any kind around a text.
+SURROUNDING = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 LEAST_BUDGET, UNRANKED = 500, 10_000
 
 
@@ -84,7 +86,7 @@ def pack_context(ranked: DataFrame, budget: int) -> DataFrame:
 
     packed = query.withColumn("packed", F.when(needed > budget, F.raise_error(F.lit("the abstracts alone exceed the budget"))).otherwise(F.aggregate(every, start, step)))
     taken = lambda p: F.transform(F.filter(p["passages"], lambda x: F.array_contains(F.col("packed.kept"), x["id"])), lambda x: x["block"])
-    text = F.transform("papers", lambda p: F.trim(F.array_join(F.concat(F.array(p["must"]), taken(p)), "\n"), F.lit("\n ")))
+    text = F.transform("papers", lambda p: F.regexp_replace(F.array_join(F.concat(F.array(p["must"]), taken(p)), "\n"), SURROUNDING, ""))
     return packed.select("query_id", F.array_join(text, "\n\n").alias("context"), F.col("packed.used").alias("used"), F.col("packed.kept").alias("kept"))
 
 

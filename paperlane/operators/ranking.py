@@ -15,15 +15,15 @@ from paperlane.operators.vector import top_by
 RRF_K = 60
 
 
-def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, k: int, rrf_k: int = RRF_K, id_col: str = "chunk_id") -> DataFrame:
-    """Reciprocal-rank fusion of two ranked pools (rank, score); the score of a pool without the id is null."""
+def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, k: int, rrf_k: int = RRF_K, id_col: str = "chunk_id", digits: int | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of two ranked pools (rank, score); the score of a pool without the id is null. With digits, sums equal to so many places are ties."""
     if k < 1 or rrf_k < 1:
         raise ValueError("candidate_k and rrf_k must be at least 1")
     v = vector_hits.select("query_id", id_col, "vector_score", F.col("rank").alias("vector_rank"))
     x = lexical_hits.select("query_id", id_col, "lexical_score", F.col("rank").alias("lexical_rank"))
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
     both = v.join(x, ["query_id", id_col], "full_outer").withColumn("rrf_score", part("vector_rank") + part("lexical_rank"))
-    return top_by(both, k, F.round("rrf_score", 12).desc(), id_col)
+    return top_by(both, k, (F.col("rrf_score") if digits is None else F.round("rrf_score", digits)).desc(), id_col)
 
 
 class Scorer(Protocol):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlane.functions import text as T
-from paperlane.operators import chunking, evidence, lexical, metrics, prompts, ranking, text_index, vector
+from paperlane.operators import chunking, evidence, graph, lexical, metrics, prompts, ranking, text_index, vector
 from paperlane.plans import catalogue, stored
 from paperlane.sources import bibtex, categories, files, tex
 
@@ -325,7 +325,7 @@ def hybrid_rrf(spark, sf):
     """Vectors with a benchmark item's number stand for its embedding."""
     q, index = vectors(spark, sf)
     own = q.join(benchmark_queries(spark, sf).select("query_id"), "query_id", "left_semi")
-    fused = ranking.fuse(vector.vector_search(own, index, POOL), lexical_hits(spark, sf), POOL)
+    fused = ranking.fuse(vector.vector_search(own, index, POOL), lexical_hits(spark, sf), POOL, digits=12)
     return fused.select("query_id", "chunk_id", r6("vector_score"), r6("lexical_score"), r6("rrf_score"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -534,6 +534,27 @@ def tex_papers_sql(spark, sf):
     return spark.sql("SELECT * EXCEPT (section_path), array_join(section_path, ' > ') AS section_path FROM parse_tex(TABLE({files}))", files=tex.with_main(document_sources(spark, sf)))
 
 
+def citing_papers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, keys): parts and suppliers as papers; a part's text cites the suppliers that deliver it, the texts of suppliers below 1,000 cite a part each, the others have none."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    cites = lambda keys: F.concat(F.lit("as in \\cite{"), F.array_join(F.array_sort(F.collect_set(keys)), ", "), F.lit("} and \\citep[p. 3]{nowhere}"))
+    parts = lines.groupBy(F.concat(F.lit("p"), "l_partkey").alias("paper_id")).agg(cites(F.concat(F.lit("key:s"), "l_suppkey")).alias("text"))
+    suppliers = table(spark, sf, "supplier").groupBy(F.concat(F.lit("s"), "s_suppkey").alias("paper_id")).agg(cites(F.concat(F.lit("key:p"), F.col("s_suppkey") % 97 + 1)).alias("text"))
+    texts = parts.unionByName(suppliers.where(F.length("paper_id") < 5))
+    every = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("paper_id")).unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("paper_id")))
+    return texts, every.withColumn("bib_key", F.concat(F.lit("key:"), "paper_id"))
+
+
+@query()
+def citation_rank(spark, sf):
+    """Ranks and counts in the citation graph of citing_papers; a test holds them against a plain loop."""
+    texts, keys = citing_papers(spark, sf)
+    with stored.run(spark) as own:
+        edges = stored.stored(graph.citations(texts, keys), "citations")
+        ranks = graph.citation_ranks(keys, edges)
+        return stored.result(graph.citation_counts(keys, edges).join(ranks, "paper_id").select("paper_id", "cites", "cited", F.round("rank", 8).alias("rank")), own)
+
+
 def reranker(max_length: int = 512) -> prompts.Prompting:
     import public_tokenizers
 

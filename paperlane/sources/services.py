@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from paperlane.plans.config import ServiceConfig
-from paperlane.sources.files import kind_of, members
+from paperlane.sources.bibtex import read_bibliography
+from paperlane.sources.categories import read_categories
+from paperlane.sources.files import kind_of, members, read_text
 
 
 class ServiceError(RuntimeError):
@@ -102,6 +104,30 @@ def fetch(url: str, agent: str = "paperlane", timeout: float = 60.0) -> bytes:
         return answer.read()
 
 
+def text_from(spark: SparkSession, path: str | None = None, url: str | None = None, agent: str = "paperlane", timeout: float = 60.0) -> DataFrame:
+    """value: one text, of the file if there is one, else from the address; the address is asked by a task, whenever the frame is read."""
+    if path is not None:
+        return read_text(spark, path)
+    if not url:
+        raise ValueError("neither a file nor an address is given")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"value": [fetch(u, agent, timeout).decode("utf-8") for u in batch["url"]]})
+
+    return spark.createDataFrame([(url,)], "url string").mapInPandas(run, "value string")
+
+
+def load_bibliography(spark: SparkSession, path: str | None = None, url: str | None = None, agent: str = "paperlane") -> DataFrame:
+    """The entries of a bibliography, from a file or, without one, from an address."""
+    return read_bibliography(text_from(spark, path, url, agent)).drop("value")
+
+
+def load_categories(spark: SparkSession, path: str | None = None, url: str | None = None, agent: str = "paperlane") -> DataFrame:
+    """The rows of a category file, from a file or, without one, from an address."""
+    return read_categories(text_from(spark, path, url, agent)).drop("value")
+
+
 STATUSES = "paper_id string, source_url string, status string, content binary, error string"
 
 
