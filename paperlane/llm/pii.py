@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from paperlane.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: A document is swept until no message changes by more than TOLERANCE; loops may keep it from that, so SWEEPS sweeps a token are the end.
-ADDED, SWEEPS, SMOOTH, TOLERANCE = 0.9, 8, 0.5, 1e-9
+#: A document is swept until no message changes by more than TOLERANCE; loops may keep it from that, so LEAST_SWEEPS sweeps and SWEEPS more a token are the end. (A change is halved by a sweep: TOLERANCE takes 30 of them.)
+ADDED, LEAST_SWEEPS, SWEEPS, SMOOTH, TOLERANCE = 0.9, 64, 8, 0.5, 1e-9
 #: Tokens of a hundred that are learnt from without their shape; steps and rate of the ascent, and the prior's weight (in tokens).
 HIDDEN, STEPS, RATE, PRIOR = 20, 400, 0.05, 1.0
 
@@ -158,8 +158,9 @@ class Field:
         joint = pairs / pairs.sum(axis=(1, 2), keepdims=True)
         self.pairs = np.log(joint / (joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)))
 
-    def beliefs(self, docs: list[Tokens]) -> np.ndarray:
-        """Label probabilities of all nodes of the documents, by sum-product over all links at once."""
+    def beliefs(self, docs: list[Tokens], settled: list[bool] | None = None) -> np.ndarray:
+        """Label probabilities of all nodes of the documents, by sum-product over all links at once. settled: gets, for each document, whether its messages settled."""
+        unrest = np.zeros(len(docs), bool)
         shift = np.cumsum([0, *(len(t.at) for t in docs)])
         local = np.array([self.shapes.get(repr(s), self.unseen) for t in docs for s in t.shape]).reshape(-1, len(KINDS) + 1)
         label = np.concatenate([t.label for t in docs])
@@ -173,7 +174,7 @@ class Field:
             reverse = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
             sent = np.zeros((len(source), local.shape[1]))
             owner = np.repeat(np.arange(len(docs)), [len(t.links) for t in docs])
-            owner, bound = np.concatenate([owner, owner]), SWEEPS * np.array([len(t.at) for t in docs])
+            owner, bound = np.concatenate([owner, owner]), LEAST_SWEEPS + SWEEPS * np.array([len(t.at) for t in docs])
             live, sweeps = np.arange(len(source)), 0
             while len(live):
                 total = local.copy()
@@ -185,9 +186,12 @@ class Field:
                 change = np.zeros(len(docs))
                 np.maximum.at(change, owner[live], np.abs(new - sent[live]).max(axis=1))
                 sent[live], sweeps = new, sweeps + 1
-                live = live[(change > TOLERANCE)[owner[live]] & (sweeps < bound)[owner[live]]]
+                unrest[owner[live]] = (change > TOLERANCE)[owner[live]]
+                live = live[unrest[owner[live]] & (sweeps < bound)[owner[live]]]
             local = local.copy()
             np.add.at(local, target, sent)
+        if settled is not None:
+            settled.extend((~unrest).tolist())
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -282,13 +286,17 @@ def recovery(texts: list[str], field: Field, share: int = 30) -> tuple[int, int,
     return hidden, linked, found, right
 
 
-def spans_of(texts: list[str], field: Field) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
-    """For each text, its base spans by kind and all spans by kind."""
+def spans_of(texts: list[str], field: Field, settled: list[bool] | None = None) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
+    """For each text, its base spans by kind and all spans by kind. settled: gets, for each text, whether its messages settled."""
     found = [base(t) for t in texts]
     marked = [(n, Tokens(t, found[n])) for n, t in enumerate(texts) if ANY.search(t)]
     every = [[list(s) for s in f] for f in found]
     if marked:
-        p, at = field.beliefs([t for _, t in marked]), 0
+        rest: list[bool] = []
+        p, at = field.beliefs([t for _, t in marked], rest), 0
+        if settled is not None:
+            quiet = dict(zip((n for n, _ in marked), rest))
+            settled.extend(quiet.get(n, True) for n in range(len(texts)))
         for n, t in marked:
             own = p[at : at + len(t.at)]
             at += len(t.at)
@@ -298,6 +306,8 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[list[tuple[int,
                 start, end = start + len(token) - len(token.lstrip(EDGE)), end - (len(token) - len(token.rstrip(EDGE)))
                 if start < end:
                     every[n][int(own[i, 1:].argmax())].append((start, end))
+    elif settled is not None:
+        settled.extend([True] * len(texts))
     return [(f, [sorted(set(s)) for s in e]) for f, e in zip(found, every)]
 
 
@@ -306,7 +316,7 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 
 
 def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans: arrays of (kind, start, end), in code points, end exclusive."""
+    """doc_id, base and spans: arrays of (kind, start, end), in code points, end exclusive; settled: false where the messages did not settle within LEAST_SWEEPS sweeps and SWEEPS more a token, so that beliefs are those of the last sweep."""
     small_batches(docs.sparkSession)
     field = field or train(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -315,16 +325,17 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.iloc[k : k + 512]
-                got = spans_of(part.text.tolist(), field)
+                settled: list[bool] = []
+                got = spans_of(part.text.tolist(), field, settled)
                 flat = lambda by: [{"kind": kind, "start": s, "end": e} for kind, own in zip(KINDS, by) for s, e in own]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64").to_numpy(), "base": [flat(b) for b, _ in got], "spans": [flat(e) for _, e in got]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64").to_numpy(), "base": [flat(b) for b, _ in got], "spans": [flat(e) for _, e in got], "settled": settled}).astype({"doc_id": "Int64"})
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return rows.mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    return rows.mapInPandas(run, f"doc_id long, base {span}, spans {span}, settled boolean")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, the hash of the base spans, and all spans as text."""
+    """Counts of base spans by kind, the hash of the base spans, all spans as text, and whether the document settled."""
     def text(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -332,7 +343,7 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), "settled")
 
 
 def base_digest(text: str | None) -> str:

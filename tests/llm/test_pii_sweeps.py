@@ -16,3 +16,18 @@ def test_a_label_travels_over_fifty_recurrences():
         alpha.append(a / a.sum())
     p = field.beliefs([t])
     assert np.abs(p[-1] - alpha[-1]).max() < 1e-5
+
+
+def test_documents_that_do_not_settle_are_told(spark, monkeypatch):
+    field = pii.Field([("x", 0, 0, 5)] + [("pair1", a, b, 2000 if a == b else 1) for a in range(5) for b in range(5)])
+    texts = [" x ".join(["7654321"] * 50), "nothing here", "one 5", "", "mail a@b.cd and a@b.cd"]
+    settled = []
+    pii.spans_of(texts, field, settled)
+    assert settled == [True] * 5
+    monkeypatch.setattr(pii, "SWEEPS", 0)
+    monkeypatch.setattr(pii, "LEAST_SWEEPS", 2)
+    settled = []
+    pii.spans_of(texts, field, settled)
+    assert settled[0] is False and settled[1:4] == [True] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.settled for r in pii.digest(pii.find(docs)).orderBy("doc_id").collect()][1:4] == [True] * 3
