@@ -88,8 +88,7 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

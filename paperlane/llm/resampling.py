@@ -92,13 +92,13 @@ def noise(doc_id: str) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def scored(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_features, weight and score, all long."""
+def scored(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns named in `keep`) with n_words, n_features, weight and score, all long."""
     small_batches(docs.sparkSession)
-    names = ("n_words", "n_features", "weight", "score")
-    if clash := set(names) & set(docs.columns):
+    names, kept = ("n_words", "n_features", "weight", "score"), docs if keep is None else docs.select(*keep)
+    if clash := set(names) & set(kept.columns):
         raise ValueError(f"there are columns {sorted(clash)} already")
-    width, outs = len(docs.columns), [*docs.columns, *names]
+    width, outs = len(kept.columns), [*kept.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +112,8 @@ def scored(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col:
                     out.append((words, len(found), weight, weight + noise(ids[n])))
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(low, high - low) for k in range(width)] + [pa.array(x, pa.int64()) for x in zip(*out)], outs)
 
-    given = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"))
-    schema = docs.schema
+    given = docs.select(*(docs[c] for c in kept.columns), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"))
+    schema = kept.schema
     for name in names:
         schema = schema.add(name, "long")
     return given.mapInArrow(run, schema)
@@ -242,15 +242,18 @@ def best(rows: DataFrame, k: int, total: int, block: int | None = None) -> DataF
     return dealt.groupBy("range").applyInArrow(merge, "row long, rank long")
 
 
-def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
-    """docs with n_words, n_features, weight, score and rank (null where not drawn): percent of those with least_words words or more are drawn."""
+def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_words, n_features, weight, score and rank (null where not drawn): percent of those with least_words words or more are drawn.
+
+    keep: the columns that are wanted besides (the id among them; None: all); without the texts, no text is written again.
+    """
     if "rank" in docs.columns:
         raise ValueError("there is a column rank already")
     gain = gains(bucket_counts(docs, text_col), bucket_counts(target, target_text))
     row = "__row"
     while row in docs.columns:
         row = f"_{row}"
-    found = cut(scored(docs, gain, id_col, text_col).withColumn(row, F.monotonically_increasing_id()), "scored")
+    found = cut(scored(docs, gain, id_col, text_col, keep).withColumn(row, F.monotonically_increasing_id()), "scored")
     eligible = found.where(F.col("n_words") >= least_words).select(F.col(row).alias("row"), "score", F.col(id_col).alias("id"))
     n = eligible.count()
     drawn = cut(best(eligible, percent * n // 100, n), "drawn")

@@ -56,6 +56,13 @@ def test_against_loops(spark):
     assert [(-s, i is not None, i or 0) for _, s, i in ranked] == drawn and {r["__row"] for r in got} == {"r"}
 
 
+def test_only_what_is_wanted_is_kept(spark):
+    docs = spark.createDataFrame([(1, "w " * 20, 7, 8), (2, "few", 7, 8)], "doc_id long, text string, score long, x long")
+    got = resampling.resample(docs, docs.select("text"), keep=["x", "doc_id"], percent=100)
+    assert got.columns == ["x", "doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    assert sorted((r.doc_id, r.x, r["rank"]) for r in got.collect()) == [(1, 8, 1), (2, 8, None)]
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert resampling.resample(none, none).collect() == []
