@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -48,31 +49,32 @@ def group_of(word: bytes) -> int:
     return crc32(word[:2] + b"|" + word[-2:]) % GROUPS
 
 
+class Numbers(dict):
+    """Letters of head words; any other word's is its group."""
+
+    def __missing__(self, word: bytes) -> int:
+        return crc32(word[:2] + b"|" + word[-2:]) % GROUPS
+
+
 class Alphabet:
     """Letters 0..GROUPS-1 are groups, GROUPS the end, then the head words."""
 
     def __init__(self, head: list[bytes]):
-        self.number = {w: GROUPS + 1 + i for i, w in enumerate(head)}
+        self.number = Numbers((w, GROUPS + 1 + i) for i, w in enumerate(head))
         self.size = GROUPS + 1 + len(head)
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """The letters of a text with its end, and its words outside the head."""
-        get = self.number.get
-        out = [get(w) for w in words]
-        rest = [w for w, n in zip(words, out) if n is None]
-        if rest:
-            groups = {w: group_of(w) for w in set(rest)}
-            out = [groups[w] if n is None else n for w, n in zip(words, out)]
-        out.append(GROUPS)
-        return np.array(out, np.int32), rest
+        letters = np.fromiter(chain(map(self.number.__getitem__, words), (GROUPS,)), np.int32, len(words) + 1)
+        return letters, [words[n] for n in np.flatnonzero(letters < GROUPS).tolist()]
 
 
 class Parameters:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        """start: K; move: K x K; emit: letters x K, float64."""
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind: type = np.float64):
+        """start: K; move: K x K; emit: letters x K, float64. kind: of the numbers that recursions work with."""
         self.start, self.move, self.emit = start, move, emit
         #: States first, so that array operations run along the sequences.
-        self.by_state, self.into = np.ascontiguousarray(emit.T), np.ascontiguousarray(move.T)
+        self.by_state, self.into, self.first, self.onward = (np.ascontiguousarray(x, kind) for x in (emit.T, move.T, start, move))
 
 
 def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,12 +98,12 @@ def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np
 def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward probabilities and emissions (states x letters), and scales, of a batch."""
     emitted = p.by_state.take(x, axis=1)
-    alpha, scales = np.empty_like(emitted), np.empty(len(x))
+    alpha, scales = np.empty_like(emitted), np.empty(len(x), emitted.dtype)
     # One sequence after the next: what the loop calls works on every sequence that goes on.
     at = begins.tolist()
     for t in range(len(active)):
         a, b = at[t], at[t + 1]
-        now = p.into @ alpha[:, at[t - 1] : at[t - 1] + b - a] if t else np.repeat(p.start[:, None], b, axis=1)
+        now = p.into @ alpha[:, at[t - 1] : at[t - 1] + b - a] if t else np.repeat(p.first[:, None], b, axis=1)
         now *= emitted[:, a:b]
         scale = now.sum(axis=0)
         np.divide(now, scale, out=alpha[:, a:b])
@@ -110,10 +112,15 @@ def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarra
 
 
 def log10_likelihood(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
-    """Scaled forward recursion over every letter."""
+    """Scaled forward recursion over every letter; of the probabilities only those of one time are held."""
     out = np.zeros(len(seqs))
     for own, x, active, begins in _batches(seqs):
-        scales = _forward(p, x, active, begins)[2]
+        scales, at, alpha = np.empty(len(x)), begins.tolist(), None
+        for t in range(len(active)):
+            a, b = at[t], at[t + 1]
+            now = p.into @ alpha[:, : b - a] if t else p.first[:, None]
+            alpha = now * p.by_state.take(x[a:b], axis=1)
+            alpha /= alpha.sum(axis=0, out=scales[a:b])
         of = np.arange(len(x)) - np.repeat(begins[:-1], active)
         out[own] = np.bincount(of, np.log10(scales), len(own))
     return out
@@ -131,17 +138,18 @@ class Expected:
         for own, x, active, begins in _batches(seqs):
             alpha, emitted, scales = _forward(p, x, active, begins)
             emitted /= scales
+            # Sums of float32 products hold for a batch of CELLS letters at most, and are added up in 64 bits.
             beta, at = np.ones_like(alpha), begins.tolist()
             for t in range(len(active) - 1, 0, -1):
                 a, b = at[t], at[t + 1]
                 emitted[:, a:b] *= beta[:, a:b]
-                np.matmul(p.move, emitted[:, a:b], out=beta[:, at[t - 1] : at[t - 1] + b - a])
+                np.matmul(p.onward, emitted[:, a:b], out=beta[:, at[t - 1] : at[t - 1] + b - a])
             # Each letter but a sequence's first, with the letter before it.
             later = np.arange(begins[1], len(x))
             self.move += (alpha.take(later - np.repeat(active[:-1], active[1:]), axis=1) @ emitted[:, begins[1] :].T) * p.move
             alpha *= beta
-            self.logs += float(np.log(scales).sum())
-            self.start += alpha[:, : len(own)].sum(axis=1)
+            self.logs += float(np.log(scales, dtype=np.float64).sum())
+            self.start += alpha[:, : len(own)].sum(axis=1, dtype=np.float64)
             for s in range(states):
                 self.emit[:, s] += np.bincount(x, alpha[s], letters)
 
@@ -286,7 +294,7 @@ def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
     states, held = len(p.start), spelt.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, p = Expected(letters, states), Parameters(*held.value)
+        e, p = Expected(letters, states), Parameters(*held.value, kind=np.float32)
         for batch in _gathered(batches):
             e.add(p, [np.frombuffer(x, np.int32) for x in batch.letters])
         if e.start.any():
