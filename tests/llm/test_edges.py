@@ -158,3 +158,11 @@ def test_pipeline_edges(spark, tmp_path):
         kept = {r.doc_id for r in got}
         assert {i for i, _ in rows[1:60]} <= kept and (0 in kept or None in kept) and not {0, None} <= kept - {i for i, t in rows if not t}
         assert sum(r.doc_id == 5 for r in got) == 1 and zlib.crc32(b"") == 0
+
+
+def test_pipeline_refuses_names_of_its_own(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a", "b", "c", 0, 1)], "doc_id long, text string, lang string, source string, n_chars long, __kept int").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(ValueError, match="__kept"):
+        corpus_pipeline.run(spark, str(tmp_path))
