@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality, line dedup, near dedup, decontamination, packing; each stage reads what its predecessor wrote."""
+"""The corpus pipeline: quality, line dedup, near dedup, decontamination, packing; each stage reads what its predecessor wrote.
+
+Columns of documents whose names begin with two underscores are refused: the operators use such names on the way.
+"""
 
 from __future__ import annotations
 
@@ -47,6 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's result is written and read again; what led to it is then deleted: folders of this run alone, whatever else runs."""
     docs = table(spark, sf_dir, "documents")
+    if own_names := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"columns {own_names} bear names that the stages use themselves")
     with stored.run(spark) as own:
         for name, stage in STAGES:
             docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
