@@ -49,9 +49,8 @@ def test_classes_equal_brute_force(spark):
     assert sorted((r.doc_id, r.class_id) for r in got.collect()) == brute(rows)
 
 
-def test_without_filters_and_in_small_parts(spark, monkeypatch):
-    """All that meet in a bucket are verified, the last round in parts of a few members: the same classes."""
-    monkeypatch.setattr(N, "PART", 3)
+def test_without_filters(spark, monkeypatch):
+    """All that meet in a bucket are verified, in the last round alone: the same classes."""
     monkeypatch.setattr(N, "ROUNDS", 0)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -59,19 +58,6 @@ def test_without_filters_and_in_small_parts(spark, monkeypatch):
     assert found == [brute(rows), brute(rows)]
 
 
-def test_any_two_members_meet_in_one_cell(spark, monkeypatch):
-    monkeypatch.setattr(N, "PART", 4)
-    members = spark.createDataFrame([(f"n{i}".encode(), "hot" if i < 30 else f"b{i % 3}") for i in range(40)], "node binary, bucket string")
-    cells = {}
-    for r in N.dealt_parts(members).collect():
-        cells.setdefault((r.bucket, r.cell), []).append((bytes(r.node), r.part, r.alone))
-    met = Counter()
-    for (bucket, _), own in cells.items():
-        for x, a, alone in own:
-            met.update((bucket, x, y) for y, b, _ in own if x < y and alone == (a == b))
-    assert set(met.values()) == {1} and sum(b == "hot" for b, _, _ in met) == 30 * 29 / 2 and max(map(len, cells.values())) < 30
-
-
 def test_one_row_of_each_class_stays(spark):
     rows = corpus()
     got = N.deduplicate(spark.createDataFrame(rows, SCHEMA))
