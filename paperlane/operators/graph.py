@@ -44,6 +44,8 @@ def citation_ranks(papers: DataFrame, edges: DataFrame, damping: float = DAMPING
     degrees = stored(nodes.join(own.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out")), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out")), "degrees")
     n, m = degrees.agg(F.count("*"), F.coalesce(F.sum("out"), F.lit(0))).first()
     ranks = stored(degrees.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank")), "ranks")
+    lost = F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))
+    loose = ranks.agg(lost).first()[0]
     while n:
         shares = ranks.where("out > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"), (F.col("out") * HOT > m).alias("hot"))
         hot = F.broadcast(shares.where("hot").select("src", F.col("share").alias("hot_share")))
@@ -53,10 +55,9 @@ def citation_ranks(papers: DataFrame, edges: DataFrame, damping: float = DAMPING
         cold = shares.where(~F.col("hot")).select(F.col("src").cast("string").alias("key"), F.col("share").alias("cold_share"))
         flows = flows.withColumn("key", key).join(cold, "key", "left").select(F.col("dst").alias("node"), F.coalesce("hot_share", "cold_share").alias("share"))
         inflow = flows.groupBy("node").agg(F.sum("share").alias("inflow"))
-        loose = ranks.where("out = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         new = F.lit((1 - damping + damping * loose) / n) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))
         after = stored(ranks.join(inflow, "node", "left").select("node", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")), "ranks")
-        moved = after.agg(F.sum("moved")).first()[0]
+        moved, loose = after.agg(F.sum("moved"), lost).first()
         drop(ranks)
         ranks = after
         if moved < tolerance:

@@ -40,8 +40,9 @@ def stemmed(words: Column) -> Column:
 
 
 def vocabulary(found: DataFrame) -> DataFrame:
-    """term, stem of the distinct tokens that are no stop words."""
-    return found.select("term").distinct().where(~F.col("term").isin(stop_words())).withColumn("stem", stemmed(F.col("term")))
+    """term, stem of the distinct tokens that are no stop words. They are few bytes and much work, so they are dealt over all cores."""
+    words = found.select("term").distinct().where(~F.col("term").isin(stop_words()))
+    return words.repartition(found.sparkSession.sparkContext.defaultParallelism, "term").withColumn("stem", stemmed(F.col("term")))
 
 
 def check_analyser(analyser: str) -> str:
@@ -176,6 +177,8 @@ def _sweep(places: list[int], terms: list[str], n: int) -> Iterator[int]:
 def rank_covers(hits: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     """query_id, id, covers, lexical_score; hits: query_id, id, p, term where the terms stand in the documents that match."""
     wanted = terms.groupBy("query_id").agg(F.count_distinct("term").alias("n"))
+    # Few bytes and much work again: one exchange, over all cores.
+    hits = hits.repartition(hits.sparkSession.sparkContext.defaultParallelism, "query_id", id_col)
     at = hits.groupBy("query_id", id_col).agg(F.array_sort(F.collect_set(F.struct("p", "term"))).alias("at")).join(wanted, "query_id")
     found = at.select("query_id", id_col, cover_noise(F.col("at.p"), F.col("at.term"), F.col("n")).alias("noise")).where(F.size("noise") > 0)
     # Summed in a fixed order, so that equal texts get equal scores.

@@ -65,20 +65,22 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english", buckets: int = BUCKETS, block_docs: int = BLOCK_DOCS) -> TextIndex:
-    """Writes the index of docs under path (which must not exist) and opens it. Documents without an id are not found by searches; rows of one id are one document, the later words after the earlier."""
+    """Writes the index of docs under path (which must not exist) and opens it. Documents without an id are not found by searches; an id that repeats is refused."""
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(lexical.TOKEN), F.lit(0))
     rows = docs.where(F.col(id_col).isNotNull()).select(id_col, words.alias("words"))
-    once = rows.groupBy(id_col).agg(F.flatten(F.array_sort(F.collect_list("words"))).alias("words"))
-    lengths = once.select(id_col, F.size("words").cast("long").alias("length"))
+    lengths = rows.select(id_col, F.size("words").cast("long").alias("length"))
     lengths.write.parquet(f"{path}/lengths")
     lengths = spark.read.schema(lengths.schema).parquet(f"{path}/lengths")
     n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if not lengths.groupBy(id_col).count().where("count > 1").isEmpty():
+        drop_folder(spark, path)
+        raise ValueError(f"{id_col} repeats")
     n_blocks = max(1, n // block_docs)
     block = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(n_blocks)).cast("int")
     lengths.withColumn("block", block).write.parquet(f"{path}/documents")
     drop_folder(spark, f"{path}/lengths")
-    found = once.select(id_col, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("p", "term"))
+    found = rows.select(id_col, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("p", "term"))
     found = lexical.analyse(found.withColumn("p", F.col("p") + 1), analyser)
     # Grouped by term and document, so a term of all documents is no single group.
     held = found.groupBy("term", id_col).agg(F.array_sort(F.collect_list("p")).alias("positions"), F.any_value("length").alias("length"))

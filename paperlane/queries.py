@@ -551,7 +551,7 @@ def citation_rank(spark, sf):
     texts, keys = citing_papers(spark, sf)
     with stored.run(spark) as own:
         edges = stored.stored(graph.citations(texts, keys), "citations")
-        ranks = graph.citation_ranks(keys, edges)
+        ranks = graph.citation_ranks(keys, edges, tolerance=1e-7)
         return stored.result(graph.citation_counts(keys, edges).join(ranks, "paper_id").select("paper_id", "cites", "cited", F.round("rank", 8).alias("rank")), own)
 
 

@@ -110,6 +110,8 @@ def test_no_rows(spark, tmp_path):
     for search in (text_index.bm25_search, text_index.cover_topk):
         with pytest.raises(ValueError):
             search(web, index, 0)
+    with pytest.raises(ValueError, match="chunk_id repeats"):
+        text_index.build_index(spark.createDataFrame([("a", "x"), ("a", "y")], "chunk_id string, search_document string"), f"{tmp_path}/twice")
     index.drop()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         text_index.open_index(spark, index.path)
