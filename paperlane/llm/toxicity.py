@@ -25,7 +25,7 @@ from paperlane.llm.common import cut, drawn, hash_order, small_batches
 
 #: Labelled ids of the sample at most, drawn by a hash of the id; slots of the features that are no identity terms.
 SAMPLE, SLOTS, STEPS, RATE, DECAY, COUNTERFACTUAL = 20_000, 1 << 18, 400, 0.05, 1e-5, 1.0
-THRESHOLD = 0.7
+THRESHOLD, CHUNK = 0.7, 1024
 #: Terms that name groups, by kind; a term is swapped for all others of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
@@ -110,13 +110,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], steps: int
     w = np.zeros(len(names) + slots)
     if not 0 < labels.sum() < len(labels):
         return Model(names, w, bias, slots=slots)
-    of, at = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    # Some CHUNK rows at a time, so that a step's working memory is bounded beside the rows themselves.
+    chunks = [(slice(low, low + CHUNK), np.concatenate([*rows[low : low + CHUNK], np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows[low : low + CHUNK]), dtype=np.int32), [len(r) for r in rows[low : low + CHUNK]])) for low in range(0, len(rows), CHUNK)]
     lost, gained = swaps(rows, names)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        f = np.bincount(at, w[of], len(rows)) + bias
-        slope = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - labels) / len(rows)
-        g = np.append(np.bincount(of, slope[at], len(w)) + decay * w, slope.sum())
+        g = np.append(decay * w, 0.0)
+        for own, of, at in chunks:
+            y = labels[own]
+            slope = (1 / (1 + np.exp(-np.clip(np.bincount(at, w[of], len(y)) + bias, -30, 30))) - y) / len(rows)
+            g[:-1] += np.bincount(of, slope[at], len(w))
+            g[-1] += slope.sum()
         if len(lost):
             g[:-1] += penalty(w, lost, gained)[1] * counterfactual
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -142,8 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, slots: int =
         for batch in batches:
             yield pd.DataFrame({"place": batch.place, "label": batch.label, "x": [of(t) for t in batch.text]})
 
-    got = rows.mapInPandas(featurize, "place long, label int, x array<int>").toPandas().sort_values("place", kind="stable")
-    return fit([np.asarray(x, np.int32) for x in got.x], got.label.to_numpy(float), names, counterfactual=counterfactual, slots=slots)
+    found = rows.mapInPandas(featurize, "place long, label int, x array<int>").orderBy("place").toArrow()
+    x, labels = found.column("x").combine_chunks(), found.column("label").to_numpy().astype(float)
+    numbers, ends = x.values.to_numpy(), x.offsets.to_numpy()
+    return fit([numbers[a:b] for a, b in zip(ends[:-1], ends[1:])], labels, names, counterfactual=counterfactual, slots=slots)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
