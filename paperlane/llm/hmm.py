@@ -27,10 +27,10 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlane.llm.common import cut, fold
+from paperlane.llm.common import cut, fold, small_batches
 
 STATES, HEAD, GROUPS, TOLERANCE, PARTS = 8, 32_768, 1024, 1e-4, 4
 #: Letters of a batch of sequences (some 250 bytes each); documents a worker gathers to make such batches; words it counts before it sends them on.
@@ -211,12 +211,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Model:
     """Alphabet, parameters, counts of head words and of groups (bounded), the table of all counts (distributed), and what each pass gained in free energy."""
 
-    def __init__(self, alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v, gains=()):
-        self.alphabet, self.parameters, self.head_counts, self.group_tokens, self.group_words, self.counts, self.n, self.v, self.gains = alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v, gains
+    def __init__(self, alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v, gains=(), share=None):
+        self.alphabet, self.parameters, self.head_counts, self.group_tokens, self.group_words, self.counts, self.n, self.v = alphabet, parameters, head_counts, group_tokens, group_words, counts, n, v
+        self.gains, self.share = gains, share
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The model of all rows of docs."""
+    rows = rows_of(docs, id_col, text_col).withColumn("taught", F.lit(True))
+    counted = count(rows, states, head)
+    return learn(counted, spelling(rows, counted.alphabet), tolerance)
+
+
+def train_and_score(docs: DataFrame, taught: Column, states: int = STATES, head: int = HEAD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() of all rows of docs by train() on those that are taught. Texts are spelt once for both."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), taught.alias("taught"))
+    counted = count(rows.where("taught"), states, head)
+    spelt = spelling(rows, counted.alphabet)
+    return score_spelt(spelt, learn(counted, spelt, tolerance))
+
+
+def count(rows: DataFrame, states: int, head: int) -> Model:
+    """Everything but the parameters, which are a first guess."""
     counts = cut(word_counts(rows), "word-counts")
     texts = rows.count()
     words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -239,10 +259,15 @@ def train(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: fl
     head_counts = np.array([r["n"] for r in top], np.int64)
     letters = np.concatenate([group_n, [texts], head_counts]) + 1.0
     share = letters / letters.sum()
-    p, gains = _first_guess(share, states), []
-    if texts:
-        p, gains = fit(spelling(rows, alphabet), share, p, tolerance * (int(total) + texts))
-    return Model(alphabet, p, head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts), gains)
+    return Model(alphabet, _first_guess(share, states), head_counts, group_n, group_v, counts, int(total) + texts, int(words) + bool(texts), (), share)
+
+
+def learn(model: Model, spelt: DataFrame, tolerance: float) -> Model:
+    """The model with parameters fitted to the taught rows of spelt."""
+    if model.n:
+        parts = [spelt.where(F.col("part") == n).select("letters") for n in range(PARTS)]
+        model.parameters, model.gains = fit(parts, model.share, model.parameters, tolerance * model.n)
+    return model
 
 
 def head_words(counts: DataFrame, head: int) -> list:
@@ -256,16 +281,25 @@ def head_words(counts: DataFrame, head: int) -> list:
     return counts.where(F.col("n") >= low).repartitionByRange(*order).sortWithinPartitions(*order).limit(head).collect()
 
 
-def spelling(rows: DataFrame, alphabet: Alphabet) -> list[DataFrame]:
-    """letters: those of each row's text with its end, as bytes of 32-bit integers; one table for each of PARTS parts, dealt by a hash of the letters."""
+def spelling(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """rows (doc_id, text, taught) spelt, as a table: key (of the row), doc_id, letters (those of the text with its end, as bytes of 32-bit integers), words outside the head and
+    their times; and part, which lies in folders: for taught rows one of PARTS, by a hash of the letters, -1 for the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = TaskContext.get().partitionId() << 40
         for batch in _gathered(batches):
-            yield pd.DataFrame({"letters": [alphabet.spell(tokens(t))[0].tobytes() for t in batch.text]})
+            spelt = [alphabet.spell(tokens(t)) for t in batch.text]
+            rest = [Counter(r) for _, r in spelt]
+            yield pd.DataFrame({
+                "key": np.arange(key, key + len(batch)), "doc_id": batch.doc_id.to_numpy(), "taught": batch.taught.to_numpy(bool), "letters": [s.tobytes() for s, _ in spelt],
+                "words": [list(r) for r in rest], "times": [list(r.values()) for r in rest],
+            }).astype({"doc_id": "Int64"})
+            key += len(batch)
 
-    spelt = rows.select("text").mapInPandas(run, "letters binary").withColumn("part", F.pmod(F.xxhash64("letters"), F.lit(PARTS)).cast("int"))
-    spelt = cut(spelt, "letters", by="part")
-    return [spelt.where(F.col("part") == n).select("letters") for n in range(PARTS)]
+    small_batches(rows.sparkSession)
+    spelt = rows.select("doc_id", "text", "taught").mapInPandas(run, "key long, doc_id long, taught boolean, letters binary, words array<binary>, times array<long>")
+    part = F.when(F.col("taught"), F.pmod(F.xxhash64("letters"), F.lit(PARTS)).cast("int")).otherwise(F.lit(-1))
+    return cut(spelt.withColumn("part", part).drop("taught"), "letters", by="part")
 
 
 def fit(parts: list[DataFrame], share: np.ndarray, p: Parameters, least: float) -> tuple[Parameters, list[float]]:
@@ -322,28 +356,28 @@ def baum_welch(spelt: DataFrame, letters: int, p: Parameters) -> Expected:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    alphabet, p, n, v = model.alphabet, model.parameters, model.n, model.v
+    return score_spelt(spelling(rows_of(docs, id_col, text_col).withColumn("taught", F.lit(False)), model.alphabet), model)
+
+
+def score_spelt(spelt: DataFrame, model: Model) -> DataFrame:
+    """score() of the rows of spelling()."""
+    p, n, v = model.parameters, model.n, model.v
     log_base = np.log10((np.concatenate([np.zeros(GROUPS), [model.n - int(model.head_counts.sum() + model.group_tokens.sum())], model.head_counts]) + 1) / (n + v + 1))
     log_base[:GROUPS] = 0
     known_end = int(model.n > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = TaskContext.get().partitionId() << 40
         for batch in _gathered(batches):
-            spelt = [alphabet.spell(tokens(t)) for t in batch.text]
-            seqs = [s for s, _ in spelt]
-            rest = [Counter(r) for _, r in spelt]
+            seqs = [np.frombuffer(x, np.int32) for x in batch.letters]
             yield pd.DataFrame({
-                "doc_id": batch.id.to_numpy(), "key": np.arange(key, key + len(batch)), "n_tokens": [len(s) for s in seqs], "head_known": [len(s) - len(r) - 1 + known_end for s, r in spelt],
-                "head_base": [log_base[s].sum() for s in seqs], "head_score": log10_likelihood(p, seqs), "words": [list(r) for r in rest], "times": [list(r.values()) for r in rest],
+                "doc_id": batch.doc_id.to_numpy(), "key": batch.key.to_numpy(), "n_tokens": [len(s) for s in seqs], "head_known": [int((s > GROUPS).sum()) + known_end for s in seqs],
+                "head_base": [log_base[s].sum() for s in seqs], "head_score": log10_likelihood(p, seqs),
             }).astype({"doc_id": "Int64"})
-            key += len(batch)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    heads = cut(rows.mapInPandas(run, "doc_id long, key long, n_tokens long, head_known long, head_base double, head_score double, words array<binary>, times array<long>"), "heads")
-    spark = docs.sparkSession
+    heads = cut(spelt.select("doc_id", "key", "letters").mapInPandas(run, "doc_id long, key long, n_tokens long, head_known long, head_base double, head_score double"), "heads")
+    spark = spelt.sparkSession
     groups = spark.createDataFrame([(g, float(np.log10(model.group_tokens[g] + model.group_words[g] + 1.0))) for g in range(GROUPS)], "g int, log_size double")
-    tail = heads.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    tail = spelt.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     joined = tail.join(model.counts.withColumnRenamed("word", "c_word"), F.col("word") == F.col("c_word"), "left").select("key", "times", F.coalesce("n", F.lit(0)).alias("c"), group_column(F.col("word")).alias("g"))
     joined = joined.join(F.broadcast(groups), "g")  # GROUPS rows
     summed = joined.groupBy("key").agg(

@@ -54,9 +54,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = hmm.train(docs.where(hmm.in_training(F.col("doc_id"))))
-    return hmm.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+    return hmm.train_and_score(table(spark, sf_dir, "documents"), hmm.in_training(F.col("doc_id"))).withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
