@@ -7,20 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlane.plans.stored import drop_folder, new_folder
+from paperlane.plans.stored import drop_folder, new_folder, small_batches
 
 #: Folders that cut() has written and nobody has deleted, of all runs in this process.
 WRITTEN: list[str] = []
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python workers in batches of BATCH_BYTES at most (one row at least), unless the session says otherwise: a bound on a worker's memory however long texts are."""
-    if spark.conf.get(BATCH_CONF, None) is None:
-        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
-
-
 def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: lineage ends here and survives lost executors. by: a column whose values get folders of their own."""
     spark = df.sparkSession

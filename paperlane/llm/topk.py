@@ -1,9 +1,9 @@
 """Exact top-k search by distributed histogram selection.
 
 Components x of a vector become floor(64 * x), x as double; the score is the integer inner product. Queries are cut into blocks,
-which meet every block of candidates (a stated set of queries against all rows). Everything is scored; each
+which meet every block of candidates (a stated set of queries against all rows) in a product of the two stored tables, which moves nothing by shuffle. Everything is scored; each
 query's scores go into a histogram over an interval that holds its k-th value, histograms are summed over all
-blocks, the bin with the k-th value becomes the next interval, and so on until the k-th value is exact. A last pass keeps
+blocks (a task sends no bins below that of its own k-th value, as the k-th of all cannot be lower), the bin with the k-th value becomes the next interval, and so on until the k-th value is exact. A last pass keeps
 scores above it, and of those equal to it the smallest ids; a slice of SLICE candidates passes on k ties at most, as no more can be among
 the k smallest ids, so thousands of equal vectors make no large group.
 
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlane.llm.common import cut
+from paperlane.plans.stored import over
 
 SCALE, K, QUERY_BLOCK, ROW_BLOCK, BINS = 64, 20, 512, 4096, 256
-MOST_PARTS = 4096
-#: Candidates scored at a time; blocks of queries whose histograms a task sums before it sends them on (a megabyte each).
-SLICE, HELD = 1024, 64
+#: Candidates scored at a time; blocks of queries whose histograms a task sums before it sends them on (a megabyte each); blocks of queries and of rows that a task is to meet.
+SLICE, HELD, TASK_QUERIES, TASK_ROWS = 1024, 64, 16, 64
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -79,29 +79,40 @@ def _own_scores(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         yield q_ids, ids, _scores(q, data[k : k + SLICE]), q_ids[:, None] != ids[None, :]
 
 
-def _histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each query, how many scores are above its interval [low, low + BINS * width) and how many fall in each bin, over all the task's candidates."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def _needed(counts: np.ndarray, k: int) -> np.ndarray:
+    """Which counts (bins upwards, the last: above the interval) may matter: not empty, and with fewer than k scores above their bin."""
+    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
+    return (counts > 0) & (above < k)
 
-    def sent() -> Iterator[pd.DataFrame]:
-        for q_block, (ids, flat) in held.items():
-            q, b = np.nonzero(flat[:, 1:])
-            yield pd.DataFrame({"q_block": q_block, "query_id": ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
-        held.clear()
 
-    for batch in batches:
-        for row in batch.itertuples():
-            low, width = np.frombuffer(row.low, "<i8")[:, None], np.frombuffer(row.width, "<i8")[:, None]
-            if row.q_block not in held:
-                if len(held) == HELD:
-                    yield from sent()
-                held[row.q_block] = np.frombuffer(row.q_ids, "<i8").copy(), np.zeros((len(low), BINS + 2), np.int64)
-            flat = held[row.q_block][1]
-            for q_ids, _, s, counts in _own_scores(row):
-                bins = np.clip((s - low) // width, -1, BINS) + 1
-                bins[~counts] = 0
-                flat += np.bincount((bins + np.arange(len(q_ids))[:, None] * (BINS + 2)).ravel(), minlength=flat.size).reshape(flat.shape)
-    yield from sent()
+def _histograms(k: int):
+    """For each query, how many scores are above its interval [low, low + BINS * width) and how many fall in each bin that may hold the k-th, over all the task's candidates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def sent() -> Iterator[pd.DataFrame]:
+            for q_block, (ids, flat) in held.items():
+                q, b = np.nonzero(_needed(flat[:, 1:], k))
+                yield pd.DataFrame({"q_block": q_block, "query_id": ids[q], "bin": b.astype(np.int32), "n": flat[:, 1:][q, b]})
+            held.clear()
+
+        for batch in batches:
+            for row in batch.itertuples():
+                low, width = np.frombuffer(row.low, "<i8")[:, None], np.frombuffer(row.width, "<i8")[:, None]
+                if row.q_block not in held:
+                    if len(held) == HELD:
+                        yield from sent()
+                    held[row.q_block] = np.frombuffer(row.q_ids, "<i8").copy(), np.zeros((len(low), BINS + 2), np.int64)
+                flat = held[row.q_block][1]
+                for q_ids, _, s, counts in _own_scores(row):
+                    # Scores below the interval need no bin: most of them, from the second pass on.
+                    q, c = np.nonzero((s >= low) & counts)
+                    bins = np.minimum((s[q, c] - low[q, 0]) // width[q, 0], BINS) + 1
+                    flat += np.bincount(bins + q * (BINS + 2), minlength=flat.size).reshape(flat.shape)
+        yield from sent()
+
+    return run
 
 
 def _winners(k: int):
@@ -130,11 +141,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
     blocks, top = rows.agg(F.count("*"), F.max("norm")).first() if rows.take(1) else (0, 0)
     if not blocks or not q.take(1):
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # The pairs of blocks: rows are dealt over parts, and each block of queries is sent to every part.
-    parts = min(int(blocks), MOST_PARTS)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("ids", "data"), F.lit(parts)).cast("int"))
-    dealt = q.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = rows.join(dealt, (rows["dim"] == dealt["q_dim"]) & (rows["part"] == dealt["q_part"])).drop("q_dim", "q_part", "part")
     reach = int(top * q.agg(F.max("q_norm")).first()[0]) + 1  # Cauchy-Schwarz
     if reach >= 1 << 61:
         raise ValueError("scores do not fit into 64 bits")
@@ -165,15 +171,25 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
         wid = np.maximum(1, -(-wid // BINS))
         return pd.DataFrame({"q_block": [row.q_block], "low": [low.astype("<i8").tobytes()], "width": [wid.astype("<i8").tobytes()]})
 
-    found = _search(pairs, q, state, state_type, refine, width, k)
+    found = _search(rows, int(blocks), q, state, state_type, refine, width, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, refine, width: int, k: int) -> DataFrame:
+def _search(rows: DataFrame, row_blocks: int, q: DataFrame, state: DataFrame, state_type: str, refine, width: int, k: int) -> DataFrame:
     """The passes: refine the intervals until they are single values, then keep what reaches them."""
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    groups = -(-q.count() // TASK_QUERIES)
+    # Slices of the rows, each of which meets each group of queries in a task.
+    slices = min(row_blocks, max(-(-3 * cores // groups), -(-row_blocks // TASK_ROWS)))
+    rows = over(rows, slices).hint("shuffle_replicate_nl")
+
+    def met(state: DataFrame) -> DataFrame:
+        asked = over(q.join(state, "q_block"), groups)
+        return rows.join(asked, rows["dim"] == asked["q_dim"])
+
     while True:
-        counted = pairs.join(state, "q_block").select("q_block", "dim", "ids", "data", "q_ids", "q_data", "low", "width").mapInPandas(_histograms, "q_block string, query_id long, bin int, n long")
+        counted = met(state).select("q_block", "dim", "ids", "data", "q_ids", "q_data", "low", "width").mapInPandas(_histograms(k), "q_block string, query_id long, bin int, n long")
         summed = cut(counted.groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n")), "histograms")
         # One row a block, so that its ids and intervals are not repeated for every count.
         cells = summed.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bin", "n")).alias("cells"))
@@ -182,4 +198,4 @@ def _search(pairs: DataFrame, q: DataFrame, state: DataFrame, state_type: str, r
         if width == 1:
             break
         width = max(1, -(-width // BINS))
-    return cut(pairs.join(state, "q_block").select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long"), "winners")
+    return cut(met(state).select("dim", "ids", "data", "q_ids", "q_data", "low").mapInPandas(_winners(k), "query_id long, vec_id long, score long"), "winners")

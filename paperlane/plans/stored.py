@@ -11,6 +11,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bound on the batches that go to Python workers, and its setting.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Folders that the run in this context has written; None outside a run.
 _OWN: ContextVar[list[str] | None] = ContextVar("paperlane_folders", default=None)
 
@@ -34,6 +36,17 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of BATCH_BYTES at most (one row at least), unless the session says otherwise: a bound on a worker's memory however long rows are."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def over(df: DataFrame, n: int) -> DataFrame:
+    """df in n partitions; partitions are put together without a shuffle if there are more."""
+    return df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet and read again: what stands before it runs once, whatever is read how often, and lost executors take nothing with them."""
     path = new_folder(df.sparkSession, tag)
