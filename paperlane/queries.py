@@ -181,8 +181,7 @@ def vector_topk_hashed(spark, sf):
     """vector_topk_batch by signed projections; a test measures the recall."""
     q, index = vectors(spark, sf)
     with stored.run(spark) as own:
-        table = stored.stored(vector.hashed_index(index, PROJECTIONS), "buckets")
-        found = vector.hashed_search(q, table, PROJECTIONS, 10, FLIPS)
+        found = vector.hashed_search(q, vector.hashed_index(index, PROJECTIONS), PROJECTIONS, 10, FLIPS)
         return stored.result(found.select("query_id", "chunk_id", r6("vector_score"), F.col("rank").cast("int").alias("rank")), own)
 
 
