@@ -75,15 +75,14 @@ def with_index(spark: SparkSession, sf: str, analyser: str, search: Callable[[te
         return stored.result(search(text_index.build_index(docs, stored.new_folder(spark, "index"), analyser=analyser)), own)
 
 
-def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(queries with targets, candidates): a paper is relevant to a vector if it bears the same label and its document is labelled quality 0, as the SQL has it."""
+def labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, candidates, targets): a paper is relevant to a vector if it bears the same label and its document is labelled quality 0, as the SQL has it. Queries of one label share their targets."""
     e = table(spark, sf, "embeddings")
     good = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id"))
-    targets = e.join(good, "vec_id").groupBy("label").agg(F.array_sort(F.collect_set(F.col("vec_id").cast("string"))).alias("ids"))
-    q = e.join(targets, "label", "left").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") >= 0, F.coalesce("ids", F.array().cast("array<string>"))).alias("relevant_paper_ids"))
+    targets = e.join(good, "vec_id").select(F.col("label").alias("target_group"), F.col("vec_id").cast("string").alias("paper_id")).distinct()
     qs, index = vectors(spark, sf)
-    found = vector.vector_search(qs, index, 40)
-    return q, found.select("query_id", F.col("chunk_id").cast("string").alias("paper_id"), F.col("rank").alias("paper_rank"))
+    found = vector.vector_search(qs, index, 40).select("query_id", F.col("chunk_id").cast("string").alias("paper_id"), F.col("rank").alias("paper_rank"))
+    return e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("target_group")), found, targets
 
 
 def r6(c: str):
@@ -449,21 +448,23 @@ pq AS (SELECT query_id, k, n AS n_targets, CASE WHEN n = 0 THEN 0 ELSE f / n::DO
 
 @query(S_EVAL + 'SELECT query_id, k, n_targets::INTEGER AS n_targets, round(recall, 6) AS recall, round("precision", 6) AS "precision", hit, non_target FROM pq')
 def retrieval_metrics_query(spark, sf):
-    q, c = labelled(spark, sf)
-    return metrics.query_metrics(q, c).select("query_id", "k", "n_targets", r6("recall"), r6("precision"), "hit", "non_target")
+    q, c, targets = labelled(spark, sf)
+    return metrics.query_metrics(q, c, targets=targets).select("query_id", "k", "n_targets", r6("recall"), r6("precision"), "hit", "non_target")
 
 
 @query(S_EVAL + """SELECT k, count(*) AS n_queries, count(*) FILTER (WHERE n_targets = 0) AS n_without_targets, round(coalesce(avg(recall) FILTER (WHERE n_targets > 0), 0), 6) AS mean_recall, round(coalesce(avg("precision") FILTER (WHERE n_targets > 0), 0), 6) AS mean_precision,
 round(coalesce(avg(hit) FILTER (WHERE n_targets > 0), 0), 6) AS mean_hit, round(coalesce(avg(non_target) FILTER (WHERE n_targets = 0), 0), 6) AS mean_non_target FROM pq GROUP BY k""")
 def retrieval_metrics_agg(spark, sf):
-    a = metrics.aggregate_metrics(metrics.query_metrics(*labelled(spark, sf)))
+    q, c, targets = labelled(spark, sf)
+    a = metrics.aggregate_metrics(metrics.query_metrics(q, c, targets=targets))
     return a.select("k", "n_queries", "n_without_targets", r6("mean_recall"), r6("mean_precision"), r6("mean_hit"), r6("mean_non_target"))
 
 
 @query(S_EVAL + """SELECT t.query_id, round(coalesce(1 / min(c.rank)::DOUBLE, 0), 6) AS mrr, min(c.rank)::INTEGER AS first_rank, round(coalesce(sum(i / c.rank::DOUBLE) / len(t.ids), 0), 6) AS average_precision
 FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM cand WHERE tgt) c USING (query_id) GROUP BY t.query_id, t.ids""")
 def average_precision(spark, sf):
-    return metrics.rank_metrics(*labelled(spark, sf)).select("query_id", r6("mrr"), F.col("first_rank").cast("int").alias("first_rank"), r6("average_precision"))
+    q, c, targets = labelled(spark, sf)
+    return metrics.rank_metrics(q, c, targets).select("query_id", r6("mrr"), F.col("first_rank").cast("int").alias("first_rank"), r6("average_precision"))
 
 
 @query(r"""SELECT page_id, (100 * (contains(html, '\documentclass'))::INT + 100 * contains(html, '\begin{document}')::INT + 20 * contains(html, '\title')::INT + 20 * (contains(html, '\begin{abstract}') OR contains(html, '\abstract{'))::INT + 5 * len(regexp_extract_all(html, '\\(?:section|subsection|subsubsection|paragraph)\*?\{'))
