@@ -4,18 +4,25 @@ A paper's rank is (1 - damping) / n, and damping times what flows in: each paper
 citations gives its to all alike. Ranks sum to one. Iterations go on until the ranks change by less than a tolerance in all; every one is written, so lineage stays
 short and lost executors take nothing with them. The driver sees sums only.
 
-Papers that cite a great part of all others would make hot keys of the join with ranks: those with more than one in HOT of all edges (there are fewer than HOT)
-have their shares broadcast, the others are joined by shuffle. What flows into a much cited paper is added up before it is sent.
+Papers are numbered within parts of some NODES, edges become blocks of numbers by the parts that they lead from and to, and an iteration is one product of blocks: edges
+are written once and not sent again, names are joined at the beginning and at the end alone. What flows into a part is added up in each task before it is sent. A paper that cites
+or is cited by a great part of all others has its edges over many blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlane.plans.stored import drop, stored
+from paperlane.plans.stored import drop, over, small_batches, stored
 
-DAMPING, TOLERANCE, HOT = 0.85, 1e-9, 1000
+DAMPING, TOLERANCE = 0.85, 1e-9
+#: Papers of a part on average; parts whose ranks a task holds, or gathers what flows into before it sends that on; edges of a block at most, by 64.
+NODES, PARTS, HOT = 1 << 16, 16, 1000
 CITE = r"\\[Cc]ite[A-Za-z]*\*?(?:\[[^\]]*\]){0,2}\{([^}]*)\}"
 
 
@@ -42,24 +49,80 @@ def citation_ranks(papers: DataFrame, edges: DataFrame, damping: float = DAMPING
     own = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     own = stored(own, "edges")
     degrees = stored(nodes.join(own.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out")), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out")), "degrees")
-    n, m = degrees.agg(F.count("*"), F.coalesce(F.sum("out"), F.lit(0))).first()
-    ranks = stored(degrees.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank")), "ranks")
-    lost = F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))
-    loose = ranks.agg(lost).first()[0]
-    while n:
-        shares = ranks.where("out > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"), (F.col("out") * HOT > m).alias("hot"))
-        hot = F.broadcast(shares.where("hot").select("src", F.col("share").alias("hot_share")))
-        flows = own.join(hot, "src", "left")
-        # The rest of a hot paper's edges need no partner: a key that differs by edge.
-        key = F.when(F.col("hot_share").isNull(), F.col("src").cast("string")).otherwise(F.concat(F.lit("\x00"), F.col("dst").cast("string")))
-        cold = shares.where(~F.col("hot")).select(F.col("src").cast("string").alias("key"), F.col("share").alias("cold_share"))
-        flows = flows.withColumn("key", key).join(cold, "key", "left").select(F.col("dst").alias("node"), F.coalesce("hot_share", "cold_share").alias("share"))
-        inflow = flows.groupBy("node").agg(F.sum("share").alias("inflow"))
-        new = F.lit((1 - damping + damping * loose) / n) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))
-        after = stored(ranks.join(inflow, "node", "left").select("node", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")), "ranks")
-        moved, loose = after.agg(F.sum("moved"), lost).first()
+    n = degrees.count()
+    if not n:
+        return degrees.select(F.col("node").alias(id_col), F.lit(1.0).alias("rank"))
+    parts = -(-n // NODES)
+    numbered = degrees.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+    places = stored(numbered.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1), "places")
+    at = lambda end: places.select(F.col("node").alias(end), F.col("part").alias(f"{end}_part"), F.col("i").alias(f"{end}_i"))
+    lines = own.join(at("src"), "src").join(at("dst"), "dst").select("src_part", "dst_part", "src_i", "dst_i")
+    small_batches(degrees.sparkSession)
+    blocks = stored(lines.repartitionByRange("src_part", "dst_part", "dst_i").sortWithinPartitions("src_part", "dst_part").mapInPandas(_edge_blocks, "src_part int, dst_part int, src binary, dst binary"), "edges")
+    kind = "part int, outs binary, ranks binary, moved double, lost double"
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        outs = pdf.sort_values("i").out.to_numpy(np.int64)
+        return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "outs": [outs.tobytes()], "ranks": [np.full(len(outs), 1.0 / n).tobytes()], "moved": [0.0], "lost": [float((outs == 0).sum()) / n]})
+
+    ranks = stored(places.select("part", "i", "out").groupBy("part").applyInPandas(start, kind), "ranks")
+    loose = ranks.agg(F.sum("lost")).first()[0]
+    while True:
+        held = over(ranks.select(F.col("part").alias("src_part"), "outs", "ranks"), -(-parts // PARTS))
+        flows = blocks.hint("shuffle_replicate_nl").join(held, "src_part").select("src_part", "dst_part", "src", "dst", "outs", "ranks").mapInPandas(_flows, "part int, outs binary, ranks binary")
+        base = (1 - damping + damping * loose) / n
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:  # run before `base` is set anew
+            """A part's old ranks, and in rows without `outs` what flows into it."""
+            old = pdf[pdf.outs.notna()].iloc[0]
+            before, outs, inflow = np.frombuffer(old.ranks), np.frombuffer(old.outs, np.int64), np.zeros(len(old.ranks) // 8)
+            for x in pdf[pdf.outs.isna()].ranks:
+                some = np.frombuffer(x)
+                inflow[: len(some)] += some
+            after = base + damping * inflow
+            return pd.DataFrame({"part": [int(old.part)], "outs": [old.outs], "ranks": [after.tobytes()], "moved": [float(np.abs(after - before).sum())], "lost": [float(after[outs == 0].sum())]})
+
+        after = stored(ranks.select("part", "outs", "ranks").unionByName(flows).groupBy("part").applyInPandas(step, kind), "ranks")
+        moved, loose = after.agg(F.sum("moved"), F.sum("lost")).first()
         drop(ranks)
         ranks = after
         if moved < tolerance:
             break
-    return ranks.select(F.col("node").alias(id_col), "rank")
+    found = ranks.select("part", "ranks").mapInPandas(_ranks, "part int, i int, rank double")
+    return places.join(found, ["part", "i"]).select(F.col("node").alias(id_col), "rank")
+
+
+def _edge_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for (a, b), group in batch.groupby(["src_part", "dst_part"], sort=False):
+            for k in range(0, len(group), 64 * HOT):
+                some = group.iloc[k : k + 64 * HOT]
+                yield pd.DataFrame({"src_part": [a], "dst_part": [b], "src": [some.src_i.to_numpy(np.int32).tobytes()], "dst": [some.dst_i.to_numpy(np.int32).tobytes()]})
+
+
+def _flows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What flows into each part, from the task's blocks of edges beside the ranks of the parts that they lead from."""
+    held: dict[int, np.ndarray] = {}
+
+    def sent() -> pd.DataFrame:
+        return pd.DataFrame({"part": list(held), "outs": [None] * len(held), "ranks": [x.tobytes() for x in held.values()]})
+
+    for batch in batches:
+        for r in batch.itertuples():
+            src, dst = np.frombuffer(r.src, np.int32), np.frombuffer(r.dst, np.int32)
+            into = np.bincount(dst, np.frombuffer(r.ranks)[src] / np.frombuffer(r.outs, np.int64)[src])
+            before = held.get(r.dst_part, np.zeros(0))
+            more, less = (into, before) if len(into) > len(before) else (before, into)
+            more[: len(less)] += less
+            held[r.dst_part] = more
+            if len(held) > 4 * PARTS:
+                yield sent()
+                held.clear()
+    yield sent()
+
+
+def _ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for part, ranks in zip(batch.part, batch.ranks):
+            x = np.frombuffer(ranks)
+            yield pd.DataFrame({"part": part, "i": np.arange(len(x), dtype=np.int32), "rank": x})
