@@ -1,28 +1,41 @@
 """A stored inverted index of texts, and searches that read it in place of the texts.
 
-Four tables in one folder. `postings`: term, document, positions, tf, length (tokens of the document), in folders by `bucket` (a hash of the term) and sorted by
-term and block of documents within their files, so that a scan reads the buckets and row groups of the terms asked for. `blocks`: for each term
-and block its number of postings, greatest tf, least length and greatest weight under K1 and B. `documents`: ids, lengths, blocks. `collection`: one row of totals and settings.
+Two tables in one folder. `rows` holds three kinds of rows, in folders by kind and `bucket` (a hash of the term), sorted by term and block of documents within their files. `postings`: term, block, document,
+positions, tf, length (tokens of the document). `blocks`: for each term and block its number of postings, greatest tf, least length and greatest weight under K1 and B. `documents`: ids, lengths, blocks.
+A block is neighbours of one partition of the texts, so postings and blocks are made where the texts are read: nothing is sent by shuffle. `collection`: one row of totals and settings.
 
 Searches for the k best documents end early. What a block or a document can score at most follows from a block's weights and counts,
 before positions or postings are read. The most promising are scored first; their k-th score is a floor, and of the rest only those are scored
-whose bound reaches it. The result is that of scoring everything.
+whose bound reaches it. The result is that of scoring everything. Of the postings only those of the terms and blocks asked for are sent, once each and by document; queries meet them there, so no pair of a
+query and a document is sent before it is among the best of its partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructType
 
+from paperlane.functions.porter import stem
 from paperlane.operators import lexical
 from paperlane.operators.vector import top_by
-from paperlane.plans.stored import drop_folder, stored
+from paperlane.plans.stored import drop_folder, small_batches, stored
 
 #: Folders of postings, documents of a block on average, and blocks that are scored before there is a floor.
 BUCKETS, BLOCK_DOCS, SEEDS = 32, 256, 4
 K1, B = 1.2, 0.75
+#: Rows of terms, blocks or documents asked for that are broadcast to where the index is read.
+FEW = 1 << 20
+#: Scores are sums of 64-bit integers, of which this many are 1: the order of a sum does not matter, so that equal documents get equal scores.
+ONE = 1 << 48
 
 
 @dataclass(frozen=True)
@@ -48,11 +61,16 @@ class TextIndex:
 
     def held(self, terms: DataFrame) -> DataFrame:
         """id, term: which of the terms each document holds."""
-        return self.postings.join(self.of(terms), ["bucket", "term"], "left_semi").select(self.id_col, "term")
+        return self.postings.join(beside(self.of(terms)), ["bucket", "term"], "left_semi").select(self.id_col, "term")
 
     def positions(self, wanted: DataFrame) -> DataFrame:
         """id, p, term of the pairs (id, term) that are wanted."""
-        found = self.postings.join(self.of(wanted), ["bucket", "term", self.id_col], "left_semi")
+        wanted, found = stored(self.of(wanted), "wanted"), self.postings
+        # Before many pairs meet the postings, what no pair names is left out.
+        for key in ([self.id_col], ["bucket", "term"]):
+            if (named := wanted.select(key).distinct()).count() <= FEW:
+                found = found.join(F.broadcast(named), key, "left_semi")
+        found = found.join(beside(wanted), ["bucket", "term", self.id_col], "left_semi")
         return found.select(self.id_col, F.explode("positions").alias("p"), "term")
 
     def drop(self) -> None:
@@ -64,42 +82,106 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def beside(few: DataFrame) -> DataFrame:
+    """few, broadcast unless it has more than FEW rows: what it is joined to then stays where it is read."""
+    return F.broadcast(few) if few.limit(FEW + 1).count() <= FEW else few
+
+
+def index_rows(words: DataFrame, id_col: str, analyser: str, block_docs: int, mean_length: float) -> DataFrame:
+    """The rows of the index (as of row_type) of words (id, words), made within partitions; blocks are runs of block_docs documents at most."""
+    kind = row_type(id_col, words.schema[id_col].dataType.simpleString())
+    schema, english = to_arrow_schema(kind), lexical.check_analyser(analyser) == "english"
+    stop = frozenset(lexical.stop_words()) if english else frozenset()
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["block"])
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, stems = TaskContext.get().partitionId() << 32, lru_cache(1 << 17)(stem)
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            lengths = np.diff(lists.offsets.to_numpy())
+            block = first + np.arange(len(ids)) // block_docs
+            first = int(block[-1]) + 1 if len(ids) else first
+            yield rows(kind=pa.array(["documents"] * len(ids), pa.string()), id=ids, length=pa.array(lengths), block=pa.array(block))
+            coded = lists.flatten().dictionary_encode()
+            terms, of = coded.dictionary, coded.indices.to_numpy()
+            doc = np.repeat(np.arange(len(ids)), lengths)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            if english:
+                own = [None if w in stop else stems(w) for w in terms.to_pylist()]
+                number = {t: n for n, t in enumerate(dict.fromkeys(t for t in own if t is not None))}
+                of = np.array([number.get(t, -1) for t in own], np.int64)[of] if own else of
+                terms, doc, place, of = pa.array(list(number), pa.string()), doc[of >= 0], place[of >= 0], of[of >= 0]
+            if not len(of):
+                continue
+            # By block, term, document, place: a posting is a run of one term in one document, and a term's postings in a block are a run of these.
+            order = np.lexsort((doc, of, block[doc]))
+            doc, of, place = doc[order], of[order], place[order]
+            begins = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(of) != 0)))
+            doc, of = doc[begins], of[begins]
+            tf, length = np.diff(np.append(begins, len(place))), lengths[doc]
+            positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(place)), pa.int32()), pa.array(place, pa.int32()))
+            yield rows(kind=pa.array(["postings"] * len(doc), pa.string()), term=terms.take(pa.array(of)), block=pa.array(block[doc]), id=ids.take(pa.array(doc)), positions=positions, tf=pa.array(tf), length=pa.array(length))
+            at = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(block[doc]) != 0)))
+            weight = tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / (mean_length or 1.0)))
+            yield rows(
+                kind=pa.array(["blocks"] * len(at), pa.string()), term=terms.take(pa.array(of[at])), block=pa.array(block[doc[at]]), n=pa.array(np.diff(np.append(at, len(of)))),
+                tf=pa.array(np.maximum.reduceat(tf, at)), length=pa.array(np.minimum.reduceat(length, at)), weight=pa.array(np.maximum.reduceat(weight, at)),
+            )
+
+    small_batches(words.sparkSession)
+    return words.select(F.col(id_col).alias("id"), "words").mapInArrow(run, kind)
+
+
+def row_type(id_col: str, kind: str) -> StructType:
+    return StructType.fromDDL(f"kind string, term string, block long, id {kind}, positions array<int>, tf long, length long, n long, weight double")
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "search_document", analyser: str = "english", buckets: int = BUCKETS, block_docs: int = BLOCK_DOCS) -> TextIndex:
     """Writes the index of docs under path (which must not exist) and opens it. Documents without an id are not found by searches; an id that repeats is refused."""
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(lexical.TOKEN), F.lit(0))
     rows = docs.where(F.col(id_col).isNotNull()).select(id_col, words.alias("words"))
-    lengths = rows.select(id_col, F.size("words").cast("long").alias("length"))
-    lengths.write.parquet(f"{path}/lengths")
-    lengths = spark.read.schema(lengths.schema).parquet(f"{path}/lengths")
-    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    if not lengths.groupBy(id_col).count().where("count > 1").isEmpty():
-        drop_folder(spark, path)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    found = index_rows(rows, id_col, analyser, block_docs, total / max(1, n)).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    found.sortWithinPartitions("kind", "bucket", "term", "block", "id").write.option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{path}/rows")
+    of = [(id_col, docs.schema[id_col].dataType.simpleString(), analyser, buckets, n, total)]
+    spark.createDataFrame(of, "id_col string, id_type string, analyser string, buckets int, n long, total long").coalesce(1).write.parquet(f"{path}/collection")
+    index = open_index(spark, path)
+    if not index.documents.groupBy(id_col).count().where("count > 1").isEmpty():
+        index.drop()
         raise ValueError(f"{id_col} repeats")
-    n_blocks = max(1, n // block_docs)
-    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(n_blocks)).cast("int")
-    lengths.withColumn("block", block).write.parquet(f"{path}/documents")
-    drop_folder(spark, f"{path}/lengths")
-    found = rows.select(id_col, F.size("words").cast("long").alias("length"), F.posexplode("words").alias("p", "term"))
-    found = lexical.analyse(found.withColumn("p", F.col("p") + 1), analyser)
-    # Grouped by term and document, so a term of all documents is no single group.
-    held = found.groupBy("term", id_col).agg(F.array_sort(F.collect_list("p")).alias("positions"), F.any_value("length").alias("length"))
-    held = held.withColumns({"tf": F.size("positions").cast("long"), "block": block, "bucket": bucket_of(F.col("term"), buckets)})
-    order = ("bucket", "term", "block", id_col)
-    held.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
-    postings.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.max(bm25(F.col("tf"), F.col("length"), total / max(1, n))).alias("weight")).write.partitionBy("bucket").parquet(f"{path}/blocks")
-    spark.createDataFrame([(id_col, analyser, buckets, n, total)], "id_col string, analyser string, buckets int, n long, total long").coalesce(1).write.parquet(f"{path}/collection")
-    return open_index(spark, path)
+    return index
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
     of = spark.read.parquet(f"{path}/collection").first()
-    documents = spark.read.parquet(f"{path}/documents")
-    kind = documents.schema[of["id_col"]].dataType.simpleString()
-    postings = spark.read.schema(f"term string, `{of['id_col']}` {kind}, positions array<int>, length long, tf long, block int, bucket int").parquet(f"{path}/postings")
-    blocks = spark.read.schema("term string, block int, n long, tf long, length long, weight double, bucket int").parquet(f"{path}/blocks")
-    return TextIndex(path, of["id_col"], of["analyser"], of["buckets"], of["n"], of["total"] / max(1, of["n"]), postings, blocks, documents)
+    id_col, kind = of["id_col"], row_type(of["id_col"], of["id_type"]).add("bucket", IntegerType())
+    rows = spark.read.schema(kind).parquet(f"{path}/rows")
+    postings = rows.where("kind = 'postings'").select("term", F.col("id").alias(id_col), "positions", "length", "tf", "block", "bucket")
+    blocks = rows.where("kind = 'blocks'").select("term", "block", "n", "tf", "length", "weight", "bucket")
+    documents = rows.where("kind = 'documents'").select(F.col("id").alias(id_col), "length", "block")
+    return TextIndex(path, id_col, of["analyser"], of["buckets"], of["n"], of["total"] / max(1, of["n"]), postings, blocks, documents)
+
+
+def by_document(index: TextIndex, asked: DataFrame, chosen: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """score() of the postings of the terms asked for (query_id, bucket, term, ...), beside their queries, in the blocks chosen for the query (query_id, block); both are stored tables.
+
+    Postings are dealt by document before queries meet them, so that score() may group by query and document without sending the pairs. More than FEW queries' terms or blocks go in several groups of queries.
+    """
+    id_col, groups = index.id_col, max(1, -(-max(asked.count(), chosen.count()) // FEW))
+
+    def some(asked: DataFrame, chosen: DataFrame) -> DataFrame:
+        held = index.postings.select("bucket", "term", "block", id_col, "tf", "length")
+        held = held.join(beside(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").join(beside(chosen.select("block").distinct()), "block", "left_semi")
+        return score(held.repartition(id_col).join(beside(asked), ["bucket", "term"]).join(beside(chosen), ["query_id", "block"], "left_semi"))
+
+    if groups == 1:
+        return some(asked, chosen)
+    own = lambda df, n: df.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == n)
+    return reduce(DataFrame.unionByName, [stored(some(own(asked, n), own(chosen, n)), "scored-group") for n in range(groups)])
 
 
 def floors(scored: DataFrame, k: int) -> DataFrame:
@@ -128,20 +210,18 @@ def bm25_search(queries: DataFrame, index: TextIndex, k: int, k1: float = K1, b:
         raise ValueError("k must be at least 1")
     id_col = index.id_col
     terms = stored(index.of(lexical.asked_terms(queries, index.analyser, term_limit)), "terms")
-    blocks = stored(index.blocks.join(terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi"), "term-blocks")
+    blocks = stored(index.blocks.join(beside(terms.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi"), "term-blocks")
     df = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = stored(terms.join(df, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf")), "asked")
     part = F.col("idf") * bm25(F.col("tf"), F.col("length"), index.mean_length, k1, b)
     # With other parameters than the index was built with, the greatest tf and the least length of a block bound its weights.
     most = F.col("idf") * F.col("weight") if (k1, b) == (K1, B) else part
-    bounded = stored(asked.join(blocks, ["bucket", "term"]).groupBy("query_id", "block").agg(F.sum(most).alias("bound")), "bounds")
+    bounded = stored(blocks.join(beside(asked), ["bucket", "term"]).groupBy("query_id", "block").agg(F.sum(most).alias("bound")), "bounds")
 
     def exact(chosen: DataFrame) -> DataFrame:
-        rows = asked.join(chosen.select("query_id", "block"), "query_id").join(index.postings.select("bucket", "term", "block", id_col, "tf", "length"), ["bucket", "term", "block"])
-        # Summed in a fixed order, so that equal documents get equal scores.
-        score = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda a, x: a + x)
-        return rows.groupBy("query_id", id_col).agg(score.alias("lexical_score"))
+        score = (F.sum(F.round(part * F.lit(float(ONE))).cast("long")) / F.lit(float(ONE))).alias("lexical_score")
+        return by_document(index, asked, chosen, lambda held: held.groupBy("query_id", id_col).agg(score))
 
     first = top_by(bounded, seeds, F.col("bound").desc(), "block", rank="place")
     return _in_two_steps(bounded, first, exact, ["block"], k, digits, id_col)
@@ -158,9 +238,10 @@ def cover_topk(queries: DataFrame, index: TextIndex, k: int, term_limit: int | N
     id_col = index.id_col
     terms = stored(index.of(lexical.asked_terms(queries, index.analyser, term_limit)), "terms")
     many = terms.groupBy("query_id").agg(F.count("*").alias("m"))
-    whole = terms.join(index.blocks.select("bucket", "term", "block"), ["bucket", "term"]).groupBy("query_id", "block").agg(F.count("*").alias("there")).join(many, "query_id").where("there = m").select("query_id", "block")
-    held = terms.join(whole, "query_id").join(index.postings.select("bucket", "term", "block", id_col, "tf"), ["bucket", "term", "block"])
-    places = held.groupBy("query_id", id_col).agg(F.count("*").alias("there"), F.sum("tf").alias("places")).join(many, "query_id").where("there = m")
+    there = index.blocks.select("bucket", "term", "block").join(beside(terms), ["bucket", "term"]).groupBy("query_id", "block").agg(F.count("*").alias("there"))
+    whole = stored(there.join(many, "query_id").where("there = m").select("query_id", "block"), "whole-blocks")
+    places = by_document(index, terms, whole, lambda held: held.groupBy("query_id", id_col).agg(F.count("*").alias("there"), F.sum("tf").alias("places")))
+    places = places.join(beside(many), "query_id").where("there = m")
     bounded = stored(places.select("query_id", id_col, (F.lit(0.1) * (F.col("places") - F.col("m") + 1)).alias("bound")), "bounds")
 
     def exact(chosen: DataFrame) -> DataFrame:
