@@ -23,18 +23,21 @@ FUNCTIONS = (
     f"bm25(tf DOUBLE, length DOUBLE, mean_length DOUBLE) RETURNS DOUBLE RETURN tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * length / mean_length))",
 )
 
-#: A whole search as one text: the k best documents (doc_id, text) of every query (query_id, query) by BM25.
+#: A whole search as one text: the k best documents (doc_id, text) of every query (query_id, query) by BM25. Texts are dealt by document once; words are counted, and queries met, where a document then lies,
+#: so no pair of a word and a document, or of a query and a document, is sent. What is broadcast is bounded by the words of the queries. Scores are sums of integers, whose order does not matter.
 BM25 = """
-WITH d AS (SELECT doc_id, lexical_tokens(text) AS words FROM {documents}),
-held AS (SELECT doc_id, size(words) AS length, term, count(*) AS tf FROM d LATERAL VIEW explode(words) AS term GROUP BY doc_id, size(words), term),
-totals AS (SELECT count(*) AS n, avg(size(words)) AS mean_length FROM d),
-q AS (SELECT query_id, lexical_tokens(query) AS words FROM {queries}),
+WITH q AS (SELECT query_id, lexical_tokens(query) AS words FROM {queries}),
 asked AS (SELECT DISTINCT query_id, term FROM q LATERAL VIEW explode(words) AS term),
-known AS (SELECT h.* FROM held h LEFT SEMI JOIN asked a ON h.term = a.term),
-weights AS (SELECT term, ln(1 + (n - count(*) + 0.5D) / (count(*) + 0.5D)) AS idf, mean_length FROM known CROSS JOIN totals GROUP BY term, n, mean_length),
+totals AS (SELECT count(*) AS n, avg(size(lexical_tokens(text))) AS mean_length FROM {documents}),
+dealt AS (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM {documents}),
+d AS (SELECT doc_id, lexical_tokens(text) AS words FROM dealt),
+found AS (SELECT doc_id, size(words) AS length, term FROM d LATERAL VIEW explode(words) AS term),
+known AS (SELECT /*+ BROADCAST(a) */ doc_id, length, f.term, count(*) AS tf FROM found f LEFT SEMI JOIN (SELECT DISTINCT term FROM asked) a ON f.term = a.term GROUP BY doc_id, length, f.term),
+held AS (SELECT term, count(*) AS df FROM known GROUP BY term),
+weights AS (SELECT /*+ BROADCAST(h), BROADCAST(t) */ query_id, term, ln(1 + (n - df + 0.5D) / (df + 0.5D)) AS idf, mean_length FROM asked JOIN held h USING (term) CROSS JOIN totals t),
 scored AS (
-  SELECT query_id, doc_id, round(aggregate(array_sort(collect_list(idf * bm25(tf, length, mean_length))), 0D, (s, x) -> s + x), 6) AS score
-  FROM asked JOIN known USING (term) JOIN weights USING (term) GROUP BY query_id, doc_id
+  SELECT /*+ BROADCAST(w) */ query_id, doc_id, round(sum(CAST(round(idf * bm25(tf, length, mean_length) * 281474976710656D) AS BIGINT)) / 281474976710656D, 6) AS score
+  FROM known JOIN weights w USING (term) GROUP BY query_id, doc_id
 )
 SELECT query_id, doc_id AS chunk_id, score AS lexical_score, CAST(rank AS INT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}

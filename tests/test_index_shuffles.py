@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlane.operators import lexical, text_index
+from paperlane.plans import catalogue
 
 
 def sent(spark):
@@ -49,3 +50,13 @@ def test_searches_send_postings_once_and_no_pairs(spark, docs, tmp_path):
         assert sorted(few.collect()) == sorted(found) == sorted(text_index.bm25_search(queries, index, 5, digits=6).collect())
     finally:
         text_index.FEW = groups
+
+
+def test_the_search_in_sql_sends_texts_once_and_no_pairs(spark, docs):
+    catalogue.register(spark)
+    rng = random.Random(9)
+    queries = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(40)}" for _ in range(8))) for q in range(60)], "query_id int, query string")
+    before = sent(spark)
+    found = spark.sql(catalogue.BM25, documents=docs.select(F.col("chunk_id").alias("doc_id"), F.col("search_document").alias("text")), queries=queries, k=5)
+    assert len(found.collect()) == 300 and found.schema["lexical_score"].dataType.simpleString() == "double"
+    assert sent(spark) - before < 3_000_000
