@@ -23,25 +23,30 @@ def is_abstract(chunk_type: Column, section_path: Column) -> Column:
 def select_evidence(hits: DataFrame, chunks: DataFrame, window: int = 0) -> DataFrame:
     """query_id and the chunks of its papers that are abstracts or within `window` of a hit's chunk_index.
 
-    hits: query_id, paper_id, chunk_index, rank. Papers meet their chunks by paper_id; nearness is a semi-join with a range.
+    hits: query_id, paper_id, chunk_index, rank. Papers meet their chunks by paper_id, each with the places of its hits, so that only what is near is passed on; the result is dealt by query.
     """
     if window < 0:
         raise ValueError("the window must not be negative")
-    seeds = hits.select("query_id", "paper_id", F.col("chunk_index").alias("seed_index"))
-    papers = seeds.select("query_id", "paper_id").distinct()
-    owned = chunks.join(papers, "paper_id")
+    papers = hits.groupBy("query_id", "paper_id").agg(F.collect_set("chunk_index").alias("__seeds"))
     abstract = (F.col("chunk_type") == "abstract") | F.coalesce(F.array_contains("section_path", "Abstract"), F.lit(False))
-    s = seeds.select(F.col("query_id").alias("s_query"), F.col("paper_id").alias("s_paper"), "seed_index")
-    near = (F.col("query_id") == F.col("s_query")) & (F.col("paper_id") == F.col("s_paper")) & F.col("chunk_index").between(F.col("seed_index") - window, F.col("seed_index") + window)
-    return owned.where(abstract).unionByName(owned.where(~abstract).join(s, near, "left_semi")).dropDuplicates(["query_id", "chunk_id"])
+    near = F.col("query_id").isNotNull() & F.exists("__seeds", lambda x: F.col("chunk_index").between(x - window, x + window))
+    owned = chunks.join(papers, "paper_id").where(abstract | (~abstract & near)).drop("__seeds")
+    return owned.repartition("query_id").dropDuplicates(["query_id", "chunk_id"])
 
 
 def rank_evidence(hits: DataFrame, evidence: DataFrame) -> DataFrame:
-    """evidence with source_number (papers in order of their first hit), is_abstract (the paper's first) and position of passages."""
+    """evidence with source_number (papers in order of their first hit), is_abstract (the paper's first) and position of passages.
+
+    A query's papers and hits are few and meet its evidence as arrays, so that texts are sent by query alone.
+    """
     papers = hits.groupBy("query_id", "paper_id").agg(F.min("rank").alias("first_rank"))
     papers = papers.withColumn("source_number", F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank", "paper_id"))).drop("first_rank")
     ranks = hits.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("hit_rank"))
-    rows = evidence.join(papers, ["query_id", "paper_id"]).join(ranks, ["query_id", "chunk_id"], "left")
+    listed = lambda df, name: df.groupBy("query_id").agg(F.collect_list(F.struct(*df.columns[1:])).alias(name))
+    found = lambda name, key: F.get(F.filter(name, lambda x: x[key] == F.col(key)), F.lit(0))
+    rows = evidence.join(listed(papers, "__papers").join(listed(ranks, "__ranks"), "query_id"), "query_id")
+    rows = rows.withColumns({"source_number": found("__papers", "paper_id")["source_number"], "hit_rank": found("__ranks", "chunk_id")["hit_rank"]})
+    rows = rows.where(F.col("source_number").isNotNull()).drop("__papers", "__ranks")
     paper = Window.partitionBy("query_id", "paper_id")
     rows = rows.withColumn("like_abstract", is_abstract(F.col("chunk_type"), F.col("section_path")))
     first = F.min(F.when(F.col("like_abstract"), F.struct("chunk_index", "chunk_id"))).over(paper)

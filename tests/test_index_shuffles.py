@@ -9,12 +9,12 @@ from paperlane.operators import lexical, text_index
 from paperlane.plans import catalogue
 
 
-def sent(spark):
-    """Bytes that stages have written to shuffles so far."""
+def sent(spark, what="shuffleWriteBytes"):
+    """Bytes (or what else stages tell) that stages have written to shuffles so far."""
     sc = spark.sparkContext
     sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+    return sum(getattr(stages.apply(n), what)() for n in range(stages.size()))
 
 
 @pytest.fixture(scope="module")
