@@ -19,13 +19,14 @@ and the model is uniform. Very long texts are scored whole; ties in the choice o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ STATES, HEAD, GROUPS, TOLERANCE, PARTS = 8, 32_768, 1024, 1e-4, 4
 CELLS, GATHER, FLUSH = 1 << 18, 8192, 300_000
 #: Letters whose counts travel in one row.
 BLOCK = 2048
+#: Letters of a sequence that the recursions take one after the other; the spans of a longer one go side by side.
+SPAN = 4096
 STICKY, PULL = 0.95, 20.0
 
 
@@ -49,6 +52,22 @@ def group_of(word: bytes) -> int:
     return crc32(word[:2] + b"|" + word[-2:]) % GROUPS
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """tokens() of all texts at once (none may be null): the words (binary), and where each text's begin, with their end."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = found.flatten().cast(pa.binary())
+    # Blanks at a text's ends leave empty words.
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return words.filter(full), before[found.offsets.to_numpy()]
+
+
+def groups_of(words: pa.Array) -> np.ndarray:
+    """group_of() all words."""
+    ends = pc.binary_join_element_wise(pc.binary_slice(words, 0, 2), pc.binary_slice(words, -2, None), b"|").dictionary_encode()
+    return np.array([crc32(e) % GROUPS for e in ends.dictionary.to_pylist()], np.int32)[ends.indices.to_numpy()]
+
+
 class Numbers(dict):
     """Letters of head words; any other word's is its group."""
 
@@ -62,6 +81,28 @@ class Alphabet:
     def __init__(self, head: list[bytes]):
         self.number = Numbers((w, GROUPS + 1 + i) for i, w in enumerate(head))
         self.size = GROUPS + 1 + len(head)
+        self.head = pa.array(head, pa.binary())
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The letters of words."""
+        place = pc.index_in(words, value_set=self.head)
+        out = pc.fill_null(place, -1).to_numpy() + np.int32(GROUPS + 1)
+        out[place.is_null().to_numpy(zero_copy_only=False)] = groups_of(words.filter(place.is_null()))
+        return out
+
+    def spell_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """spell() of all texts (none may be null): letters (bytes of 32-bit integers), distinct words outside the head, and how often each occurs in its text."""
+        words, begins = words_of(texts)
+        distinct = words.dictionary_encode()
+        index, n = distinct.indices.to_numpy(), len(texts)
+        letters = self.numbers(distinct.dictionary)[index]
+        spelt = np.insert(letters, begins[1:], np.int32(GROUPS))
+        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((begins + np.arange(n + 1)) * 4).astype(np.int32)), pa.py_buffer(spelt)])
+        at = np.flatnonzero(letters < GROUPS)
+        of, size = np.repeat(np.arange(n), np.diff(begins))[at], max(1, len(distinct.dictionary))
+        pairs, times = np.unique(of * size + index[at], return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(n + 1) * size), pa.int32())
+        return data, pa.ListArray.from_arrays(ends, distinct.dictionary.take(pa.array(pairs % size))), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
 
     def spell(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """The letters of a text with its end, and its words outside the head."""
@@ -95,35 +136,94 @@ def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np
         yield own, x, active, begins
 
 
-def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and emissions (states x letters), and scales, of a batch."""
+class Spans:
+    """Sequences cut into spans of SPAN letters, as rows of a batch like whole ones. As the states before a span are all that it shares with the letters before, a span's product
+    of moves and emissions (its likelihood from each state before it to each state after) is made beside the others', and the products, one after the other, give what
+    the recursions would have come to at each cut. Nothing is left out: the probabilities are those of the whole sequence."""
+
+    def __init__(self, p: Parameters, seqs: list[np.ndarray]):
+        parts = np.array([-(-len(s) // SPAN) for s in seqs], int)
+        #: The spans, the sequence of each, and which of them go on with one.
+        self.seqs = [s[k : k + SPAN] for s in seqs for k in range(0, len(s), SPAN)]
+        self.of = np.repeat(np.arange(len(seqs)), parts)
+        self.later = np.append(False, self.of[1:] == self.of[:-1])[: len(self.of)]
+        states, n = len(p.first), len(self.seqs)
+        #: States before a span's first letter, what follows its last (beta), and states after it, where a span is a part.
+        self.first, self.last, self.after = np.repeat(p.first[:, None], n, axis=1), np.ones((states, n), p.first.dtype), np.zeros((states, n))
+        cut = np.flatnonzero(self.later | np.append(self.later[1:], False))
+        ends, logs = _products(p, [self.seqs[i] for i in cut.tolist()], self.later[cut])
+        into, now = p.into.astype(float), None
+        for k, i in enumerate(cut.tolist()):
+            if self.later[i]:
+                self.first[:, i] = into @ now
+            # A first span's product is the same from each state.
+            weight = np.exp(logs[:, k] - logs[:, k].max()) * (now if self.later[i] else 1.0)
+            now = ends[:, :, k] @ weight
+            now /= now.sum()
+            self.after[:, i] = now
+        for k, i in reversed(list(enumerate(cut.tolist()))):
+            if self.later[i]:
+                follows = np.exp(logs[:, k] - logs[:, k].max()) * (self.last[:, i] @ ends[:, :, k])
+                self.last[:, i - 1] = follows / (follows @ self.after[:, i - 1])
+
+
+def _products(p: Parameters, seqs: list[np.ndarray], later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States after each sequence (states after x states before x sequences) and its log likelihood (states before x sequences), from each state before it, or from the start where it is not later."""
+    states = len(p.first)
+    ends, logs = np.empty((states, states, len(seqs))), np.empty((states, len(seqs)))
+    for own, x, active, begins in _batches(seqs):
+        own, at = np.array(own), begins.tolist()
+        scales = np.empty((states, len(x)), p.first.dtype)
+        now = np.where(later[own], p.into[:, :, None], p.first[:, None, None])
+        for t in range(len(active)):
+            a, b = at[t], at[t + 1]
+            if t:
+                now = (p.into @ now[:, :, : b - a].reshape(states, -1)).reshape(states, states, b - a)
+            now *= p.by_state.take(x[a:b], axis=1)[:, None]
+            now /= now.sum(axis=0, out=scales[:, a:b])
+            on = active[t + 1] if t + 1 < len(active) else 0
+            if on < b - a:
+                ends[:, :, own[on : b - a]] = now[:, :, on:]
+        of = np.arange(len(x)) - np.repeat(begins[:-1], active)
+        for s in range(states):
+            logs[s, own] = np.bincount(of, np.log(scales[s], dtype=np.float64), len(own))
+    return ends, logs
+
+
+def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and emissions (states x letters), and scales, of a batch; first: the states before each sequence."""
     emitted = p.by_state.take(x, axis=1)
     alpha, scales = np.empty_like(emitted), np.empty(len(x), emitted.dtype)
     # One sequence after the next: what the loop calls works on every sequence that goes on.
     at = begins.tolist()
     for t in range(len(active)):
         a, b = at[t], at[t + 1]
-        now = p.into @ alpha[:, at[t - 1] : at[t - 1] + b - a] if t else np.repeat(p.first[:, None], b, axis=1)
+        now, scale = alpha[:, a:b], scales[a:b]
+        if t:
+            np.matmul(p.into, before[:, : b - a], out=now)
+        else:
+            now[:] = first
         now *= emitted[:, a:b]
-        scale = now.sum(axis=0)
-        np.divide(now, scale, out=alpha[:, a:b])
-        scales[a:b] = scale
+        np.add.reduce(now, axis=0, out=scale)
+        now /= scale
+        before = now
     return alpha, emitted, scales
 
 
 def log10_likelihood(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over every letter; of the probabilities only those of one time are held."""
-    out = np.zeros(len(seqs))
-    for own, x, active, begins in _batches(seqs):
+    spans = Spans(p, seqs)
+    logs = np.zeros(len(spans.seqs))
+    for own, x, active, begins in _batches(spans.seqs):
         scales, at, alpha = np.empty(len(x)), begins.tolist(), None
         for t in range(len(active)):
             a, b = at[t], at[t + 1]
-            now = p.into @ alpha[:, : b - a] if t else p.first[:, None]
+            now = p.into @ alpha[:, : b - a] if t else spans.first[:, own]
             alpha = now * p.by_state.take(x[a:b], axis=1)
             alpha /= alpha.sum(axis=0, out=scales[a:b])
         of = np.arange(len(x)) - np.repeat(begins[:-1], active)
-        out[own] = np.bincount(of, np.log10(scales), len(own))
-    return out
+        logs[own] = np.bincount(of, np.log10(scales), len(own))
+    return np.bincount(spans.of, logs, len(seqs))
 
 
 class Expected:
@@ -135,23 +235,32 @@ class Expected:
 
     def add(self, p: Parameters, seqs: list[np.ndarray]) -> None:
         letters, states = self.emit.shape
-        for own, x, active, begins in _batches(seqs):
-            alpha, emitted, scales = _forward(p, x, active, begins)
+        spans = Spans(p, seqs)
+        #: At the first letter of each span: its emissions by what follows.
+        heads = np.empty((states, len(spans.seqs)))
+        for own, x, active, begins in _batches(spans.seqs):
+            alpha, emitted, scales = _forward(p, x, active, begins, spans.first[:, own])
             emitted /= scales
             # Sums of float32 products hold for a batch of CELLS letters at most, and are added up in 64 bits.
             beta, at = np.ones_like(alpha), begins.tolist()
+            lengths = np.array([len(spans.seqs[i]) for i in own])
+            beta[:, begins[lengths - 1] + np.arange(len(own))] = spans.last[:, own]
             for t in range(len(active) - 1, 0, -1):
                 a, b = at[t], at[t + 1]
-                emitted[:, a:b] *= beta[:, a:b]
-                np.matmul(p.onward, emitted[:, a:b], out=beta[:, at[t - 1] : at[t - 1] + b - a])
+                now = emitted[:, a:b]
+                now *= beta[:, a:b]
+                np.matmul(p.onward, now, out=beta[:, at[t - 1] : at[t - 1] + b - a])
             # Each letter but a sequence's first, with the letter before it.
             later = np.arange(begins[1], len(x))
             self.move += (alpha.take(later - np.repeat(active[:-1], active[1:]), axis=1) @ emitted[:, begins[1] :].T) * p.move
+            heads[:, own] = emitted[:, : len(own)] * beta[:, : len(own)]
             alpha *= beta
             self.logs += float(np.log(scales, dtype=np.float64).sum())
-            self.start += alpha[:, : len(own)].sum(axis=1, dtype=np.float64)
+            self.start += alpha[:, : len(own)][:, ~spans.later[own]].sum(axis=1, dtype=np.float64)
             for s in range(states):
                 self.emit[:, s] += np.bincount(x, alpha[s], letters)
+        over = np.flatnonzero(spans.later)
+        self.move += (spans.after[:, over - 1] @ heads[:, over].T) * p.move
 
     def plus(self, other: Expected, sign: int = 1) -> None:
         self.start += sign * other.start
@@ -191,21 +300,21 @@ def _gathered(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n over the column text of all rows; the end is not among them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(count), "n": list(count.values())})
+        def done() -> list[pa.RecordBatch]:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches() if held else []
 
         for batch in batches:
-            for text in batch.text:
-                count.update(tokens(text))
-                if len(count) > FLUSH:
-                    yield done()
-                    count = Counter()
-        yield done()
+            word, n = words_of(batch.column("text"))[0].value_counts().flatten()
+            held.append(pa.table({"word": word, "n": n}))
+            if sum(map(len, held)) > FLUSH:
+                yield from done()
+                held = []
+        yield from done()
 
-    return texts.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -243,18 +352,17 @@ def count(rows: DataFrame, states: int, head: int) -> Model:
     top = head_words(counts, head)
     alphabet = Alphabet([bytes(r["word"]) for r in top])
 
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, n, v = alphabet.number, np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
         for batch in batches:
-            for w, c in zip(batch.word, batch.n):
-                if w not in known:
-                    g = group_of(w)
-                    n[g] += c
-                    v[g] += 1
-        yield pd.DataFrame({"g": np.arange(GROUPS), "n": n, "v": v})
+            letters = alphabet.numbers(batch.column("word"))
+            rest = letters < GROUPS
+            np.add.at(n, letters[rest], batch.column("n").to_numpy()[rest])
+            v += np.bincount(letters[rest], minlength=GROUPS)
+        yield pa.RecordBatch.from_pydict({"g": pa.array(range(GROUPS), pa.int32()), "n": n, "v": v})
 
     group_n, group_v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
-    for r in counts.mapInPandas(grouped, "g int, n long, v long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # GROUPS rows
+    for r in counts.mapInArrow(grouped, "g int, n long, v long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # GROUPS rows
         group_n[r["g"]], group_v[r["g"]] = r["n"], r["v"]
     head_counts = np.array([r["n"] for r in top], np.int64)
     letters = np.concatenate([group_n, [texts], head_counts]) + 1.0
@@ -285,19 +393,15 @@ def spelling(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     """rows (doc_id, text, taught) spelt, as a table: key (of the row), doc_id, letters (those of the text with its end, as bytes of 32-bit integers), words outside the head and
     their times; and part, which lies in folders: for taught rows one of PARTS, by a hash of the letters, -1 for the others."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
-        for batch in _gathered(batches):
-            spelt = [alphabet.spell(tokens(t)) for t in batch.text]
-            rest = [Counter(r) for _, r in spelt]
-            yield pd.DataFrame({
-                "key": np.arange(key, key + len(batch)), "doc_id": batch.doc_id.to_numpy(), "taught": batch.taught.to_numpy(bool), "letters": [s.tobytes() for s, _ in spelt],
-                "words": [list(r) for r in rest], "times": [list(r.values()) for r in rest],
-            }).astype({"doc_id": "Int64"})
+        for batch in batches:
+            letters, words, times = alphabet.spell_all(batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"key": np.arange(key, key + len(batch)), "doc_id": batch.column("doc_id"), "taught": batch.column("taught"), "letters": letters, "words": words, "times": times})
             key += len(batch)
 
     small_batches(rows.sparkSession)
-    spelt = rows.select("doc_id", "text", "taught").mapInPandas(run, "key long, doc_id long, taught boolean, letters binary, words array<binary>, times array<long>")
+    spelt = rows.select("doc_id", "text", "taught").mapInArrow(run, "key long, doc_id long, taught boolean, letters binary, words array<binary>, times array<long>")
     part = F.when(F.col("taught"), F.pmod(F.xxhash64("letters"), F.lit(PARTS)).cast("int")).otherwise(F.lit(-1))
     return cut(spelt.withColumn("part", part).drop("taught"), "letters", by="part")
 
