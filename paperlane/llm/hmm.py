@@ -36,6 +36,8 @@ from paperlane.llm.common import cut, fold, small_batches
 STATES, HEAD, GROUPS, TOLERANCE, PARTS = 8, 32_768, 1024, 1e-4, 4
 #: Letters of a batch of sequences (some 250 bytes each); documents a worker gathers to make such batches; words it counts before it sends them on.
 CELLS, GATHER, FLUSH = 1 << 18, 8192, 300_000
+#: Rows that are split or numbered in Arrow at once.
+SLICE = 1024
 #: Letters whose counts travel in one row.
 BLOCK = 2048
 #: Letters of a sequence that the recursions take one after the other; the spans of a longer one go side by side.
@@ -297,6 +299,14 @@ def _gathered(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator
             yield batch.iloc[k : k + GATHER]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), SLICE):
+            yield batch.slice(k, SLICE)
+        # What Arrow has freed goes back to the system, not only to its own pool.
+        pa.default_memory_pool().release_unused()
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n over the column text of all rows; the end is not among them."""
 
@@ -306,7 +316,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def done() -> list[pa.RecordBatch]:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches() if held else []
 
-        for batch in batches:
+        for batch in _slices(batches):
             word, n = words_of(batch.column("text"))[0].value_counts().flatten()
             held.append(pa.table({"word": word, "n": n}))
             if sum(map(len, held)) > FLUSH:
@@ -395,7 +405,7 @@ def spelling(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _slices(batches):
             letters, words, times = alphabet.spell_all(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"key": np.arange(key, key + len(batch)), "doc_id": batch.column("doc_id"), "taught": batch.column("taught"), "letters": letters, "words": words, "times": times})
             key += len(batch)
