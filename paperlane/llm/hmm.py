@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from paperlane.llm.common import cut, fold, small_batches
 
 STATES, HEAD, GROUPS, TOLERANCE, PARTS = 8, 32_768, 1024, 1e-4, 4
-#: Letters of a batch of sequences (some 250 bytes each); documents a worker gathers to make such batches; words it counts before it sends them on.
-CELLS, GATHER, FLUSH = 1 << 18, 8192, 300_000
+#: Letters of a batch of sequences (some 100 bytes each); documents a worker gathers to make such batches; words it counts before it sends them on.
+CELLS, GATHER, FLUSH = 1 << 19, 8192, 300_000
 #: Rows that are split or numbered in Arrow at once.
 SLICE = 1024
 #: Letters whose counts travel in one row.
 BLOCK = 2048
 #: Letters of a sequence that the recursions take one after the other; the spans of a longer one go side by side.
-SPAN = 4096
+SPAN = 2048
+#: Letters whose emissions are counted at once.
+COUNTED = 1 << 16
 STICKY, PULL = 0.95, 20.0
 
 
@@ -116,8 +118,10 @@ class Parameters:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind: type = np.float64):
         """start: K; move: K x K; emit: letters x K, float64. kind: of the numbers that recursions work with."""
         self.start, self.move, self.emit = start, move, emit
-        #: States first, so that array operations run along the sequences.
-        self.by_state, self.into, self.first, self.onward = (np.ascontiguousarray(x, kind) for x in (emit.T, move.T, start, move))
+        #: A letter's states lie side by side, so that what a time takes of an array is one piece of memory.
+        self.by_letter, self.first, self.onward, self.back = (np.ascontiguousarray(x, kind) for x in (emit, start, move, move.T))
+        #: A product with it gives the sum of a row in each of its columns.
+        self.ones = np.ones_like(self.onward)
 
 
 def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,96 +137,125 @@ def _batches(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np
         active = len(own) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         begins = np.append(0, np.cumsum(active))
         x = np.empty(begins[-1], np.int32)
-        time = np.arange(begins[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        x[begins[time] + np.repeat(np.arange(len(own)), lengths)] = np.concatenate([seqs[i] for i in own])
+        place = begins[np.arange(begins[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
+        place += np.repeat(np.arange(len(own)), lengths)
+        x[place] = np.concatenate([seqs[i] for i in own])
+        del place
         yield own, x, active, begins
 
 
 class Spans:
-    """Sequences cut into spans of SPAN letters, as rows of a batch like whole ones. As the states before a span are all that it shares with the letters before, a span's product
-    of moves and emissions (its likelihood from each state before it to each state after) is made beside the others', and the products, one after the other, give what
+    """Sequences cut into spans of SPAN letters, as rows of a batch like whole ones. The states before a span are all that it shares with the letters before. The states after a first span
+    are those of the forward recursion, and what a last span makes of each state before it is that of the backward recursion; between them a span's product of moves and
+    emissions (its likelihood from each state before it to each state after) is made beside the others', and the products, one after the other, give what
     the recursions would have come to at each cut. Nothing is left out: the probabilities are those of the whole sequence."""
 
-    def __init__(self, p: Parameters, seqs: list[np.ndarray]):
+    def __init__(self, p: Parameters, seqs: list[np.ndarray], back: bool = True):
+        """back: whether what follows each span is needed too."""
         parts = np.array([-(-len(s) // SPAN) for s in seqs], int)
         #: The spans, the sequence of each, and which of them go on with one.
         self.seqs = [s[k : k + SPAN] for s in seqs for k in range(0, len(s), SPAN)]
         self.of = np.repeat(np.arange(len(seqs)), parts)
         self.later = np.append(False, self.of[1:] == self.of[:-1])[: len(self.of)]
+        goes_on = np.append(self.later[1:], False)[: len(self.of)]
         states, n = len(p.first), len(self.seqs)
-        #: States before a span's first letter, what follows its last (beta), and states after it, where a span is a part.
-        self.first, self.last, self.after = np.repeat(p.first[:, None], n, axis=1), np.ones((states, n), p.first.dtype), np.zeros((states, n))
-        cut = np.flatnonzero(self.later | np.append(self.later[1:], False))
-        ends, logs = _products(p, [self.seqs[i] for i in cut.tolist()], self.later[cut])
-        into, now = p.into.astype(float), None
-        for k, i in enumerate(cut.tolist()):
-            if self.later[i]:
-                self.first[:, i] = into @ now
-            # A first span's product is the same from each state.
-            weight = np.exp(logs[:, k] - logs[:, k].max()) * (now if self.later[i] else 1.0)
-            now = ends[:, :, k] @ weight
-            now /= now.sum()
-            self.after[:, i] = now
-        for k, i in reversed(list(enumerate(cut.tolist()))):
-            if self.later[i]:
-                follows = np.exp(logs[:, k] - logs[:, k].max()) * (self.last[:, i] @ ends[:, :, k])
-                self.last[:, i - 1] = follows / (follows @ self.after[:, i - 1])
-
-
-def _products(p: Parameters, seqs: list[np.ndarray], later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States after each sequence (states after x states before x sequences) and its log likelihood (states before x sequences), from each state before it, or from the start where it is not later."""
-    states = len(p.first)
-    ends, logs = np.empty((states, states, len(seqs))), np.empty((states, len(seqs)))
+        #: States before a span's first letter, what follows its last (beta), and states after it, where another span follows.
+        self.first, self.last, self.after = np.tile(p.first, (n, 1)), np.ones((n, states), p.first.dtype), np.zeros((n, states))
+        head, middle, tail = (np.flatnonzero(x) for x in (~self.later & goes_on, self.later & goes_on, self.later & ~goes_on))
+        self.after[head] = _states_after(p, [self.seqs[i] for i in head.tolist()])
+        ends, weights = _products(p, [self.seqs[i] for i in middle.tolist()])
+        place, onward = {i: k for k, i in enumerate(middle.tolist())}, p.onward.astype(float)
+        for i in np.flatnonzero(self.later).tolist():
+            self.first[i] = self.after[i - 1] @ onward
+            if (k := place.get(i)) is not None:
+                now = (weights[k] * self.after[i - 1]) @ ends[k]
+                self.after[i] = now / now.sum()
+        if back:
+            follows = dict(zip(tail.tolist(), _states_before(p, [self.seqs[i] for i in tail.tolist()])))
+            for i in np.flatnonzero(self.later)[::-1].tolist():
+                given = follows[i] if i in follows else weights[place[i]] * (ends[place[i]] @ self.last[i])
+                self.last[i - 1] = given / (given @ self.after[i - 1])
+
+
+def _states_after(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
+    """The states after each sequence (sequences x states); all are equally long."""
+    out = np.empty((len(seqs), len(p.first)))
     for own, x, active, begins in _batches(seqs):
-        own, at = np.array(own), begins.tolist()
-        scales = np.empty((states, len(x)), p.first.dtype)
-        now = np.where(later[own], p.into[:, :, None], p.first[:, None, None])
+        now, at = None, begins.tolist()
         for t in range(len(active)):
+            now = (np.tile(p.first, (len(own), 1)) if now is None else now @ p.onward) * p.by_letter.take(x[at[t] : at[t + 1]], axis=0)
+            now /= now @ p.ones
+        out[own] = now
+    return out
+
+
+def _states_before(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
+    """The likelihood of each sequence from each state before it (sequences x states), up to a factor of the sequence."""
+    out = np.empty((len(seqs), len(p.first)))
+    for own, x, active, begins in _batches(seqs):
+        beta, at = np.ones((len(own), len(p.first)), p.first.dtype), begins.tolist()
+        for t in range(len(active) - 1, -1, -1):
             a, b = at[t], at[t + 1]
-            if t:
-                now = (p.into @ now[:, :, : b - a].reshape(states, -1)).reshape(states, states, b - a)
-            now *= p.by_state.take(x[a:b], axis=1)[:, None]
-            now /= now.sum(axis=0, out=scales[:, a:b])
-            on = active[t + 1] if t + 1 < len(active) else 0
-            if on < b - a:
-                ends[:, :, own[on : b - a]] = now[:, :, on:]
-        of = np.arange(len(x)) - np.repeat(begins[:-1], active)
-        for s in range(states):
-            logs[s, own] = np.bincount(of, np.log(scales[s], dtype=np.float64), len(own))
-    return ends, logs
+            now = p.by_letter.take(x[a:b], axis=0) * beta[: b - a]
+            now /= now @ p.ones
+            np.matmul(now, p.back, out=beta[: b - a])
+        out[own] = beta
+    return out
+
+
+def _products(p: Parameters, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """States after each sequence from each state before it (sequences x states before x states after), and its likelihood from each state before it (sequences x states), up to a factor of the sequence; all are equally long."""
+    states = len(p.first)
+    ends, weights = np.empty((len(seqs), states, states)), np.empty((len(seqs), states))
+    for own, x, active, begins in _batches(seqs):
+        # A sequence has a row for each state before it.
+        now, logs, at = np.tile(np.eye(states, dtype=p.first.dtype), (len(own), 1)), np.zeros(len(own) * states), begins.tolist()
+        for t in range(len(active)):
+            now = now @ p.onward
+            now *= p.by_letter.take(x[at[t] : at[t + 1]], axis=0).repeat(states, axis=0)
+            scale = now @ p.ones
+            now /= scale
+            logs += np.log(scale[:, 0], dtype=np.float64)
+        logs = logs.reshape(-1, states)
+        ends[own], weights[own] = now.reshape(-1, states, states), np.exp(logs - logs.max(axis=1, keepdims=True))
+    return ends, weights
 
 
 def _forward(p: Parameters, x: np.ndarray, active: np.ndarray, begins: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and emissions (states x letters), and scales, of a batch; first: the states before each sequence."""
-    emitted = p.by_state.take(x, axis=1)
-    alpha, scales = np.empty_like(emitted), np.empty(len(x), emitted.dtype)
+    """Scaled forward probabilities and emissions, divided by the scales (letters x states), and scales, of a batch; first: the states before each sequence."""
+    emitted = p.by_letter.take(x, axis=0)
+    alpha, scales, sums = np.empty_like(emitted), np.empty(len(x), emitted.dtype), np.empty_like(first)
     # One sequence after the next: what the loop calls works on every sequence that goes on.
     at = begins.tolist()
     for t in range(len(active)):
         a, b = at[t], at[t + 1]
-        now, scale = alpha[:, a:b], scales[a:b]
+        now, emission, scale = alpha[a:b], emitted[a:b], sums[: b - a]
         if t:
-            np.matmul(p.into, before[:, : b - a], out=now)
+            np.matmul(before[: b - a], p.onward, out=now)
         else:
             now[:] = first
-        now *= emitted[:, a:b]
-        np.add.reduce(now, axis=0, out=scale)
+        now *= emission
+        np.matmul(now, p.ones, out=scale)
         now /= scale
+        emission /= scale
+        scales[a:b] = scale[:, 0]
         before = now
     return alpha, emitted, scales
 
 
 def log10_likelihood(p: Parameters, seqs: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over every letter; of the probabilities only those of one time are held."""
-    spans = Spans(p, seqs)
+    spans = Spans(p, seqs, back=False)
     logs = np.zeros(len(spans.seqs))
     for own, x, active, begins in _batches(spans.seqs):
         scales, at, alpha = np.empty(len(x)), begins.tolist(), None
         for t in range(len(active)):
             a, b = at[t], at[t + 1]
-            now = p.into @ alpha[:, : b - a] if t else spans.first[:, own]
-            alpha = now * p.by_state.take(x[a:b], axis=1)
-            alpha /= alpha.sum(axis=0, out=scales[a:b])
+            now = alpha[: b - a] @ p.onward if t else spans.first[own]
+            alpha = now * p.by_letter.take(x[a:b], axis=0)
+            scale = alpha @ p.ones
+            alpha /= scale
+            scales[a:b] = scale[:, 0]
         of = np.arange(len(x)) - np.repeat(begins[:-1], active)
         logs[own] = np.bincount(of, np.log10(scales), len(own))
     return np.bincount(spans.of, logs, len(seqs))
@@ -237,32 +270,34 @@ class Expected:
 
     def add(self, p: Parameters, seqs: list[np.ndarray]) -> None:
         letters, states = self.emit.shape
-        spans = Spans(p, seqs)
+        spans, emit = Spans(p, seqs), np.zeros((states, letters))
         #: At the first letter of each span: its emissions by what follows.
-        heads = np.empty((states, len(spans.seqs)))
+        heads = np.empty((len(spans.seqs), states))
         for own, x, active, begins in _batches(spans.seqs):
-            alpha, emitted, scales = _forward(p, x, active, begins, spans.first[:, own])
-            emitted /= scales
-            # Sums of float32 products hold for a batch of CELLS letters at most, and are added up in 64 bits.
-            beta, at = np.ones_like(alpha), begins.tolist()
-            lengths = np.array([len(spans.seqs[i]) for i in own])
-            beta[:, begins[lengths - 1] + np.arange(len(own))] = spans.last[:, own]
-            for t in range(len(active) - 1, 0, -1):
-                a, b = at[t], at[t + 1]
-                now = emitted[:, a:b]
-                now *= beta[:, a:b]
-                np.matmul(p.onward, now, out=beta[:, at[t - 1] : at[t - 1] + b - a])
-            # Each letter but a sequence's first, with the letter before it.
-            later = np.arange(begins[1], len(x))
-            self.move += (alpha.take(later - np.repeat(active[:-1], active[1:]), axis=1) @ emitted[:, begins[1] :].T) * p.move
-            heads[:, own] = emitted[:, : len(own)] * beta[:, : len(own)]
-            alpha *= beta
+            alpha, emitted, scales = _forward(p, x, active, begins, spans.first[own])
             self.logs += float(np.log(scales, dtype=np.float64).sum())
-            self.start += alpha[:, : len(own)][:, ~spans.later[own]].sum(axis=1, dtype=np.float64)
-            for s in range(states):
-                self.emit[:, s] += np.bincount(x, alpha[s], letters)
+            # Sums of float32 products hold for the letters of a time, and are added up in 64 bits.
+            moves, beta, at = np.zeros((len(active), states, states), alpha.dtype), spans.last[own], begins.tolist()
+            for t in range(len(active) - 1, -1, -1):
+                a, b = at[t], at[t + 1]
+                now, follows = emitted[a:b], beta[: b - a]
+                now *= follows
+                alpha[a:b] *= follows
+                if t:
+                    np.matmul(alpha[at[t - 1] : at[t - 1] + b - a].T, now, out=moves[t])
+                    np.matmul(now, p.back, out=follows)
+            self.move += moves.sum(axis=0, dtype=np.float64) * p.move
+            heads[own] = emitted[: len(own)]
+            self.start += alpha[: len(own)][~spans.later[own]].sum(axis=0, dtype=np.float64)
+            for k in range(0, len(x), COUNTED):
+                some, by_state = x[k : k + COUNTED].astype(np.intp), np.ascontiguousarray(alpha[k : k + COUNTED].T, np.float64)
+                for s in range(states):
+                    emit[s] += np.bincount(some, by_state[s], letters)
+            # The next batch takes this one's place in memory.
+            del alpha, emitted, scales, now
+        self.emit += emit.T
         over = np.flatnonzero(spans.later)
-        self.move += (spans.after[:, over - 1] @ heads[:, over].T) * p.move
+        self.move += (spans.after[over - 1].T @ heads[over]) * p.move
 
     def plus(self, other: Expected, sign: int = 1) -> None:
         self.start += sign * other.start

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -62,3 +63,31 @@ def test_words_are_counted_over_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {bytes(r.word): r.n for r in got} == Counter(w for t in ODD * 3 for w in hmm.tokens(t)) and len(got) == len({bytes(r.word) for r in got})
     assert hmm.word_counts(spark.createDataFrame([], "text string")).collect() == []
+
+
+def test_only_spans_between_others_are_made_from_each_state(monkeypatch):
+    rng = np.random.default_rng(0)
+    seqs = [rng.integers(0, 9, n).astype(np.int32) for n in (15, 16, 17, 8, 40)]
+    sent, plain = [], hmm._products
+    monkeypatch.setattr(hmm, "_products", lambda p, s, *more: (sent.extend(map(len, s)), plain(p, s, *more))[1])
+    p = parameters(9, 4, np.float64)
+    whole = hmm.log10_likelihood(p, seqs)
+    monkeypatch.setattr(hmm, "SPAN", 8)
+    sent.clear()
+    assert np.allclose(hmm.log10_likelihood(p, seqs), whole, rtol=1e-12)
+    # One of the three of 17 letters, three of the five of 40.
+    assert sent == [8] * 4
+
+
+def test_a_letter_takes_at_most_150_bytes_of_memory(monkeypatch):
+    rng = np.random.default_rng(0)
+    seqs = [rng.integers(0, 50, n).astype(np.int32) for n in rng.integers(100, 400, 4000)]
+    monkeypatch.setattr(hmm, "CELLS", 1 << 18)
+    p, e = parameters(50, 8, np.float32), hmm.Expected(50, 8)
+    tracemalloc.start()
+    try:
+        e.add(p, seqs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 150 * hmm.CELLS and np.isclose(e.emit.sum(), sum(map(len, seqs)), rtol=1e-4)
