@@ -38,8 +38,12 @@ K1, B = 1.2, 0.75
 FEW = 1 << 20
 #: Scores are sums of 64-bit integers, of which this many are 1: the order of a sum does not matter, so that equal documents get equal scores.
 ONE = 1 << 48
+#: Bytes of texts that become rows of the index at once (a block of documents at least): a bound on a worker's memory.
+AT_ONCE = 2 << 20
 #: Queries that meet a block at once, and pairs of a query and a posting that are added up at once: bounds on a worker's memory.
 SLAB, PAIRS = 1 << 12, 1 << 20
+#: Queries of a group of BM25 search: a bound on what the driver keeps of them.
+GROUP = 1 << 15
 #: Bytes that words consist of, once texts are in lower case (lexical.TOKEN).
 IN_WORDS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 
@@ -189,11 +193,14 @@ def index_rows(texts: DataFrame, id_col: str, text_col: str, analyser: str, buck
     def lists(cuts: np.ndarray, values: np.ndarray | pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
+    def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch in parts of whole blocks."""
+        step = max(1, len(batch) * AT_ONCE // max(1, batch.nbytes) // block_docs) * block_docs
+        return (batch.slice(n, step) for n in range(0, len(batch), step))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, stems = TaskContext.get().partitionId() << 32, lru_cache(1 << 17)(stem)
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in some(whole)):
             ids, (words, lengths) = batch.column(0), words_of(batch.column(1))
             many = -(-len(ids) // block_docs)
             own = np.arange(many) + first
@@ -385,12 +392,13 @@ class Blocks:
 def bm25_search(queries: DataFrame, index: TextIndex, k: int, k1: float = K1, b: float = B, term_limit: int | None = None, digits: int | None = None, seeds: int = SEEDS) -> DataFrame:
     """query_id, id, lexical_score, rank, ranked: the k best documents by BM25 over the distinct terms of every query, any of which suffices; ranked counts the documents that were scored for the query.
 
-    idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Scores equal to `digits` places are ties, which go by id. More than FEW terms asked for go in several groups of queries.
+    idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Scores equal to `digits` places are ties, which go by id. More than FEW terms asked for, or GROUP queries, go in several groups of queries.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     terms = stored(index.of(lexical.asked_terms(queries, index.analyser, term_limit)).where(F.col("query_id").isNotNull()), "terms")
-    groups = max(1, -(-terms.count() // FEW))
+    n_terms, n_queries = terms.agg(F.count("*"), F.count_distinct("query_id")).first()
+    groups = max(1, -(-n_terms // FEW), -(-n_queries // GROUP))
     own = lambda n: terms.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == n) if groups > 1 else terms
     every = [_bm25_group(own(n), index, k, k1, b, digits, seeds) for n in range(groups)]
     return every[0] if groups == 1 else reduce(DataFrame.unionByName, [stored(x, "best-group") for x in every])
